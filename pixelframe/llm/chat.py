@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_of
+from .common import mapped, slices, table, text_of
 
 PART_TYPE = "array<struct<kind:string,text:string,ref:string,tokens:int>>"
 ATTACHMENT = "struct<kind:string,ref:string,at:int,tokens:int>"
@@ -144,7 +144,7 @@ def format_turns(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
             rest = pa.RecordBatch.from_pylist(done, pa.schema([*out][2:]))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *rest.columns], schema=out)
 
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "parts").mapInArrow(run, SEGMENT_SCHEMA)
+    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "parts").transform(mapped, run, SEGMENT_SCHEMA)
 
 
 class Reader:
@@ -196,7 +196,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(now.row(), kinds)], names)
 
-    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").select("conv_id", "segment", "loss").mapInArrow(run, READ_SCHEMA)
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").select("conv_id", "segment", "loss").transform(mapped, run, READ_SCHEMA)
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"

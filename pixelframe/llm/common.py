@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 SLICE_ROWS = 256
 #: groups that hold more than one row in HOT_SHARE are joined by broadcast: there are at most HOT_SHARE of them
 HOT_SHARE = 2000
@@ -51,9 +53,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def map_rows(df: DataFrame, columns: list, function: Callable, schema: str) -> DataFrame:
-    """mapInArrow over the named columns only."""
-    return df.select(*columns).mapInArrow(function, schema)
+def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """mapInArrow with this package sent to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def remainder(column: str, divisor: int) -> Column:

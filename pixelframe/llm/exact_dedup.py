@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import join_groups, stored, table, text_of
 
 SHARD_KEYS = 16_384
@@ -159,6 +160,7 @@ def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def exact_groups(history: DataFrame, batch: DataFrame, distinct: int) -> DataFrame:
     """Groups of equal texts over history and batch, both (doc_id, digest); distinct: the history's distinct digests."""
+    ship(history.sparkSession)
     shards = max(1, math.ceil(distinct / SHARD_KEYS))
     tables = history_tables(grouped(history), shards)
     new = grouped(batch).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))

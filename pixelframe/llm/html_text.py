@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, slices, stored, table, text_of
+from .common import mapped, HOT_SHARE, slices, stored, table, text_of
 
 MIN_PAGES = 4
 MIN_SHARE = 0.05
@@ -234,7 +234,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
                 found += mine
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
 
-    counts = pages.select(host_of().alias("host"), text_of("html").alias("html")).mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = pages.select(host_of().alias("host"), text_of("html").alias("html")).transform(mapped, hashes, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     # only what occurs often can be template, so the records of a host are few from here on
     often = stored(counts.filter((F.col("n") >= min_pages) | (F.col("hash") == 0)), "site-counts")
     sizes = often.filter("hash = 0").select("host", F.col("n").alias("pages"))
@@ -255,7 +255,7 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
             texts = [main_text(hash_trees(parse(page)), frozenset(found or ())) for page, found in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return near.unionByName(far).select("page_id", "url", "html", "hashes").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return near.unionByName(far).select("page_id", "url", "html", "hashes").transform(mapped, extract, "page_id long, url string, text string, n_chars long")
 
 
 def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, text_of
+from .common import mapped, slices, stored, table, text_of
 from .encoders import encoder
 
 END_ID = 2
@@ -166,7 +166,7 @@ def split_pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, length:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(cut, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(mapped, cut, PIECE_SCHEMA)
 
 
 def pack(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
@@ -195,7 +195,7 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
                 offset[mine] = run[:, 4] + inside % run[:, 3] * n
             yield pa.RecordBatch.from_arrays([*rows.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").transform(mapped, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def _with_offsets(plan: Plan) -> dict[int, list[tuple[int, int, int, int, int]]]:

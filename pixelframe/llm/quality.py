@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_of
+from .common import mapped, slices, table, text_of
 from .labelled import held_out, positive_sample, unlabelled_sample
 
 SAMPLE_ROWS = 6000
@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
             values = np.array([measures(x) for x in rows.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fitted.score(values))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(mapped, run, "doc_id long, score double")
     return scored.select("doc_id", held_out(), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

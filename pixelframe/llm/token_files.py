@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, table, text_of
+from .common import mapped, new_path, slices, table, text_of
 from .encoders import encoder
 
 END_ID = 1
@@ -50,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         docs.select("doc_id", text_of().alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id")
-        .mapInArrow(encode, FILE_SCHEMA)
+        .transform(mapped, encode, FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.stripe.size", str(STRIPE_BYTES))
@@ -90,7 +90,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         read.select("doc_id", "at", F.col("_metadata.file_path").alias("file"), "ids")
         .join(F.broadcast(bases), "file")
         .select("doc_id", (F.col("at") + F.col("base")).alias("start"), F.lit(0).alias("unused"), "ids")
-        .mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        .transform(mapped, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_of
+from .common import mapped, slices, table, text_of
 from .labelled import held_out, labelled_sample
 
 SAMPLE_ROWS = 6000
@@ -160,7 +160,8 @@ def score(docs: DataFrame, model: SentenceModel) -> DataFrame:
                 worst.append(text[parts[k][0] : parts[k][1]] if odds[k] >= 0 else None)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores, pa.float64()), pa.array(found, spans), pa.array(worst, pa.string())], ["doc_id", "score", "offending", "worst_sentence"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(
+        mapped,
         run, "doc_id long, score double, offending array<struct<begin:long,end:long,score:double>>, worst_sentence string"
     )
     return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending", "worst_sentence")
