@@ -1,56 +1,106 @@
-"""Whole-text encoding with a public tokenizer, remembering the chunks that recur.
+"""Whole-text encoding with a public tokenizer, remembering the pieces that recur.
 
-Both vocabularies split a text into pre-tokens that never span the border
-between white space and what follows it, so a text's ids are the ids of its
-chunks in order.  Each distinct chunk is encoded by the tokenizers library
-once and then looked up.  Texts holding a character on which Python and the
-library might disagree about white space are encoded whole.
+The vocabularies split a text into pre-tokens, and a pre-token's ids do not
+depend on its neighbours.  None spans the border between white space and what
+follows it, so a text is first cut there into chunks; chunks recur, and most
+are found among the known ones.  An unknown chunk is cut into pre-tokens, and
+an unknown pre-token is encoded by the library's model.  Chunks with characters
+outside the Latin blocks are encoded by the whole library, and so are texts
+with a character on which Python and the library may disagree about white
+space, so that nothing depends on versions of Unicode.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 
-from tokenizers import Tokenizer
+import regex
 
-ODD = re.compile("[\x00\x1c-\x1f᠎​⁠﻿]")
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+
+from tokenizers import Tokenizer  # noqa: E402
+
+ODD = re.compile("[\x00\x1c-\x1f\x85᠎​⁠﻿]")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-REMEMBERED = 400_000
+LATIN = re.compile("[ !-~¡-¬®-įı-ɏ]+")
+MARKS = ".,;:!?"
+KNOWN_CHUNKS = 800_000
+KNOWN_PARTS = 600_000
+
+# fixed values: the pre-token patterns of the two vocabularies, and the byte alphabet of byte-level BPE
+WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def byte_alphabet() -> dict[int, int]:
+    """Bytes that print stand for themselves; the others take the code points from 256 on."""
+    rest = [b for b in range(256) if b not in PRINTED]
+    return {b: b for b in PRINTED} | {b: 256 + k for k, b in enumerate(rest)}
 
 
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
     spaces: True where white space is part of the ids (byte-level
-    vocabularies); False where the vocabulary drops it.
+    vocabularies); False where the vocabulary drops it and lower-cases.
     """
 
-    def __init__(self, path: str, spaces: bool, remembered: int = REMEMBERED):
+    def __init__(self, path: str, spaces: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.spaces = spaces
         self.split = SPACED.findall if spaces else str.split
-        self.remembered = remembered
+        self.pattern = BYTE_PARTS if spaces else WORD_PARTS
+        self.alphabet = byte_alphabet()
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        spelled = part.encode().decode("latin-1").translate(self.alphabet)
+        ids = array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
+        self.parts[part] = ids
+        return ids
+
+    def cut(self, chunk: str) -> list[str] | None:
+        """Pre-tokens of a chunk; None where the whole library must decide."""
+        if not self.spaces:
+            chunk = chunk.lower()
+        word = chunk.rstrip(MARKS)
+        letters = word[1:] if self.spaces and word[:1] == " " else word
+        if letters.isalpha() and (letters.isascii() or LATIN.fullmatch(letters)):  # nearly all: a word and marks after it
+            return [word, chunk[len(word) :]] if len(word) < len(chunk) else [word]
+        return self.pattern.findall(chunk) if LATIN.fullmatch(chunk) and not chunk.isspace() else None
 
-    def learn(self, chunks: list[str]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.known[chunk] = array("I", found.ids).tobytes()
+    def chunk(self, chunk: str) -> bytes:
+        parts = self.cut(chunk)
+        if parts is None:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        else:
+            ready = self.parts.get
+            ids = b"".join([ready(x) or self.part(x) for x in parts])
+        self.known[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if ODD.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        chunks = self.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(self.known) > self.remembered:
+        if len(self.known) > KNOWN_CHUNKS:
             self.known.clear()
-        self.learn(list(set(chunks).difference(self.known)))
-        return b"".join(map(self.known.__getitem__, chunks))
+        if len(self.parts) > KNOWN_PARTS:
+            self.parts.clear()
+        chunks, ready = self.split(text), self.known.get
+        found = list(map(ready, chunks))
+        if None in found:
+            for k, x in enumerate(found):
+                if x is None:
+                    found[k] = ready(chunks[k]) or self.chunk(chunks[k])
+        return b"".join(found)
 
 
 _OPEN: dict[tuple[str, bool], ChunkEncoder] = {}

@@ -56,7 +56,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
         .option("orc.create.index", "true")
-        .option("compression", "zlib")
+        .option("compression", "zstd")
         .orc(path)
     )
 
