@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import chat, exact_dedup, html_text, packing, quality, token_files, toxicity
+from . import chat, decontaminate, exact_dedup, html_text, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_qgram_lemma": decontaminate.op2_qgram_lemma,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_template_removal": html_text.op5_template_removal,
