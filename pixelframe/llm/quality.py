@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import mapped, slices, table, text_of
 from .labelled import held_out, positive_sample, unlabelled_sample
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 STEPS = 24
 EPOCHS = 400
 RATE = 0.05

@@ -18,6 +18,8 @@ each; empty tables give an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,26 +31,29 @@ from pyspark.sql import functions as F
 from .common import mapped, slices, table, text_of
 from .labelled import held_out, labelled_sample
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
+BUCKETS = 1 << 20
+LEAN = 3.0
 LEAST_DOCS = 4
 STEPS = 120
 RATE = 0.15
 DECAY = 2e-3
-GRAMS = (4, 5, 6, 7)
+GRAMS = (4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 WORD = re.compile(r"\w+")
 REMEMBERED = 500_000
 
 
-def features(word: str) -> set[str]:
-    """The word itself and the n-grams of the word with its borders marked."""
-    marked = f"^{word}$"
-    return {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
+def features(word: str) -> set[int]:
+    """Buckets of the word itself and of the n-grams of the word with its borders marked."""
+    marked = f"^{word}$".encode("utf-8", "surrogatepass")
+    grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
+    return {zlib.crc32(x) & (BUCKETS - 1) for x in grams | {marked}}
 
 
 @dataclass
 class SentenceModel:
-    weights: dict[str, float]
+    weights: np.ndarray  # by bucket
     bias: float
     #: added to the log-odds of a document, for the share of toxic rows in the sample
     shift: float = 0.0
@@ -61,7 +66,7 @@ class SentenceModel:
         if value is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            value = self.known[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+            value = self.known[word] = float(self.weights[list(features(word))].sum())
         return value
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
@@ -78,63 +83,82 @@ class SentenceModel:
         return float(1 / (1 + np.exp(-np.clip(some - none + self.shift, -500, 500))))
 
 
+@dataclass
+class Bags:
+    """The sample as index arrays: which words each sentence has, and whose sentence it is."""
+
+    sentence_of: np.ndarray
+    word_of: np.ndarray
+    doc_of: np.ndarray
+    words: list[str]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Bags:
+        ids: dict[str, int] = {}
+        sentence_of, word_of, doc_of = array("i"), array("i"), array("i")
+        for d, text in enumerate(texts):
+            for m in SENTENCE.finditer(text):
+                for w in set(WORD.findall(m[0].lower())):
+                    sentence_of.append(len(doc_of))
+                    word_of.append(ids.setdefault(w, len(ids)))
+                doc_of.append(d)
+        return cls(*(np.array(x, np.int32) for x in (sentence_of, word_of, doc_of)), list(ids))
+
+
+def telling(bags: Bags, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) pairs of the features that lean to toxic documents; without the others the fit is small."""
+    words = len(bags.words)
+    in_doc = np.unique(bags.doc_of[bags.sentence_of].astype(np.int64) * words + bags.word_of)
+    docs, toxic = np.bincount(in_doc % words, minlength=words), np.bincount(in_doc % words, weights=y[in_doc // words], minlength=words)
+    pair_word, pair_bucket = array("i"), array("i")
+    for k, w in enumerate(bags.words):
+        found = features(w)
+        pair_word.extend([k] * len(found))
+        pair_bucket.extend(found)
+    pair_word, pair_bucket = np.array(pair_word, np.int32), np.array(pair_bucket, np.int32)
+    total = np.bincount(pair_bucket, weights=docs[pair_word], minlength=BUCKETS)
+    bad = np.bincount(pair_bucket, weights=toxic[pair_word], minlength=BUCKETS)
+    lean = (bad - total * y.mean()) / np.sqrt(total * y.mean() * (1 - y.mean()) + 1)
+    keep = ((total >= LEAST_DOCS) & (lean > LEAN))[pair_bucket]
+    return pair_word[keep], pair_bucket[keep]
+
+
+def _log_odds(x: float) -> float:
+    x = min(max(x, 1e-4), 1 - 1e-4)
+    return float(np.log(x / (1 - x)))
+
+
 def train(texts: list[str], labels: list[int], share: float | None = None, steps: int = STEPS) -> SentenceModel:
     """Fits sentence weights to document labels; share: of toxic rows where the model is used."""
     y = np.array(labels, dtype=float)
-    if not len(y) or y.min() == y.max():
-        prior = share if share is not None else 0.5
-        return SentenceModel({}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    word_ids: dict[str, int] = {}
-    sentence_of, word_of, doc_of = [], [], []
-    for d, text in enumerate(texts):
-        for m in SENTENCE.finditer(text) if text else ():
-            for w in set(WORD.findall(m[0].lower())):
-                sentence_of.append(len(doc_of))
-                word_of.append(word_ids.setdefault(w, len(word_ids)))
-            doc_of.append(d)
-    sentence_of, word_of, doc_of = np.array(sentence_of, np.int64), np.array(word_of, np.int64), np.array(doc_of, np.int64)
-    words, sentences, n = len(word_ids), len(doc_of), len(texts)
-    doc_word = np.unique(doc_of[sentence_of] * max(words, 1) + word_of)
-    in_docs, feature_ids, pair_word, pair_feature = np.bincount(doc_word % max(words, 1), minlength=words), {}, [], []
-    for w, k in word_ids.items():
-        for f in features(w):
-            pair_word.append(k)
-            pair_feature.append(feature_ids.setdefault(f, len(feature_ids)))
-    pair_word, pair_feature = np.array(pair_word, np.int64), np.array(pair_feature, np.int64)
-    names = list(feature_ids)
-    toxic_docs = np.bincount(doc_word % max(words, 1), weights=y[doc_word // max(words, 1)], minlength=words)
-    # features whose words lean to neither label tell nothing; without them the fit is small
-    total = np.bincount(pair_feature, weights=in_docs[pair_word], minlength=len(names))
-    bad = np.bincount(pair_feature, weights=toxic_docs[pair_word], minlength=len(names))
-    z = (bad - total * y.mean()) / np.sqrt(total * y.mean() * (1 - y.mean()) + 1)
-    keep = (total >= LEAST_DOCS) & (np.abs(z) > 2.5)
-    place = np.cumsum(keep) - 1
-    pair_word, pair_feature = pair_word[keep[pair_feature]], place[pair_feature[keep[pair_feature]]]
-    names = [x for x, k in zip(names, keep) if k]
+    bags = Bags.of(texts)
+    if not len(bags.words) or y.min() == y.max():
+        return SentenceModel(np.zeros(BUCKETS), _log_odds(0.5 if share is None else share))
+    pair_word, pair_bucket = telling(bags, y)
+    buckets, pair_feature = np.unique(pair_bucket, return_inverse=True)
+    size, words, sentences, n = len(buckets), len(bags.words), len(bags.doc_of), len(texts)
     used = np.zeros(words, bool)
     used[pair_word] = True
-    sentence_of, word_of = sentence_of[used[word_of]], word_of[used[word_of]]
-    theta, bias = np.zeros(len(names)), -5.0
-    m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
+    keep = used[bags.word_of]
+    sentence_of, word_of, doc_of = bags.sentence_of[keep], bags.word_of[keep], bags.doc_of
+    theta, bias = np.zeros(size), -7.0
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         value = np.bincount(pair_word, weights=theta[pair_feature], minlength=words)
         odds = bias + np.bincount(sentence_of, weights=value[word_of], minlength=sentences)
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         none = np.bincount(doc_of, weights=-np.logaddexp(0, odds), minlength=n)
-        q = -np.expm1(np.minimum(none, -1e-12))
-        pull = np.where(y == 1, (1 - q) / q, -1.0)  # of the document, on each sentence in proportion to p
+        some = -np.expm1(np.minimum(none, -1e-12))
+        pull = np.where(y == 1, (1 - some) / some, -1.0)  # of the document, on each sentence in proportion to p
         g = p * pull[doc_of] / n
         by_word = np.bincount(word_of, weights=g[sentence_of], minlength=words)
-        grad = np.bincount(pair_feature, weights=by_word[pair_word], minlength=len(names)) - DECAY / n * theta
-        gb = g.sum()
+        grad = np.append(np.bincount(pair_feature, weights=by_word[pair_word], minlength=size) - DECAY / n * theta, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
-        c1, c2 = 1 - 0.9**step, 1 - 0.99**step
-        theta += RATE * (m / c1) / (np.sqrt(v / c2) + 1e-9)
-        bias += RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    odds = lambda x: float(np.log(np.clip(x, 1e-4, 1 - 1e-4) / np.clip(1 - x, 1e-4, 1 - 1e-4)))
-    shift = 0.0 if share is None else odds(share) - odds(float(y.mean()))
-    return SentenceModel({f: float(t) for f, t in zip(names, theta) if t}, float(bias), shift)
+        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        theta, bias = np.maximum(theta + move[:-1], 0), bias + move[-1]  # evidence adds up; nothing speaks against it
+    weights = np.zeros(BUCKETS)
+    weights[buckets] = theta
+    return SentenceModel(weights, float(bias), 0.0 if share is None else _log_odds(share) - _log_odds(float(y.mean())))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> SentenceModel:
