@@ -15,6 +15,8 @@ from ..ship import ship
 SLICE_ROWS = 256
 #: groups that hold more than one row in HOT_SHARE are joined by broadcast: there are at most HOT_SHARE of them
 HOT_SHARE = 2000
+#: ids that are broadcast at once: 16 MB of them
+BROADCAST_IDS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,32 @@ def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def filtered(df: DataFrame, judge: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows whose text is judged True, all columns as they are, without a shuffle.
+
+    judge() makes the function once in each task; it gets a list of texts.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = judge()
+        for rows in slices(batches):
+            yield rows.filter(pa.array(decide([x or "" for x in rows.column(at).to_pylist()]), pa.bool_()))
+
+    return mapped(df, run, df.schema)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids (doc_id); rows with a null id stay.
+
+    Up to BROADCAST_IDS ids are broadcast, so texts stay where they are; more
+    are met by a shuffle.
+    """
+    ids = stored(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "dropped-ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor: how rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, slices, table, text_of
+from .common import filtered, mapped, slices, table, text_of
 
 Q = 8
 EDIT_RATE = 0.08
@@ -240,5 +240,18 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, most: in
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, most: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs in which no passage occurs, in place."""
+    for block in blocks(items, "item_id", "text", most):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def judge(shared=shared):
+            fitted = Matcher(shared.value, rate)
+            return lambda texts: [not fitted.find(t) for t in texts]
+
+        docs = filtered(docs, judge)
+    return docs
+
+
 def op2_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

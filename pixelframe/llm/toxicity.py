@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, slices, table, text_of
+from .common import filtered, mapped, slices, table, text_of
 from .labelled import held_out, labelled_sample
 
 SAMPLE_ROWS = 4000
@@ -191,6 +191,17 @@ def score(docs: DataFrame, model: SentenceModel) -> DataFrame:
     return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending", "worst_sentence")
 
 
+def clean(docs: DataFrame, model: SentenceModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, in place."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        fitted = shared.value
+        return lambda texts: [fitted.score(np.array([x[2] for x in fitted.sentences(t)])) < threshold for t in texts]
+
+    return filtered(docs, judge)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
