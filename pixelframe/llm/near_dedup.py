@@ -14,7 +14,7 @@ rounds a class is checked against one member, drawn anew by hash, of another
 component in a group that it shares; what is linked falls together, so large
 groups of near copies shrink to one component.  Groups that still hold several
 components are then checked exhaustively, in tiles of bounded size that compare
-signatures in place and pass on only pairs within DISTANCE of different
+signatures and then full sets in place and return only links that join
 components.  Nothing is capped, so no link is lost.
 
 Full sets are read by the classes that share a group with another one; they
@@ -47,8 +47,8 @@ SYMBOLS = 64
 DISTANCE = 26
 CHUNKS = 14
 ROUNDS = 3
-TILE = 1024
-KNOWN_WORDS = 600_000
+TILE = 512
+KNOWN_WORDS = 300_000
 NUMERATOR, DENOMINATOR = 80, 100
 _RANDOM = np.random.default_rng(8)
 MULTIPLIERS = (_RANDOM.integers(1, 1 << 32, SYMBOLS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -156,14 +156,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for rows in slices(batches):
             kept = []
             for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if DENOMINATOR * min(len(x), len(y)) < NUMERATOR * max(len(x), len(y)):
-                    kept.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                shared = int((y[at] == x).sum())
-                kept.append(DENOMINATOR * shared >= NUMERATOR * (len(x) + len(y) - shared))
+                kept.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             mask = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([rows.column(0).filter(mask), rows.column(1).filter(mask)], ["a", "b"])
 
@@ -194,30 +187,69 @@ def _drawn(members: DataFrame, total: int, salt: int) -> DataFrame:
     return best.select(F.least("id", "other.id").alias("b"), F.greatest("id", "other.id").alias("a")).distinct()
 
 
-def _tiles(members: DataFrame, mixed: DataFrame, classes: DataFrame, total: int) -> DataFrame:
-    """Pairs of mixed groups within DISTANCE and of different components, compared in tiles of bounded size."""
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["block", "id"])
-        symbols = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, SYMBOLS)
-        ids, component, block = frame["id"].to_numpy(), frame["component"].to_numpy(), frame["block"].to_numpy()
-        out = []
-        for i in range(len(frame) - 1):
-            rest = slice(i + 1, None)
-            maybe = component[rest] != component[i]
-            if len(set(block[[0, -1]])) == 2:  # a tile of two blocks: pairs inside one belong to that block's own tile
-                maybe &= block[rest] != block[i]
-            at = np.flatnonzero(maybe) + i + 1
-            at = at[(symbols[at] != symbols[i]).sum(axis=1) <= DISTANCE]
-            out += [(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in at]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    rows = join_groups(members, mixed, "key", "size", total).join(classes.select("id", "signature"), "id")
-    blocks = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if DENOMINATOR * min(len(x), len(y)) < NUMERATOR * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    shared = int((y[at] == x).sum())
+    return DENOMINATOR * shared >= NUMERATOR * (len(x) + len(y) - shared)
+
+
+def _compare(frame: pd.DataFrame) -> pd.DataFrame:
+    """The links of one tile that join components: at most one fewer than it has rows.
+
+    Signatures are compared first; full sets only for pairs within DISTANCE
+    whose components are still apart.
+    """
+    frame = frame.sort_values(["block", "id"])
+    symbols = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, SYMBOLS)
+    sets = [np.frombuffer(x, np.uint64) for x in frame["found"]]
+    sizes = np.array([len(x) for x in sets])
+    ids, block, component = frame["id"].to_numpy(), frame["block"].to_numpy(), frame["component"].to_numpy()
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in above:
+            c = above[c]
+        return c
+
+    across = block[0] != block[-1]  # a tile of two blocks: pairs inside one belong to that block's own tile
+    border = int(np.searchsorted(block, block[-1])) if across else 0
+    out = []
+    for i in range(border if across else len(ids) - 1):
+        at = np.arange(border if across else i + 1, len(ids))
+        low, high = np.minimum(sizes[at], sizes[i]), np.maximum(sizes[at], sizes[i])
+        at = at[(component[at] != component[i]) & (DENOMINATOR * low >= NUMERATOR * high)]
+        at = at[(symbols[at] != symbols[i]).sum(axis=1) <= DISTANCE]
+        for j in at:
+            one, two = top(component[i]), top(component[j])
+            if one != two and _similar(sets[i], sets[j]):
+                above[max(one, two)] = min(one, two)
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _tiles(members: DataFrame, mixed: DataFrame, classes: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """Links between the components of mixed groups, found exhaustively.
+
+    Classes whose mixed groups hang together form one cluster; its pairs are
+    compared in tiles of two blocks of TILE classes, so a class is sent once
+    for each block of its cluster and not once for each key or pair.
+    """
+    inside = stored(join_groups(members, mixed, "key", "size", total).select("key", "id", "component"), "near-inside")
+    hubs = inside.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size"))
+    stars = join_groups(inside, hubs, "key", "size", total).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    clusters = components(stars).withColumnRenamed("component", "cluster")
+    rows = stored(inside.select("id", "component").distinct().join(clusters, "id"), "near-clusters")
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    rows = join_groups(rows, sizes, "cluster", "size", rows.count())
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(classes.select("id", "signature"), "id").join(sets.hint("merge"), "id")
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "id", "component", "block", "signature")
-    return rows.groupBy("key", "one", "two").applyInPandas(compare, "a long, b long").distinct()
+    rows = rows.select("cluster", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "id", "component", "block", "signature", "found")
+    return rows.groupBy("cluster", "one", "two").applyInPandas(_compare, "a long, b long")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -236,13 +268,13 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     for draw in range(ROUNDS + 1):
         now = stored(_labelled(members, labels), "near-labelled")
         if draw < ROUNDS:
-            pairs = _drawn(now, total, draw)
+            found = confirmed(_drawn(now, total, draw), sets)
         else:
             mixed = stored(_mixed(now), "near-mixed")
             if mixed.isEmpty():
                 break
-            pairs = _tiles(now, mixed, classes, total)
-        found = stored(confirmed(pairs, sets), "near-links")
+            found = _tiles(now, mixed, classes, sets, total)
+        found = stored(found, "near-links")
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.union(found)
