@@ -130,15 +130,15 @@ one AS (SELECT *, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY image_i
 two AS (SELECT *, least(u, 0.2) AS t FROM one),
 three AS (SELECT *, coalesce(t / nullif(sqrt(sum(t * t) OVER (PARTITION BY image_id, yy, xx)), 0), t) AS z FROM two)"""
 
-CANNY = f"""blur AS (SELECT image_id, ch, r, c, {BYTE} AS v FROM ({convolved('gray64', gauss(5, 1.4), 64)})),
-cx AS ({convolved('blur', SOBEL_X, 64)}), cy AS ({convolved('blur', SOBEL_Y, 64)}),
+CANNY = f"""blur AS (SELECT image_id, ch, r, c, {BYTE} AS v FROM ({convolved('gray8', gauss(5, 1.4), 8)})),
+cx AS ({convolved('blur', SOBEL_X, 8)}), cy AS ({convolved('blur', SOBEL_Y, 8)}),
 cg AS (SELECT cx.image_id, cx.r, cx.c, sqrt(cx.v * cx.v + cy.v * cy.v) AS mag, degrees(atan2(cy.v + 0.0, cx.v + 0.0)) AS t FROM cx JOIN cy USING (image_id, r, c)),
 binned AS (SELECT image_id, r, c, mag, CAST(floor(((CASE WHEN t < 0 THEN t + 180 WHEN t >= 180 THEN t - 180 ELSE t END) + 22.5) / 45) AS INTEGER) % 4 AS q FROM cg),
 steps AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) AS s(q, dr, dc)),
 thin AS (SELECT b.image_id, b.r, b.c, CASE WHEN b.mag >= o.mag AND b.mag >= p.mag THEN b.mag ELSE 0 END AS mag FROM binned b JOIN steps s USING (q)
-  JOIN binned o ON o.image_id = b.image_id AND o.r = {clamped('b.r + s.dr', 64)} AND o.c = {clamped('b.c + s.dc', 64)}
-  JOIN binned p ON p.image_id = b.image_id AND p.r = {clamped('b.r - s.dr', 64)} AND p.c = {clamped('b.c - s.dc', 64)}),
-edge AS (SELECT image_id, r, c FROM thin WHERE mag >= 150 UNION SELECT t.image_id, t.r, t.c FROM edge e JOIN thin t ON t.image_id = e.image_id AND abs(t.r - e.r) <= 1 AND abs(t.c - e.c) <= 1 AND t.mag >= 50)"""
+  JOIN binned o ON o.image_id = b.image_id AND o.r = {clamped('b.r + s.dr', 8)} AND o.c = {clamped('b.c + s.dc', 8)}
+  JOIN binned p ON p.image_id = b.image_id AND p.r = {clamped('b.r - s.dr', 8)} AND p.c = {clamped('b.c - s.dc', 8)}),
+edge AS (SELECT image_id, r, c FROM thin WHERE mag >= 150 UNION SELECT t.image_id, t.r, t.c FROM edge e CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) AS o(dr, dc) JOIN thin t ON t.image_id = e.image_id AND t.r = e.r + o.dr AND t.c = e.c + o.dc WHERE t.mag >= 50)"""
 
 FIXED_LAYER = [[[1, 0, -1], [2, 0, -2], [1, 0, -1]], [[0, 1, 0], [1, -4, 1], [0, 1, 0]]]
 LAYER_VALUES = ", ".join(f"({o}, {i}, {j}, {x}::DOUBLE)" for o, k in enumerate(FIXED_LAYER) for i, row in enumerate(k) for j, x in enumerate(row))
@@ -177,7 +177,7 @@ ORACLES: dict[str, str] = {
     "sobel": sql("SELECT CAST(image_id AS BIGINT) AS image_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, gx + 0.0 AS gx, gy + 0.0 AS gy, round(magnitude, 6) AS magnitude, round(angle, 6) AS angle FROM sobel", GRADIENT),
     "threshold_adaptive_mean": pixels("CASE WHEN own > round(v / 25, 9) - 2 THEN 255 ELSE 0 END", f"({convolved('gray8', ONES5)})"),
     "threshold_adaptive_gauss": pixels("CASE WHEN own > round(v, 9) - 2 THEN 255 ELSE 0 END", f"({convolved('gray8', gauss(5, 0.3 * ((5 - 1) / 2 - 1) + 0.8))})"),
-    "canny": sql("SELECT CAST(g.image_id AS BIGINT) AS image_id, CAST(0 AS INTEGER) AS ch, CAST(g.r AS INTEGER) AS r, CAST(g.c AS INTEGER) AS c, CASE WHEN e.r IS NULL THEN 0.0::DOUBLE ELSE 255.0::DOUBLE END AS v FROM gray64 g LEFT JOIN edge e ON e.image_id = g.image_id AND e.r = g.r AND e.c = g.c", CANNY),
+    "canny": sql("SELECT CAST(g.image_id AS BIGINT) AS image_id, CAST(0 AS INTEGER) AS ch, CAST(g.r AS INTEGER) AS r, CAST(g.c AS INTEGER) AS c, CASE WHEN e.r IS NULL THEN 0.0::DOUBLE ELSE 255.0::DOUBLE END AS v FROM gray8 g LEFT JOIN edge e ON e.image_id = g.image_id AND e.r = g.r AND e.c = g.c", CANNY),
     "lbp_codes": pixels("v", "codes", ctes=LBP_CODES),
     "conv_layer": pixels("v", f"(SELECT d.image_id, k.o AS ch, d.r, d.c, sum(k.w * coalesce(s.v, 0)) + (CASE k.o WHEN 0 THEN 1 ELSE -1 END) AS v FROM (SELECT i.image_id, a.r, b.c FROM (SELECT DISTINCT image_id FROM gray8) i, generate_series(0, 3) a(r), generate_series(0, 3) b(c)) d CROSS JOIN (VALUES {LAYER_VALUES}) AS k(o, i, j, w) LEFT JOIN gray8 s ON s.image_id = d.image_id AND s.r = d.r * 2 + k.i - 1 AND s.c = d.c * 2 + k.j - 1 GROUP BY 1, 2, 3, 4)"),
     "maxpool": pixels("v", "(SELECT d.image_id, 0 AS ch, a.r, b.c, max(d.v) AS v FROM gray8 d JOIN generate_series(0, 2) a(r) ON d.r BETWEEN a.r * 2 AND a.r * 2 + 2 JOIN generate_series(0, 2) b(c) ON d.c BETWEEN b.c * 2 AND b.c * 2 + 2 GROUP BY 1, 2, 3, 4)"),

@@ -179,7 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sobel": _sobel,
     "threshold_adaptive_mean": on(g8, lambda x: stencil.threshold_adaptive(x, 5, "mean", 2)),
     "threshold_adaptive_gauss": on(g8, lambda x: stencil.threshold_adaptive(x, 5, "gaussian", 2)),
-    "canny": on(g64, lambda x: stencil.canny(x, 50, 150)),
+    "canny": on(g8, lambda x: stencil.canny(x, 50, 150)),
     "lbp_codes": on(g8, stencil.lbp_codes),
     "conv_layer": on(g8, lambda x: stencil.cross_correlate(x, LAYER, [1.0, -1.0], 2, 1)),
     "maxpool": on(g8, lambda x: stencil.max_pool(x, 3, 2)),
