@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..ship import ship
 
 SLICE_ROWS = 256
+BATCH_ROWS = 1024
+BATCH_BYTES = "8m"
 #: groups that hold more than one row in HOT_SHARE are joined by broadcast: there are at most HOT_SHARE of them
 HOT_SHARE = 2000
 #: ids that are broadcast at once: 16 MB of them
@@ -55,9 +57,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to what texts of any length leave room for."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """mapInArrow with this package sent to the workers."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -48,7 +48,7 @@ DISTANCE = 26
 CHUNKS = 14
 ROUNDS = 3
 TILE = 512
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 NUMERATOR, DENOMINATOR = 80, 100
 _RANDOM = np.random.default_rng(8)
 MULTIPLIERS = (_RANDOM.integers(1, 1 << 32, SYMBOLS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)

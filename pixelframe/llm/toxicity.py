@@ -41,7 +41,7 @@ DECAY = 2e-3
 GRAMS = (4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 WORD = re.compile(r"\w+")
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def features(word: str) -> set[int]:
