@@ -233,6 +233,21 @@ class Tables:
     network: LogBilinear
 
 
+def head_words(counts: DataFrame) -> DataFrame:
+    """The most frequent words, at most HEAD of them: all above a count, so that none are sorted or gathered to find them.
+
+    Counts are taken in eighths of a power of two, of which there are at most 512.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = {r["level"]: r["size"] for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()}
+    least, taken = max(sizes, default=0) + 1, 0
+    for k in sorted(sizes, reverse=True):
+        if taken + sizes[k] > HEAD - 1:
+            break
+        least, taken = k, taken + sizes[k]
+    return counts.filter((level >= least) & (F.col("word") != F.lit(END))).union(counts.filter(F.col("word") == F.lit(END)))
+
+
 def unit_shares(counts: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray]:
     """By unit: tokens, and the share kept for unknown words. Units of one word are that word alone."""
     last = F.encode(F.substring(F.decode("word", "UTF-8"), -ENDING, ENDING), "UTF-8")
@@ -291,7 +306,7 @@ def score_documents(docs: DataFrame, train_on: Column | None = None) -> DataFram
     network = train(count_trigrams(learnt, units))
     tokens, unknown = unit_shares(counts, units)
 
-    ranked = counts.orderBy(F.desc("n"), "word").limit(HEAD - 1).toArrow()
+    ranked = head_words(counts).toArrow()
     head = {END: 0}
     sizes = [0]
     for word, n in zip(ranked.column("word").to_pylist(), ranked.column("n").to_pylist()):
