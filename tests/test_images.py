@@ -198,7 +198,7 @@ def test_mrmr_avoids_copies(spark):
     a, b = y + 0.3 * r.standard_normal(200), y + 0.3 * r.standard_normal(200)
     rows = spark.createDataFrame([(int(k), [float(u), float(u) + 1e-9, float(v), float(n)]) for k, u, v, n in zip(y, a, b, r.standard_normal(200))], "label int, features array<double>")
     chosen = selection.mrmr(rows, 2)
-    assert chosen[0] in (0, 1) and chosen[1] in (2, 3)
+    assert 2 in chosen and len({0, 1} & set(chosen)) == 1  # of the two copies only one
 
 
 def test_models_learn(spark):
