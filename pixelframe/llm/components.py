@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels with pointer jumping."""
+"""Connected components of an edge table, by hooking parents and jumping pointers."""
 
 from __future__ import annotations
 
@@ -13,19 +13,29 @@ ROUNDS = 64
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of edges (a, b); component: the least id reachable.
 
-    Each round takes the least label among an id's neighbours and then the
-    label of that label, so long chains halve.  All steps are joins and
+    Every id has a parent, never larger than itself, and a grandparent.  In a
+    round the least grandparent among an id's neighbours is offered to the id
+    and to its parent, and each id takes the least of its offers and its own
+    grandparent.  As whole trees are hooked and not only single ids, rounds grow
+    with the logarithm of the longest chain.  All steps are joins and
     pre-aggregated minima; nothing is gathered, and each round is stored.
     """
     both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least")).select("id", F.least("id", "least").alias("component")), "labels")
+    first = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least")).select("id", F.least("id", "least").alias("parent"))
+    labels = _raised(stored(first, "labels"))
     for _ in range(ROUNDS):
-        near = both.join(labels, both["v"] == labels["id"]).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
-        lower = stored(lower, "labels")
-        up = lower.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        now = stored(lower.join(up, "next").select("id", F.least("next", "jump").alias("component"), F.col("component").alias("before")), "labels")
-        labels = now.select("id", "component")
-        if now.filter("component <> before").isEmpty():
-            return labels
+        offered = both.join(labels.select(F.col("id").alias("v"), "top"), "v").groupBy(F.col("u").alias("id")).agg(F.min("top").alias("offer"))
+        seen = labels.join(offered, "id")
+        offers = F.array(F.struct(F.col("id"), F.least("offer", "top").alias("value")), F.struct(F.col("parent").alias("id"), F.col("offer").alias("value")))
+        parents = seen.select(F.inline(offers)).groupBy("id").agg(F.min("value").alias("parent"))
+        now = _raised(stored(parents, "labels"))
+        if now.select("id", "top").join(labels.select("id", F.col("top").alias("before")), "id").filter("top <> before").isEmpty():
+            return now.select("id", F.col("top").alias("component"))
+        labels = now
     raise RuntimeError("components did not settle")
+
+
+def _raised(parents: DataFrame) -> DataFrame:
+    """parents (id, parent) with top, the parent's parent."""
+    above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("top"))
+    return stored(parents.join(above, "parent").select("id", "parent", "top"), "labels")
