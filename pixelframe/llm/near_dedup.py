@@ -173,8 +173,8 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """The keys whose group holds more than one component, with the group's size."""
-    return members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("key", "size")
+    """The keys whose group holds more than one component, with the group's size and its least id, the hub."""
+    return members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("key", "hub", "size")
 
 
 def _drawn(members: DataFrame, total: int, salt: int) -> DataFrame:
@@ -234,22 +234,19 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
 def _tiles(members: DataFrame, mixed: DataFrame, classes: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     """Links between the components of mixed groups, found exhaustively.
 
-    Classes whose mixed groups hang together form one cluster; its pairs are
-    compared in tiles of two blocks of TILE classes, so a class is sent once
-    for each block of its cluster and not once for each key or pair.
+    Mixed groups of one hub form one cluster: what shares a key with the hub,
+    and no chain from group to group, however far those reach.  A cluster's
+    pairs are compared in tiles of two blocks of TILE classes, so a class is
+    sent once for each block of its clusters and not once for each key or pair.
     """
-    inside = stored(join_groups(members, mixed, "key", "size", total).select("key", "id", "component"), "near-inside")
-    hubs = inside.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size"))
-    stars = join_groups(inside, hubs, "key", "size", total).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(stars).withColumnRenamed("component", "cluster")
-    rows = stored(inside.select("id", "component").distinct().join(clusters, "id"), "near-clusters")
-    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    rows = join_groups(rows, sizes, "cluster", "size", rows.count())
+    rows = stored(join_groups(members, mixed, "key", "size", total).select("hub", "id", "component").distinct(), "near-clusters")
+    sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    rows = join_groups(rows, sizes, "hub", "size", rows.count())
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.join(classes.select("id", "signature"), "id").join(sets.hint("merge"), "id")
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "id", "component", "block", "signature", "found")
-    return rows.groupBy("cluster", "one", "two").applyInPandas(_compare, "a long, b long")
+    rows = rows.select("hub", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "id", "component", "block", "signature", "found")
+    return rows.groupBy("hub", "one", "two").applyInPandas(_compare, "a long, b long")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
