@@ -1,24 +1,29 @@
 """Scores of texts under a log-bilinear model trained by noise-contrastive estimation.
 
-Tokens are lower-cased words and an end.  Every token has a unit: the most
-frequent words are units of their own, other words share one with all words
-that end alike.  The network predicts a token's unit from the two units before
-it: their vectors, each through the matrix of its place, add up to a predicted
-vector, whose product with a unit's vector, plus that unit's bias, is its
-score.  Within a unit a word has its share of the unit's tokens, less the
-share that the unit gives to words never seen (the Good-Turing estimate), so
-probabilities over all known words and one unknown word for each unit add up
-to one.
-
-All counts are over all training documents: words, and trigrams of units.
-Since the network sees units only, the trigram table has at most UNITS ** 3
-entries however large the corpus is; it goes to the driver, where numpy fits
-the network to it.  The noise expectation of NCE is taken over all units
-instead of a sample.  Matrix products over batches of contexts then give
-normalised log-probabilities of all units after all pairs of units.
-
-Word counts of the HEAD most frequent words are broadcast.  Other words are
-joined with their counts by a shuffle, one row for each document and word.
+Tokens are lower-cased words and an end.  Every word that occurs at least
+LEAST_COUNT times is a unit with vectors of its own, so units grow with the
+corpus; rarer words share a unit with all rare words that end alike.  The
+network predicts a token's unit from the two units before it: their vectors,
+each through the matrix of its place, add up to a predicted vector, whose
+product with a unit's vector, plus that unit's bias, is its score.  Within a
+shared unit a word has its share of the unit's tokens, less the share that the
+unit gives to words never seen (the Good-Turing estimate).
+
+All counts and all training are over all training documents.  A class network
+of UNITS classes is fitted on the driver to a table of trigrams of classes, at
+most UNITS ** 3 entries; every unit starts at the vectors of its class.  Then
+the documents are dealt into ROUNDS parts.  In each round, tasks train on their
+tokens of one part by sampled noise, from the same vectors; what they change is
+averaged by unit with the unit's counts as weights, in Spark.  Only units that
+a task met are shuffled, and one record for each unit reaches the driver.
+
+Scores are those of noise-contrastive estimation, which learns to have sums of
+probabilities near one; they are not divided by the sum over all units.  The
+mean of its logarithm over contexts of all tasks is subtracted.
+
+Word counts of the HEAD most frequent words are broadcast, and hashes and
+vectors of all units.  Other words are joined with their counts by a shuffle,
+one row for each document and word.
 
 Defined results: null texts are empty and have one end; null ids are training
 rows; an empty training set gives every token the unknown word's probability;
@@ -28,6 +33,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,6 +54,15 @@ DIMENSION = 32
 NOISE = 16
 STEPS = 120
 RATE = 0.05
+LEAST_COUNT = 100
+SHARED = 1 + ENDING_UNITS + 1  # the end, endings of rare words, all other rare words; units of one word follow
+ROUNDS = 3
+BATCH = 4096
+DRAWS = 256  # noise units drawn for each batch
+SHARD_RATE = 0.1
+SHARD_TOKENS = 4_000_000
+BLOCKS = 256
+CONTEXTS = 64  # of each shard, to measure sums of probabilities
 KEPT_WORDS = 400_000
 FLUSH = 400_000
 END = b""  # no word is empty
@@ -220,17 +235,246 @@ def train(counts: np.ndarray, steps: int = STEPS, seed: int = 7) -> LogBilinear:
     return model
 
 
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
+def last_characters() -> Column:
+    return F.encode(F.substring(F.decode("word", "UTF-8"), -ENDING, ENDING), "UTF-8")
+
+
+@dataclass
+class Vocabulary:
+    """Units of the network: 0 is the end, then endings of rare words, then all other rare words, then words by hash."""
+
+    hashes: np.ndarray  # sorted
+    endings: dict[bytes, int]
+
+    @property
+    def size(self) -> int:
+        return SHARED + len(self.hashes)
+
+    def of(self, word: bytes) -> int:
+        h = word_hash(word)
+        k = int(self.hashes.searchsorted(h))
+        return SHARED + k if k < len(self.hashes) and self.hashes[k] == h else self.endings.get(ending(word), SHARED - 1)
+
+
+def choose_vocabulary(counts: DataFrame, classes: Units, least: int = LEAST_COUNT) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """All words of at least `least` tokens, and the most frequent endings of the others; by unit its tokens (of one word only) and its class."""
+    own = counts.filter((F.col("n") >= least) & (F.col("word") != F.lit(END))).toArrow()
+    words = own.column("word").to_pylist()
+    hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
+    order = np.argsort(hashes)
+    rest = rare_words(counts, least).groupBy(last_characters().alias("ending")).agg(F.sum("n").alias("n"))
+    endings = {bytes(r["ending"]): 1 + k for k, r in enumerate(rest.orderBy(F.desc("n"), "ending").limit(ENDING_UNITS).collect())}
+    tokens = np.zeros(SHARED + len(words))
+    tokens[SHARED:] = own.column("n").to_numpy()[order]
+    class_of = np.full(len(tokens), UNITS - 1)
+    class_of[0] = 0
+    for e, k in endings.items():
+        class_of[k] = classes.endings.get(e, UNITS - 1)
+    class_of[SHARED:] = np.fromiter(map(classes.of, words), np.int64, len(words))[order]
+    return Vocabulary(hashes[order], endings), tokens, class_of
+
+
+def rare_words(counts: DataFrame, least: int) -> DataFrame:
+    return counts.filter((F.col("n") < least) & (F.col("word") != F.lit(END)))
+
+
+@dataclass
+class Network:
+    """The log-bilinear network over a vocabulary; used: sums of squared gradients (AdaGrad) of context, target and bias."""
+
+    context: np.ndarray  # units x DIMENSION
+    target: np.ndarray  # units x DIMENSION
+    bias: np.ndarray
+    used: np.ndarray  # units x 3
+    places: np.ndarray  # 2 x DIMENSION x DIMENSION
+
+    def scores(self, units: np.ndarray, moved: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Natural logarithm of the probability of each unit of a text and its end; moved: the contexts through their places."""
+        padded = np.concatenate(([0, 0], units, [0]))
+        guess = moved[0][padded[:-2]] + moved[1][padded[1:-1]]
+        return np.einsum("ij,ij->i", guess, self.target[padded[2:]]) + self.bias[padded[2:]]
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.context @ self.places[0], self.context @ self.places[1]
+
+    def log_sums(self, pairs: np.ndarray, batch: int = 16) -> np.ndarray:
+        """Logarithm of the sum of all units' probabilities after each pair of units."""
+        out = []
+        for at in range(0, len(pairs), batch):
+            one, two = pairs[at : at + batch].T
+            s = (self.context[one] @ self.places[0] + self.context[two] @ self.places[1]) @ self.target.T + self.bias
+            top = s.max(axis=1)
+            out.append(top + np.log(np.exp(s - top[:, None]).sum(axis=1)))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+def start(classes: LogBilinear, class_of: np.ndarray, tokens: np.ndarray, seed: int = 11) -> Network:
+    """Every unit with its class's vectors, slightly moved; its bias by its own frequency."""
+    random = np.random.default_rng(seed)
+    near = lambda x: (x[class_of] + 0.02 * random.standard_normal((len(class_of), DIMENSION))).astype(np.float32)
+    size = np.maximum(tokens, 0.5)
+    of_class = np.bincount(class_of, size, UNITS)[class_of]
+    bias = (classes.bias[class_of] + np.log(size / of_class)).astype(np.float32)
+    return Network(near(classes.context), near(classes.target), bias, np.full((len(class_of), 3), 0.01, np.float32), classes.places.astype(np.float32))
+
+
+def _climb(x: np.ndarray, used: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+    """An AdaGrad step on rows `at` (which may repeat) of x along g."""
+    order = np.argsort(at, kind="stable")
+    sorted_ = at[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    rows, g = sorted_[first], np.add.reduceat(g[order], first, axis=0)
+    used[rows] += (g * g).mean(axis=1) if g.ndim == 2 else g * g
+    scale = SHARD_RATE / np.sqrt(used[rows])
+    x[rows] += g * (scale[:, None] if g.ndim == 2 else scale)
+
+
+def train_shard(net: Network, noise: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, Network]:
+    """One pass over a shard's tokens in batches, each with DRAWS units of noise: units met, their tokens, and what changed."""
+    random = np.random.default_rng(seed)
+    batches = -(-len(target) // BATCH)
+    total = np.cumsum(noise)
+    drawn = np.minimum(np.searchsorted(total, random.random((batches, DRAWS)) * total[-1]), len(noise) - 1)
+    met = np.zeros(len(noise), bool)
+    for x in (one, two, target, drawn):
+        met[x] = True
+    units = np.flatnonzero(met)
+    place = np.zeros(len(noise), np.int64)
+    place[units] = np.arange(len(units))
+    c, t, b, used = (x[units].astype(np.float32) for x in (net.context, net.target, net.bias, net.used))
+    used = [np.ascontiguousarray(used[:, k]) for k in range(3)]
+    places, places_used = net.places.copy(), np.full_like(net.places, 1.0)
+    shift = np.log(NOISE * noise[units] / total[-1]).astype(np.float32)
+    weight = np.float32(NOISE / DRAWS)
+    sigma = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+    order = random.permutation(len(target))
+    for k in range(batches):
+        mine = order[k * BATCH : (k + 1) * BATCH]
+        i, j, w, q = place[one[mine]], place[two[mine]], place[target[mine]], place[drawn[k]]
+        ci, cj, tw, tq = c[i], c[j], t[w], t[q]
+        guess = ci @ places[0] + cj @ places[1]
+        up = 1 - sigma(np.einsum("ij,ij->i", guess, tw) + b[w] - shift[w])
+        down = -weight * sigma(guess @ tq.T + b[q] - shift[q])
+        back = up[:, None] * tw + down @ tq
+        moved = np.stack([ci.T @ back, cj.T @ back])
+        _climb(c, used[0], np.concatenate((i, j)), np.concatenate((back @ places[0].T, back @ places[1].T)))
+        both = np.concatenate((w, q))
+        _climb(t, used[1], both, np.concatenate((up[:, None] * guess, down.T @ guess)))
+        _climb(b, used[2], both, np.concatenate((up, down.sum(axis=0))))
+        places_used += moved * moved
+        places += 0.5 * SHARD_RATE * moved / np.sqrt(places_used)
+    changed = Network(c - net.context[units], t - net.target[units], b - net.bias[units], np.stack(used, axis=1) - net.used[units], places - net.places)
+    return units, np.bincount(place[target], minlength=len(units)), changed
+
+
+CHANGES = "block int, units binary, weights binary, vectors binary, others binary"
+
+
+def _average(found: pa.Table) -> pa.Table:
+    """Changes of one block of units, averaged with their tokens (and one) as weights; those of the places and some contexts in block BLOCKS."""
+    block = found.column("block")[0].as_py()
+    rows = list(zip(*(found.column(k).to_pylist() for k in range(1, 5))))
+    weights = [np.frombuffer(r[1], np.float32) for r in rows]
+    if block == BLOCKS:
+        total = sum(w[0] for w in weights)
+        vectors = sum(w[0] / total * np.frombuffer(r[2], np.float32) for w, r in zip(weights, rows)).astype(np.float32)
+        pairs = np.concatenate([np.frombuffer(r[0], np.int32).reshape(-1, 2) for r in rows])
+        units, others = pairs[:: -(-len(pairs) // 512)].ravel(), np.zeros(0, np.float32)
+    else:
+        units, place = np.unique(np.concatenate([np.frombuffer(r[0], np.int32) for r in rows]), return_inverse=True)
+        sums, total = np.zeros((len(units), 2 * DIMENSION + 1), np.float32), np.zeros(len(units), np.float32)
+        gained, at = np.zeros((len(units), 3), np.float32), 0
+        for r, w in zip(rows, weights):
+            mine, at = place[at : at + len(w)], at + len(w)
+            other = np.frombuffer(r[3], np.float32).reshape(-1, 4)
+            total[mine] += w
+            sums[mine, :-1] += w[:, None] * np.frombuffer(r[2], np.float16).reshape(len(w), -1)
+            sums[mine, -1] += w * other[:, 0]
+            gained[mine] += other[:, 1:]
+        sums /= total[:, None]
+        vectors, others = sums[:, :-1].astype(np.float16), np.concatenate((sums[:, -1:], gained), axis=1)
+    return pa.table({"block": pa.array([block], pa.int32()), "units": [units.astype(np.int32).tobytes()], "weights": [b""], "vectors": [vectors.tobytes()], "others": [others.astype(np.float32).tobytes()]})
+
+
+def train_round(docs: DataFrame, vocabulary: Vocabulary, net: Network, noise: np.ndarray, seed: int) -> np.ndarray:
+    """Trains net on all texts of docs; returns pairs of units that were contexts."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net, noise))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, net, noise = shared.value
+        unit = Lookup({}, vocabulary)
+        texts, size = [], 0
+
+        def shard() -> pa.RecordBatch:
+            one, two, target = (np.concatenate([x[k : len(x) - 2 + k] for x in texts]) for k in range(3))
+            units, n, changed = train_shard(net, noise, one, two, target, seed)
+            others = np.concatenate((changed.bias[:, None], changed.used), axis=1).astype(np.float32)
+            vectors = np.concatenate((changed.context, changed.target), axis=1).astype(np.float16)
+            rows = [(k, units[m].astype(np.int32).tobytes(), (n[m] + 1).astype(np.float32).tobytes(), vectors[m].tobytes(), others[m].tobytes()) for k in range(BLOCKS) if (m := units % BLOCKS == k).any()]
+            some = np.linspace(0, len(target) - 1, CONTEXTS).astype(int)
+            pairs = np.stack((one[some], two[some]), axis=1).astype(np.int32)
+            rows.append((BLOCKS, pairs.tobytes(), np.array([len(target)], np.float32).tobytes(), changed.places.astype(np.float32).tobytes(), b""))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "units", "weights", "vectors", "others"])
+
+        for rows in slices(batches):
+            for text in rows.column(0).to_pylist():
+                words = words_of(text)
+                texts.append(np.fromiter(map(unit.__getitem__, words), np.int32, len(words)))
+                texts[-1] = np.concatenate(([0, 0], texts[-1], [0])).astype(np.int32)
+                size += len(words) + 1
+            if size > SHARD_TOKENS:
+                yield shard()
+                size = 0
+        if texts:
+            yield shard()
+
+    changes = docs.select(text_of().alias("text")).transform(mapped, run, CHANGES)
+    pairs = np.zeros((0, 2), np.int64)
+    for r in changes.groupBy("block").applyInArrow(_average, CHANGES).toArrow().to_pylist():
+        units = np.frombuffer(r["units"], np.int32)
+        if r["block"] == BLOCKS:
+            net.places += np.frombuffer(r["vectors"], np.float32).reshape(net.places.shape)
+            pairs = units.reshape(-1, 2).astype(np.int64)
+            continue
+        vectors = np.frombuffer(r["vectors"], np.float16).reshape(len(units), -1)
+        others = np.frombuffer(r["others"], np.float32).reshape(len(units), -1)
+        net.context[units] += vectors[:, :DIMENSION]
+        net.target[units] += vectors[:, DIMENSION:]
+        net.bias[units] += others[:, 0]
+        net.used[units] += others[:, 1:]
+    shared.unpersist()
+    return pairs
+
+
+def fit_network(learnt: DataFrame, vocabulary: Vocabulary, classes: LogBilinear, class_of: np.ndarray, tokens: np.ndarray, rounds: int = ROUNDS) -> Network:
+    """Vectors of all units from all texts, each text in one round."""
+    net, noise = start(classes, class_of, tokens), tokens + 0.5
+    part, pairs = F.pmod(F.xxhash64("text"), F.lit(rounds)), np.zeros((0, 2), np.int64)
+    for k in range(rounds):
+        found = train_round(learnt.filter(part == k), vocabulary, net, noise, k)
+        pairs = found if len(found) else pairs
+    if len(pairs):
+        net.bias -= np.float32(net.log_sums(pairs).mean())
+    return net
+
+
 @dataclass
 class Tables:
-    """What scoring needs of the corpus: bounded by HEAD and UNITS."""
+    """What scoring needs of the corpus: words up to HEAD, and all units."""
 
     head: dict[bytes, int]
-    units: Units
+    units: Vocabulary
     unit_of: np.ndarray  # by index of Lookup
     base_of: np.ndarray  # log10 base score; 0 where the word is joined with its count later
     share_of: np.ndarray  # log10 share of the word in its unit; 0 where it is joined later
     known_of: np.ndarray
-    network: LogBilinear
+    network: Network
 
 
 def head_words(counts: DataFrame) -> DataFrame:
@@ -248,15 +492,14 @@ def head_words(counts: DataFrame) -> DataFrame:
     return counts.filter((level >= least) & (F.col("word") != F.lit(END))).union(counts.filter(F.col("word") == F.lit(END)))
 
 
-def unit_shares(counts: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray]:
-    """By unit: tokens, and the share kept for unknown words. Units of one word are that word alone."""
-    last = F.encode(F.substring(F.decode("word", "UTF-8"), -ENDING, ENDING), "UTF-8")
-    rest = counts.filter(~F.col("word").isin([END, *units.words])).groupBy(last.alias("ending")).agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once"))
+def unit_shares(counts: DataFrame, endings: dict[bytes, int], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """By shared unit: tokens, and the share kept for unknown words."""
+    rest = rare_words(counts, least).groupBy(last_characters().alias("ending")).agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once"))
     # endings are at most as many as pairs of characters; only the listed ones and one sum of the others go to the driver
-    named = F.when(F.col("ending").isin(list(units.endings)), F.col("ending"))
-    tokens, once = np.zeros(UNITS), np.zeros(UNITS)
+    named = F.when(F.col("ending").isin(list(endings)), F.col("ending"))
+    tokens, once = np.zeros(SHARED), np.zeros(SHARED)
     for r in rest.groupBy(named.alias("ending")).agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect():
-        k = UNITS - 1 if r["ending"] is None else units.endings[bytes(r["ending"])]
+        k = SHARED - 1 if r["ending"] is None else endings[bytes(r["ending"])]
         tokens[k], once[k] = r["n"], r["once"]
     unknown = (once + 0.5) / (tokens + 1)
     return tokens, np.where(tokens > 0, np.minimum(unknown, 0.9), 1.0)
@@ -278,7 +521,7 @@ def score_parts(docs: DataFrame, tables: Tables) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        lookup, table_, limit = Lookup(t.head, t.units), t.network.log10_table().ravel(), len(t.head)
+        lookup, moved, limit = Lookup(t.head, t.units), t.network.moved(), len(t.head)
         for rows in slices(batches):
             out = []
             for row, doc, text in zip(*(rows.column(k).to_pylist() for k in range(3))):
@@ -286,25 +529,29 @@ def score_parts(docs: DataFrame, tables: Tables) -> DataFrame:
                 index = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
                 unit = t.unit_of[index]
                 full = np.append(index, t.head[END]) if END in t.head else index
-                out.append((row, doc, b" %d" % row, 0, 1, len(words) + 1, int(t.known_of[full].sum()), float(t.base_of[full].sum()), float(table_[trigrams(unit)].sum() + t.share_of[full].sum())))
+                out.append((row, doc, b" %d" % row, 0, 1, len(words) + 1, int(t.known_of[full].sum()), float(t.base_of[full].sum()), float(t.network.scores(unit, moved).sum(dtype=float) / np.log(10) + t.share_of[full].sum())))
                 rare = np.flatnonzero(index >= limit)
                 if len(rare):
-                    for (word, k), n in Counter(zip(map(words.__getitem__, rare.tolist()), unit[rare].tolist())).items():
+                    inside = np.where(unit[rare] < SHARED, unit[rare], 0)  # 0: a unit of one word
+                    for (word, k), n in Counter(zip(map(words.__getitem__, rare.tolist()), inside.tolist())).items():
                         out.append((row, None, word, k, n, 0, 0, 0.0, 0.0))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
     return mapped(docs, run, "row long, doc_id long, word binary, unit int, times int, n_tokens long, n_known long, base double, score double")
 
 
-def score_documents(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, train_on: Column | None = None, least: int = LEAST_COUNT) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     learnt = docs.filter(~held_out()) if train_on is None else docs.filter(train_on)
     counts = stored(count_words(learnt), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    units = choose_units(counts)
-    network = train(count_trigrams(learnt, units))
-    tokens, unknown = unit_shares(counts, units)
+    classes = choose_units(counts)
+    units, unit_tokens, class_of = choose_vocabulary(counts, classes, least)
+    tokens, unknown = unit_shares(counts, units.endings, least)
+    unit_tokens[:SHARED] = tokens
+    unit_tokens[0] = total - unit_tokens.sum()
+    network = fit_network(learnt, units, train(count_trigrams(learnt, classes)), class_of, unit_tokens)
 
     ranked = head_words(counts).toArrow()
     head = {END: 0}
@@ -316,12 +563,12 @@ def score_documents(docs: DataFrame, train_on: Column | None = None) -> DataFram
             head[word] = len(head)
             sizes.append(n)
     sizes = np.array(sizes, float)
-    unit_of = np.array([0] + [units.of(w) for w in head if w != END] + list(range(UNITS)), np.int64)
-    inside = np.arange(len(head)) > 0
-    inside[1:] = [w not in units.words for w in head if w != END]
+    unit_of = np.array([0] + [units.of(w) for w in head if w != END] + list(range(units.size)), np.int64)
     k = unit_of[: len(head)]
+    inside = (k > 0) & (k < SHARED)
+    k = np.where(inside, k, 0)
     share = np.log10(np.where(inside, (1 - unknown[k]) * np.maximum(sizes, 1) / np.maximum(tokens[k], 1), 1.0))
-    rest = np.zeros(UNITS)
+    rest = np.zeros(units.size)
     tables = Tables(head, units, unit_of, np.concatenate((_log10_base(sizes, total, distinct), rest)), np.concatenate((share, rest)), np.concatenate(((sizes > 0).astype(np.int64), rest.astype(np.int64))), network)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -330,7 +577,7 @@ def score_documents(docs: DataFrame, train_on: Column | None = None) -> DataFram
     known = F.col("n").isNotNull()
     real = ~F.col("word").startswith(F.lit(b" "))
     base = F.when(real, F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(float(total + distinct + 1)))).otherwise(F.col("base"))
-    inner = F.when(known, F.log10(by_unit(1 - unknown) * F.col("n") / by_unit(np.maximum(tokens, 1)))).otherwise(by_unit(np.log10(unknown)))
+    inner = F.when(F.col("unit") == 0, 0.0).when(known, F.log10(by_unit(1 - unknown) * F.col("n") / by_unit(np.maximum(tokens, 1)))).otherwise(by_unit(np.log10(unknown)))
     scored = rows.join(counts, "word", "left").select(
         "row",
         "doc_id",

@@ -315,6 +315,20 @@ def test_language_model_rows(spark):
         assert abs(r["base_score"] - base) < 1e-6 and r["score"] < 0
 
 
+def test_units_grow_with_the_corpus_and_words_have_contexts_of_their_own(spark):
+    # 300 pairs of words, all as frequent and all of one ending: only vectors of their own tell which follows which
+    texts = [" ".join(f"first{k:03d}xx second{k:03d}xx filler" for k in np.random.default_rng(i).permutation(300)) for i in range(400)]
+    table = docs(spark, texts)
+    counts = language_model.count_words(table)
+    classes = language_model.choose_units(counts)
+    sizes = [language_model.choose_vocabulary(counts.filter(F.col("word") < w), classes, 10)[0].size for w in (b"first100xx", b"t")]
+    assert sizes[0] == language_model.SHARED + 101 and sizes[1] == language_model.SHARED + 601
+    good = " ".join(f"first{k:03d}xx second{k:03d}xx filler" for k in range(200, 300))
+    bad = " ".join(f"first{k:03d}xx second{(k + 7) % 100 + 200:03d}xx filler" for k in range(200, 300))
+    rows = {r["doc_id"]: r for r in language_model.score_documents(docs(spark, [*texts, good, bad]), F.col("doc_id") < 400, 10).collect()}
+    assert rows[400]["score"] > rows[401]["score"] + 4 and rows[400]["base_score"] == pytest.approx(rows[401]["base_score"])
+
+
 # 8 near dedup and components
 
 
