@@ -1,15 +1,17 @@
 """Main text of web pages by removal of site templates.
 
 Every element subtree gets a hash of its tag and of the texts and hashes below
-it.  Spark counts on how many pages of a host each hash occurs; subtrees that
-recur on many pages are the host's template and are deleted.  Inside the page's
+it.  Spark counts beside how many main texts of a host each hash occurs;
+subtrees that recur beside many are the host's template and are deleted.  Pages
+of one main text count once, so copies of a page make no template, and subtrees
+with an article or most of a page's text are never deleted as such.  Inside the page's
 article only furniture may be template: prose there stays however often it
 recurs, because copied articles are not a site's template.  Elements whose tag,
 role or class says that they are menus, forms, adverts and so on are deleted
 too, which is all that can be done for a host with few pages.  If the page has
 an article (or main) element, text outside it goes.
 
-Counting shuffles (host, hash) pairs, counted before the shuffle.  A host's
+Counting shuffles (host, hash, main text's hash), so no host is hot.  A host's
 template has at most elements / MIN_SHARE hashes.  Hosts with more than one
 page in HOT_SHARE number fewer than HOT_SHARE, so their templates are
 broadcast and their pages stay where they are; the pages of other hosts meet
@@ -35,6 +37,7 @@ from .common import mapped, HOT_SHARE, slices, stored, table, text_of
 
 MIN_PAGES = 4
 MIN_SHARE = 0.05
+MOST = 0.75  # of a page's text: no subtree with as much is template
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
@@ -57,10 +60,10 @@ PROSE = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl d
 
 
 class Node:
-    __slots__ = ("tag", "hint", "children", "hash")
+    __slots__ = ("tag", "hint", "children", "hash", "size", "holds")
 
     def __init__(self, tag: str, hint: bool = False):
-        self.tag, self.hint, self.children, self.hash = tag, hint, [], 0
+        self.tag, self.hint, self.children, self.hash, self.size, self.holds = tag, hint, [], 0, 0, False
 
 
 def _furniture(tag: str, attributes: str) -> bool:
@@ -129,7 +132,7 @@ def _digest(value: str) -> int:
 
 
 def hash_trees(node: Node) -> Node:
-    """Sets every element's hash, children first, without recursion."""
+    """Sets every element's hash, its text's length and whether it holds an article, children first, without recursion."""
     order, left = [], [node]
     while left:
         x = left.pop()
@@ -138,19 +141,14 @@ def hash_trees(node: Node) -> Node:
     for x in reversed(order):
         below = [str(c.hash) if isinstance(c, Node) else f"t{' '.join(c.split())}" for c in x.children]
         x.hash = _digest(f"{x.tag}\0" + "\0".join(y for y in below if y != "t"))
+        x.size = sum(c.size if isinstance(c, Node) else len(y) - 1 for c, y in zip(x.children, below))
+        x.holds = x.tag in ("article", "main") or any(c.holds for c in x.children if isinstance(c, Node))
     return node
 
 
-def _has_text(node: Node) -> bool:
-    left = [node]
-    while left:
-        x = left.pop()
-        for c in x.children:
-            if isinstance(c, Node):
-                left.append(c)
-            elif not c.isspace():
-                return True
-    return False
+def _removable(x: Node, root: Node) -> bool:
+    """Whether an element may go as template: not with an article or most of the page's text in it."""
+    return x.tag not in ("html", "body") and not x.holds and x.size < MOST * root.size
 
 
 def candidates(root: Node) -> set[int]:
@@ -158,7 +156,7 @@ def candidates(root: Node) -> set[int]:
     found, left = set(), [(root, False)]
     while left:
         x, inside = left.pop()
-        if x.tag[0] != "#" and not (inside and x.tag in PROSE and not x.hint) and x.tag not in ("html", "body", "article", "main") and _has_text(x):
+        if x.tag[0] != "#" and not (inside and x.tag in PROSE and not x.hint) and x.size and _removable(x, root):
             found.add(x.hash)
         inside = inside or x.tag in ("article", "main")
         left += [(c, inside) for c in x.children if isinstance(c, Node)]
@@ -187,7 +185,7 @@ def main_text(root: Node, template: frozenset[int]) -> str:
     def gone(x: Node, inside: bool) -> bool:
         if x.hint or x.tag == "header" and not inside:
             return True
-        return x.hash in template and x.tag not in ("html", "body", "article", "main") and not (inside and x.tag in PROSE)
+        return x.hash in template and _removable(x, root) and not (inside and x.tag in PROSE)
 
     blocks, now = [], []
 
@@ -223,22 +221,24 @@ def host_of(url: str = "url") -> Column:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, pages, hashes): subtrees that recur on at least min_pages and min_share of the host's pages."""
+    """(host, pages, hashes): subtrees that recur beside at least min_pages and min_share of the host's main texts."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            hosts, found = [], []
+            hosts, found, contents = [], [], []
             for host, page in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                mine = [0, *candidates(hash_trees(parse(page)))]  # 0 counts the page itself
+                root = hash_trees(parse(page))
+                mine = [0, *candidates(root)]  # 0 counts the page itself
                 hosts += [host] * len(mine)
                 found += mine
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
+                contents += [_digest(main_text(root, frozenset()))] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(contents, pa.int64())], ["host", "hash", "content"])
 
-    counts = pages.select(host_of().alias("host"), text_of("html").alias("html")).transform(mapped, hashes, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = pages.select(host_of().alias("host"), text_of("html").alias("html")).transform(mapped, hashes, "host string, hash long, content long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("content").alias("n"))
     # only what occurs often can be template, so the records of a host are few from here on
     often = stored(counts.filter((F.col("n") >= min_pages) | (F.col("hash") == 0)), "site-counts")
-    sizes = often.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    return often.filter("hash <> 0").join(sizes, "host").filter(F.col("n") >= F.col("pages") * min_share).groupBy("host", "pages").agg(F.collect_set("hash").alias("hashes"))
+    sizes = often.filter("hash = 0").select("host", "pages", F.col("n").alias("contents"))
+    return often.filter("hash <> 0").drop("pages").join(sizes, "host").filter(F.col("n") >= F.col("contents") * min_share).groupBy("host", "pages").agg(F.collect_set("hash").alias("hashes"))
 
 
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

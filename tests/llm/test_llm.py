@@ -204,6 +204,14 @@ def test_templates_are_removed_but_copied_articles_stay(spark):
     assert html_text.extract_pages(rows.limit(0)).count() == 0
 
 
+def test_copied_pages_keep_their_main_text(spark):
+    wrapped, plain = "<div id=content><article><p>One story, told in full</p></article></div>", "<div><p>Another story</p><p>and how it ends</p></div>"
+    pages = [f"<div>Slogan</div>{wrapped}"] * 5 + [f"<div>Slogan</div>{plain}"] * 5 + [f"<div>Slogan</div><p>Page {i} has a text of its own</p>" for i in range(10)]
+    rows = spark.createDataFrame([(i, f"http://h.example/{i}", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(rows).collect()}
+    assert got[0] == "One story, told in full" and got[5] == "Another story\nand how it ends" and got[12] == "Page 2 has a text of its own"
+
+
 # 6 and 9 tokens
 
 ODD = ["", " ", "\n\n", " lead", "trail ", "don't I'LL we've", "<|endoftext|> x", "a\x1cb", "漢字 mixed é², ½", "İΣς", "x" * 3000, "tab\tand  two"]
