@@ -4,9 +4,10 @@ Every element subtree gets a hash of its tag and of the texts and hashes below
 it.  Spark counts beside how many main texts of a host each hash occurs;
 subtrees that recur beside many are the host's template and are deleted.  Pages
 of one main text count once, so copies of a page make no template, and subtrees
-with an article or most of a page's text are never deleted as such.  Inside the page's
-article only furniture may be template: prose there stays however often it
-recurs, because copied articles are not a site's template.  Elements whose tag,
+with an article or most of a page's text are never deleted as such.  Inside the
+page's article a whole block of prose is template only if it recurs beside
+INSIDE_SHARE of the host's main texts; words within prose and parts of tables
+and lists stay, because they recur without being template.  Elements whose tag,
 role or class says that they are menus, forms, adverts and so on are deleted
 too, which is all that can be done for a host with few pages.  If the page has
 an article (or main) element, text outside it goes.
@@ -37,6 +38,8 @@ from .common import mapped, HOT_SHARE, slices, stored, table, text_of
 
 MIN_PAGES = 4
 MIN_SHARE = 0.05
+INSIDE_SHARE = 0.5
+INSIDE = 0x5BD1E9955BD1E995  # sets hashes of prose inside an article apart
 MOST = 0.75  # of a page's text: no subtree with as much is template
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -57,6 +60,7 @@ HINT = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 PROSE = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tfoot tr td th figure figcaption section div span a b i em strong u s small sub sup code q cite mark abbr time font tt kbd samp var del ins big strike header hgroup details summary address center".split())
+WHOLE = (BLOCK & PROSE) - frozenset("article main li dl dt dd table tbody thead tfoot tr td th caption figcaption summary".split())
 
 
 class Node:
@@ -151,16 +155,23 @@ def _removable(x: Node, root: Node) -> bool:
     return x.tag not in ("html", "body") and not x.holds and x.size < MOST * root.size
 
 
-def candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be template: all with text, but prose inside an article."""
+def _prose(x: Node, inside: bool) -> bool:
+    return inside and x.tag in PROSE and not x.hint
+
+
+def candidates(root: Node) -> list[tuple[int, bool]]:
+    """Hashes of the subtrees that may be template, and whether each is prose inside an article."""
     found, left = set(), [(root, False)]
     while left:
         x, inside = left.pop()
-        if x.tag[0] != "#" and not (inside and x.tag in PROSE and not x.hint) and x.size and _removable(x, root):
-            found.add(x.hash)
+        if x.tag[0] != "#" and x.size and _removable(x, root):
+            if not _prose(x, inside):
+                found.add((x.hash, False))
+            elif x.tag in WHOLE:
+                found.add((x.hash ^ INSIDE, True))
         inside = inside or x.tag in ("article", "main")
         left += [(c, inside) for c in x.children if isinstance(c, Node)]
-    return found
+    return list(found)
 
 
 def _articles(root: Node, gone) -> list[Node]:
@@ -185,7 +196,7 @@ def main_text(root: Node, template: frozenset[int]) -> str:
     def gone(x: Node, inside: bool) -> bool:
         if x.hint or x.tag == "header" and not inside:
             return True
-        return x.hash in template and _removable(x, root) and not (inside and x.tag in PROSE)
+        return _removable(x, root) and (x.hash ^ INSIDE if _prose(x, inside) else x.hash) in template
 
     blocks, now = [], []
 
@@ -225,20 +236,21 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            hosts, found, contents = [], [], []
+            hosts, found, insides, contents = [], [], [], []
             for host, page in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 root = hash_trees(parse(page))
-                mine = [0, *candidates(root)]  # 0 counts the page itself
+                mine = [(0, False), *candidates(root)]  # 0 counts the page itself
                 hosts += [host] * len(mine)
-                found += mine
+                found += [h for h, _ in mine]
+                insides += [x for _, x in mine]
                 contents += [_digest(main_text(root, frozenset()))] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(contents, pa.int64())], ["host", "hash", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(insides, pa.bool_()), pa.array(contents, pa.int64())], ["host", "hash", "inside", "content"])
 
-    counts = pages.select(host_of().alias("host"), text_of("html").alias("html")).transform(mapped, hashes, "host string, hash long, content long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("content").alias("n"))
+    counts = pages.select(host_of().alias("host"), text_of("html").alias("html")).transform(mapped, hashes, "host string, hash long, inside boolean, content long").groupBy("host", "hash", "inside").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("content").alias("n"))
     # only what occurs often can be template, so the records of a host are few from here on
     often = stored(counts.filter((F.col("n") >= min_pages) | (F.col("hash") == 0)), "site-counts")
-    sizes = often.filter("hash = 0").select("host", "pages", F.col("n").alias("contents"))
-    return often.filter("hash <> 0").drop("pages").join(sizes, "host").filter(F.col("n") >= F.col("contents") * min_share).groupBy("host", "pages").agg(F.collect_set("hash").alias("hashes"))
+    sizes = often.filter("hash = 0 AND NOT inside").select("host", "pages", F.col("n").alias("contents"))
+    return often.filter("hash <> 0").drop("pages").join(sizes, "host").filter(F.col("n") >= F.col("contents") * F.when(F.col("inside"), max(min_share, INSIDE_SHARE)).otherwise(min_share)).groupBy("host", "pages").agg(F.collect_set("hash").alias("hashes"))
 
 
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -212,6 +212,13 @@ def test_copied_pages_keep_their_main_text(spark):
     assert got[0] == "One story, told in full" and got[5] == "Another story\nand how it ends" and got[12] == "Page 2 has a text of its own"
 
 
+def test_boilerplate_inside_articles_is_removed(spark):
+    prose_of = lambda i: f"<p>Story {min(i, 8)} is told here</p>" + ("<p>A quote of three</p>" if i < 3 else "")
+    rows = spark.createDataFrame([(i, f"http://h.example/{i}", f"<article><div>Read our terms</div>{prose_of(i)}<p>Write to us</p></article>") for i in range(12)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(rows).collect()}
+    assert got == {i: f"Story {min(i, 8)} is told here" + ("\nA quote of three" if i < 3 else "") for i in range(12)}
+
+
 # 6 and 9 tokens
 
 ODD = ["", " ", "\n\n", " lead", "trail ", "don't I'LL we've", "<|endoftext|> x", "a\x1cb", "漢字 mixed é², ½", "İΣς", "x" * 3000, "tab\tand  two"]
