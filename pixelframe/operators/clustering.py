@@ -2,7 +2,7 @@
 
 All images run at once, each in its own row: assignment and update are array
 expressions, folded over the iterations, so there is no shuffle and no driver
-loop.  Centres start at the darkest pixel and then, one by one, at the pixel
+loop.  An image whose centres moved by less than the tolerance is left alone.  Centres start at the darkest pixel and then, one by one, at the pixel
 farthest from those chosen (the first in order among equals).
 """
 
@@ -35,9 +35,13 @@ def _updated(points: Column, centres: Column) -> Column:
     return let(tagged, lambda t: F.transform(centres, lambda centre, k: let(F.filter(t, lambda x: x["k"] == k), lambda own: mean(centre, own))))
 
 
-def kmeans_segment(images: DataFrame, k: int = 3, iterations: int = 10) -> DataFrame:
+def _shift(before: Column, now: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(before, now, _distance), F.lit(0.0), lambda s, x: s + x))
+
+
+def kmeans_segment(images: DataFrame, k: int = 3, max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
     """Adds labels (before the last update) and centres; data becomes the updated centre of each pixel."""
-    whole(k, "k", 1), whole(iterations, "iterations", 1)
+    whole(k, "k", 1), whole(max_iter, "max_iter", 1)
     n = F.col("height") * F.col("width")
     points = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("data", i * F.col("n_channels") + 1, F.col("n_channels")))
     rows = images.withColumn("_points", points)
@@ -49,9 +53,16 @@ def kmeans_segment(images: DataFrame, k: int = 3, iterations: int = 10) -> DataF
 
     start = F.aggregate(F.sequence(F.lit(1), F.lit(k - 1)), F.array(first), farther) if k > 1 else F.array(first)
     rows = rows.withColumn("_start", start)
-    before = known(F.aggregate(F.sequence(F.lit(1), F.lit(iterations - 1)), F.col("_start"), lambda c, _: _updated(F.col("_points"), c)), "_points") if iterations > 1 else F.col("_start")
-    rows = rows.withColumn("_before", before)
+
+    def state(before: Column, now: Column, done: Column) -> Column:
+        return F.struct(before.alias("before"), now.alias("now"), done.alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        moved = let(_updated(F.col("_points"), s["now"]), lambda new: state(s["now"], new, _shift(s["now"], new) < tol))
+        return F.when(s["done"], s).otherwise(moved)
+
+    rows = rows.withColumn("_end", known(F.aggregate(F.sequence(F.lit(1), F.lit(max_iter)), state(F.col("_start"), F.col("_start"), F.lit(False)), step), "_points", "_start"))
+    rows = rows.withColumn("_before", F.col("_end.before")).withColumn("centres", F.col("_end.now"))
     rows = rows.withColumn("labels", known(F.transform("_points", lambda p: _nearest(p, F.col("_before"))), "_before"))
-    rows = rows.withColumn("centres", known(_updated(F.col("_points"), F.col("_before")), "_before", "_points"))
     data = F.flatten(F.transform("labels", lambda x: F.transform(F.get("centres", x), lambda v: typed(F.round(v, 9), F.col("dtype")))))
-    return rows.withColumn("data", known(data, "centres", "labels")).drop("_points", "_start", "_before")
+    return rows.withColumn("data", known(data, "centres", "labels")).drop("_points", "_start", "_end", "_before")

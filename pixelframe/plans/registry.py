@@ -122,7 +122,7 @@ def _probabilities(spark, sf_dir):
 
 
 def _kmeans(spark, sf_dir):
-    rows = clustering.kmeans_segment(m.gray8_u8(spark, sf_dir), 3, 5)
+    rows = clustering.kmeans_segment(m.gray8_u8(spark, sf_dir), 3, 100, 1e-4)
     return m.to_pixels(rows, "labels", "cluster").select("image_id", "r", "c", "cluster")
 
 

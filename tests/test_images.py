@@ -103,6 +103,20 @@ def test_kmeans_separates(spark):
     assert rows.first()["labels"] == [0, 0, 1, 1] and data(rows).tolist() == [[2, 2, 200, 200]]
 
 
+def test_kmeans_runs_until_centres_rest(spark):
+    values = np.floor(np.random.default_rng(16).uniform(0, 256, 400))
+    now, steps, shift = [values.min()], 0, 1.0
+    while len(now) < 4:
+        now.append(values[np.abs(values[:, None] - now).min(axis=1).argmax()])
+    while shift >= 1e-4:
+        labels = np.abs(values[:, None] - now).argmin(axis=1)
+        new = [values[labels == j].mean() for j in range(4)]
+        shift, now, steps = np.linalg.norm(np.subtract(new, now)), new, steps + 1
+    assert steps > 10
+    got = clustering.kmeans_segment(image(spark, [values.tolist()]), 4).first()
+    assert got["labels"] == labels.tolist() and np.allclose([c[0] for c in got["centres"]], now)
+
+
 def test_drawing(spark):
     blank = np.zeros((5, 5))
     assert data(draw.draw_line(image(spark, blank), 0, 0, 4, 4, 9)).diagonal().tolist() == [9] * 5
