@@ -74,6 +74,28 @@ def _score(state: tuple[int, int, int], need: tuple[int, int, int], cap: Capacit
     return sum(w * ((r - n) / s) ** 2 for w, n, r, s in zip(cap.weights, need, state, size))
 
 
+def _least_score(tokens: int, need: tuple[int, int, int], cap: Capacity) -> float:
+    """No bin with so many tokens left in which the piece fits scores less: the other dimensions are taken at their best."""
+    return _score((tokens, need[1], need[2]), need, cap)
+
+
+def best_state(order: list[int], by_tokens: dict[int, set[tuple[int, int, int]]], need: tuple[int, int, int], cap: Capacity) -> tuple[int, int, int] | None:
+    """The best of all open bins, the least among equals; order: the token residuals of open bins, sorted.
+
+    By either rule a level's least possible score grows with its tokens, so
+    levels from one that cannot win are left out without a change of the choice.
+    """
+    best = None
+    for tokens in order[bisect.bisect_left(order, need[0]) :]:
+        if best is not None and _least_score(tokens, need, cap) > best[0] + 1e-12:
+            break
+        for s in by_tokens[tokens]:
+            if s[1] >= need[1] and s[2] >= need[2]:
+                found = (_score(s, need, cap), s)
+                best = found if best is None else min(best, found)
+    return best and best[1]
+
+
 def plan_bins(counts: dict[int, int], cap: Capacity = Capacity()) -> Plan:
     """Places all pieces, given how many there are of each length.
 
@@ -105,26 +127,13 @@ def plan_bins(counts: dict[int, int], cap: Capacity = Capacity()) -> Plan:
                 order.remove(state[0])
         return span
 
-    def choose(need: tuple[int, int, int]) -> tuple[int, int, int] | None:
-        """The bin with least left over; the other capacities decide among near equals."""
-        best, seen = None, 0
-        for tokens in order[bisect.bisect_left(order, need[0]) :]:
-            fits = [s for s in by_tokens[tokens] if s[1] >= need[1] and s[2] >= need[2]]
-            if fits:
-                found = min((_score(s, need, cap), s) for s in fits)
-                best = found if best is None else min(best, found)
-                seen += 1
-            if seen == 3:
-                break
-        return best and best[1]
-
     for length in sorted(counts, reverse=True):
         need = (length, 1, length * length)
         if length > cap.tokens or need[2] > cap.cost:
             raise ValueError(f"a piece of {length} tokens fits no sequence")
         rank, left = 0, counts[length]
         while left:
-            state = choose(need)
+            state = best_state(order, by_tokens, need, cap)
             if state is None:
                 state = (cap.tokens, cap.documents, cap.cost)
                 each = min(state[0] // length if length else left, state[1], state[2] // need[2] if need[2] else left)

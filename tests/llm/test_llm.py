@@ -284,6 +284,20 @@ def test_plan_respects_every_capacity(counts, rule, sizes):
         assert len(bins) <= Fraction(11, 9) * max(-(-sum(k * v for k, v in counts.items()) // 64), sum(v for k, v in counts.items() if k > 32)) + 1
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_of_all_open_bins_wins(rule):
+    cap, need, r = packing.Capacity(rule=rule), (5, 1, 25), np.random.default_rng(2)
+    near = {(t, 1000, 792_000) for t in (10, 11, 12)}
+    for states in [near | {(40, 1023, 80_320)}, *[{(int(r.integers(3, 400)), int(r.integers(0, 1024)), int(r.integers(0, 1 << 20))) for _ in range(30)} for _ in range(50)]]:
+        levels = defaultdict(set)
+        for s in states:
+            levels[s[0]].add(s)
+        fits = [s for s in states if all(x >= n for x, n in zip(s, need))]
+        assert packing.best_state(sorted(levels), levels, need, cap) == min(fits, key=lambda s: (packing._score(s, need, cap), s))
+    if rule == "norm":  # a bin far from the nearest levels wins by what attention costs leave
+        assert packing.best_state([10, 11, 12, 40], {t: {s for s in near | {(40, 1023, 80_320)} if s[0] == t} for t in (10, 11, 12, 40)}, need, cap) == (40, 1023, 80_320)
+
+
 def test_packing(spark):
     texts = [prose(i, 5 + 40 * (i % 9)) for i in range(30)] + [None, "", "x " * 5000]
     rows = packing.packed_documents(docs(spark, texts)).collect()
