@@ -5,10 +5,11 @@ text, which holds good rows too.  With the share of good rows as class prior
 the risk over negatives is estimated as the unlabelled risk less the prior
 times the positives' share of it; that estimate is kept from going below zero
 (the non-negative unbiased risk).  The model is linear over measures of a
-text's shape, each cut into steps at the sample's quantiles.
+text's shape, each cut into steps at quantiles of all training documents.
 
-Fitting reads at most SAMPLE_ROWS positives and as many unlabelled rows on the
-driver; labels other than those of positives are used for the prior only.
+Quantiles come from counts of each measure's values, to a 512th of a power of
+two, over all training documents; the counts are few at any size.  Fitting
+reads at most SAMPLE_ROWS positives and as many unlabelled rows on the driver; labels other than those of positives are used for the prior only.
 Scoring streams over all documents without a shuffle.
 
 Defined results: null and empty texts have the measures of the empty text;
@@ -18,6 +19,7 @@ scored each; empty tables give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, slices, table, text_of
-from .labelled import held_out, positive_sample, unlabelled_sample
+from .common import mapped, remainder, slices, table, text_of
+from .labelled import HELD_OUT, held_out, positive_sample, unlabelled_sample
 
 SAMPLE_ROWS = 4000
 STEPS = 24
@@ -36,6 +38,10 @@ EPOCHS = 400
 RATE = 0.05
 DECAY = 1e-4
 THRESHOLD = 0.3
+CELL = 43  # low bits of a value that its count leaves out
+FLUSH = 200_000
+# half of the cuts from each side: rare shapes are found in the unlabelled tail
+QUANTILES = np.sort(np.concatenate((np.linspace(0, 1, STEPS // 2, endpoint=False)[1:], [0.99, 0.998, 1e-3, 0.01, 0.03])))
 
 _BYTES = np.arange(256)
 _CLASSES = np.stack(
@@ -102,16 +108,52 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS) -> QualityModel:
+def corpus_cuts(docs: DataFrame) -> np.ndarray | None:
+    """The measures' QUANTILES over all documents that may be learnt from; None without any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["cell", "n"])
+            counts.clear()
+            return out
+
+        for rows in slices(batches):
+            values = np.array([measures(x) for x in rows.column(0).to_pylist()])
+            # values are not negative, so their bits are in order
+            cells, n = np.unique((values.view(np.int64) >> CELL) + (np.arange(values.shape[1]) << 63 - CELL), return_counts=True)
+            for cell, k in zip(cells.tolist(), n.tolist()):
+                counts[cell] += k
+            if len(counts) > FLUSH:
+                yield flush()
+        if counts:
+            yield flush()
+
+    learnt = docs.filter(F.col("doc_id").isNotNull() & (remainder("doc_id", HELD_OUT) != 0)).select(text_of().alias("text"))
+    found = learnt.transform(mapped, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    if not found.num_rows:
+        return None
+    cells, n = found.column("cell").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(cells)
+    cells, n = cells[order], n[order]
+    of, cuts = cells >> 63 - CELL, []
+    for k in range(int(of[-1]) + 1):
+        mine, total = cells[of == k] - (k << 63 - CELL), np.cumsum(n[of == k])
+        at = mine[np.minimum(np.searchsorted(total, QUANTILES * total[-1]), len(mine) - 1)]
+        cuts.append(((at + 1 << CELL) - 1).view(np.float64))  # the largest value of the cell
+    return np.stack(cuts)
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, cuts: np.ndarray | None = None) -> QualityModel:
     """Minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), logistic loss."""
     width = len(measures(""))
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
     empty = QualityModel(np.zeros((width, STEPS)), np.zeros((width, STEPS + 1)), float(np.log(prior / (1 - prior))))
     if not len(positive) or not len(unlabelled):
         return empty
-    # half of the cuts from each side: rare shapes are found in the unlabelled tail
-    at = np.concatenate((np.linspace(0, 1, STEPS // 2, endpoint=False)[1:], [0.99, 0.998, 1e-3, 0.01, 0.03]))
-    cuts = np.sort(np.quantile(unlabelled, np.sort(at), axis=0).T, axis=1)
+    if cuts is None:
+        cuts = np.sort(np.quantile(unlabelled, QUANTILES, axis=0).T, axis=1)
     cuts = np.concatenate((cuts, np.repeat(cuts[:, -1:], STEPS - cuts.shape[1], axis=1)), axis=1)
     model = QualityModel(cuts, np.zeros((width, STEPS + 1)), empty.bias)
     p, u = model.bins(positive), model.bins(unlabelled)
@@ -140,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> QualityM
     shapes = lambda texts: np.array([measures(x) for x in texts]).reshape(len(texts), -1)
     positive = shapes(good)
     del good
-    return train(positive, shapes(unlabelled_sample(docs, most)), prior)
+    return train(positive, shapes(unlabelled_sample(docs, most)), prior, cuts=corpus_cuts(docs))
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:

@@ -171,6 +171,15 @@ def test_quality_from_positives_and_unlabelled():
     assert 0 <= quality.train(np.empty((0, 23)), np.empty((0, 23)), 0.3).score(shapes(["a"]))[0] <= 1
 
 
+def test_quality_cuts_are_of_all_documents(spark):
+    texts = [prose(i, 20) + "#" * (i % 97) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    values = np.array([quality.measures(t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5])
+    model = quality.fit(docs(spark, texts), labels, most=20)
+    expected = np.quantile(values, quality.QUANTILES, axis=0, method="inverted_cdf").T
+    assert np.allclose(model.cuts[:, : expected.shape[1]], expected, rtol=1 / 256, atol=1e-300)
+
+
 def test_held_out_rows_are_never_learnt(spark):
     from pixelframe.llm.labelled import labels_for_training
 
