@@ -102,17 +102,22 @@ def _chosen(spark, sf_dir):
     return _relevance(spark, sf_dir).orderBy(F.desc("f_stat"), "feature_idx").limit(10)
 
 
+def _minibatches(train: DataFrame) -> int:
+    """How many make about 32 rows each."""
+    return max(1, -(-train.count() // 32))
+
+
 def _softmax(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
     net = models.SoftmaxModel(64, CLASSES)
-    done = models.fit(net, train, test, models.Adam(0.05), epochs=8)
+    done = models.fit(net, train, test, models.Adam(0.05), epochs=50, batches=_minibatches(train))
     return spark.createDataFrame(done.log, models.LOG_SCHEMA)
 
 
 def _cnn(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
-    net = models.ConvModel(8, 4, CLASSES)
-    done = models.fit(net, train, test, models.Adam(0.02), epochs=3, clip=None, patience=5)
+    net = models.ConvModel(8, 8, CLASSES)
+    done = models.fit(net, train, test, models.Adam(0.02), epochs=15, clip=None, patience=5, batches=_minibatches(train))
     return metrics.summary(models.predict(test, net, done.weights), CLASSES)
 
 

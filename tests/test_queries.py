@@ -41,3 +41,18 @@ def test_entry(spark):
 def test_registry_is_whole():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name,epochs,patience", [("softmax_train", 50, 15), ("cnn_train", 15, 5)])
+def test_training_is_as_long_as_the_reference(spark, monkeypatch, name, epochs, patience):
+    seen = {}
+
+    def fit(net, train, val, optimizer, patience=15, **settings):
+        seen.update(settings, patience=patience, rows=train.count(), net=net)
+        raise StopIteration
+
+    monkeypatch.setattr(registry.models, "fit", fit)
+    with pytest.raises(StopIteration):
+        registry.QUERIES[name](spark, SF)
+    assert seen["epochs"] == epochs and seen["patience"] == patience and 24 <= seen["rows"] / seen["batches"] <= 32
+    assert name == "softmax_train" or len(seen["net"].weights["K"]) == 8
