@@ -33,7 +33,7 @@ SHARD_KEYS = 16_384
 GAMMA = 2.0
 LEVELS = 96
 WIDTH = 32
-GROUP = "digest binary, keep_id long, group_size long, member boolean"
+GROUP = "digest binary, winner long, named boolean, group_size long, member boolean"
 
 
 def _mixed(first: np.ndarray, second: np.ndarray, level: int) -> np.ndarray:
@@ -107,13 +107,10 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
     digests = _array(frame["digest"])
     function = PerfectHash.build(digests)
     slot = function.slots(digests)
-    held, winners, counts = np.empty_like(digests), np.empty(len(frame), "<i8"), np.empty(len(frame), "<i8")
-    named = frame["winner"].notna().to_numpy()
-    nobody = np.zeros(len(frame), dtype=bool)
-    held[slot], counts[slot], nobody[slot] = digests, frame["copies"].to_numpy(), ~named
-    winners[slot] = frame["winner"].fillna(0).astype("int64").to_numpy()
+    held, winners, counts, named = np.empty_like(digests), np.empty(len(frame), "<i8"), np.empty(len(frame), "<i8"), np.empty(len(frame), bool)
+    held[slot], winners[slot], counts[slot], named[slot] = digests, frame["winner"].to_numpy(), frame["copies"].to_numpy(), frame["named"].to_numpy()
     bits, sizes = function.dump()
-    return pd.DataFrame([{"shard": frame["shard"].iloc[0], "bits": bits, "sizes": sizes, "digests": held.tobytes(), "winners": winners.tobytes(), "nobody": nobody.tobytes(), "counts": counts.tobytes()}])
+    return pd.DataFrame([{"shard": frame["shard"].iloc[0], "bits": bits, "sizes": sizes, "digests": held.tobytes(), "winners": winners.tobytes(), "named": named.tobytes(), "counts": counts.tobytes()}])
 
 
 def _probe(tables: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
@@ -121,28 +118,32 @@ def _probe(tables: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
     if len(tables):
         x = tables.iloc[0]
         held = np.frombuffer(x["digests"], dtype=np.uint8).reshape(-1, WIDTH)
-        winners = pd.Series(np.frombuffer(x["winners"], "<i8")).astype("Int64")
-        winners[np.frombuffer(x["nobody"], dtype=bool)] = pd.NA
-        counts = np.frombuffer(x["counts"], "<i8").copy()
+        winners, counts = np.frombuffer(x["winners"], "<i8").copy(), np.frombuffer(x["counts"], "<i8").copy()
+        named = np.frombuffer(x["named"], dtype=bool).copy()
         function = PerfectHash.load(x["bits"], list(x["sizes"]))
     else:
-        held, winners, counts, function = np.empty((0, WIDTH), np.uint8), pd.Series([], dtype="Int64"), np.empty(0, np.int64), PerfectHash([])
-    new = _array(batch["digest"])
+        held, winners, counts, named, function = np.empty((0, WIDTH), np.uint8), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), PerfectHash([])
+    new, found, has_id, copies = _array(batch["digest"]), batch["winner"].to_numpy(), batch["named"].to_numpy(dtype=bool), batch["copies"].to_numpy()
     slot = function.slots(new)
     same = slot >= 0
     same[same] = (held[slot[same]] == new[same]).all(axis=1)
-    counts[slot[same]] += batch["copies"].to_numpy()[same]
-    found = batch["winner"].astype("Int64")
-    known = pd.concat([winners.iloc[slot[same]].reset_index(drop=True), found[same].reset_index(drop=True)], axis=1).max(axis=1).astype("Int64")
-    winners.iloc[slot[same]] = known.to_numpy()
-    old = pd.DataFrame({"digest": [x.tobytes() for x in held], "keep_id": winners, "group_size": counts, "member": True})
-    rest = pd.DataFrame({"digest": [x.tobytes() for x in new[~same]], "keep_id": found[~same].reset_index(drop=True), "group_size": batch["copies"].to_numpy()[~same], "member": False})
-    return pd.concat([old, rest], ignore_index=True)
+    at = slot[same]
+    counts[at] += copies[same]
+    larger = has_id[same] & (~named[at] | (found[same] > winners[at]))
+    winners[at[larger]] = found[same][larger]
+    named[at] |= has_id[same]
+    digests = [x.tobytes() for x in held] + [x.tobytes() for x in new[~same]]
+    join = lambda old, rest: np.concatenate((old, rest[~same]))
+    return pd.DataFrame({"digest": digests, "winner": join(winners, found), "named": join(named, has_id), "group_size": join(counts, copies), "member": np.arange(len(digests)) < len(held)})
 
 
 def grouped(digests: DataFrame) -> DataFrame:
-    """One record for each distinct digest: the winning id and the number of copies."""
-    return digests.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("copies"))
+    """One record for each distinct digest: the winning id, whether there is one, and the number of copies.
+
+    No column is ever null: pandas would turn nullable ids into floats, which
+    hold no ids above 2 ** 53.
+    """
+    return digests.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("winner"), F.max("doc_id").isNotNull().alias("named"), F.count(F.lit(1)).alias("copies"))
 
 
 def history_tables(groups: DataFrame, shards: int) -> DataFrame:
@@ -150,7 +151,7 @@ def history_tables(groups: DataFrame, shards: int) -> DataFrame:
     return (
         groups.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
         .groupBy("shard")
-        .applyInPandas(_build, "shard long, bits binary, sizes array<int>, digests binary, winners binary, nobody binary, counts binary")
+        .applyInPandas(_build, "shard long, bits binary, sizes array<int>, digests binary, winners binary, named binary, counts binary")
     )
 
 
@@ -158,28 +159,30 @@ def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)).alias("digest"))
 
 
-def exact_groups(history: DataFrame, batch: DataFrame, distinct: int) -> DataFrame:
-    """Groups of equal texts over history and batch, both (doc_id, digest); distinct: the history's distinct digests."""
+def exact_groups(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """Groups of equal texts over history and batch, both (doc_id, digest).
+
+    Shards are sized by the larger side, so neither fills a task's memory.
+    """
     ship(history.sparkSession)
-    shards = max(1, math.ceil(distinct / SHARD_KEYS))
-    tables = history_tables(grouped(history), shards)
-    new = grouped(batch).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
-    return tables.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_probe, GROUP)
+    old, new = stored(grouped(history), "dedup-history"), stored(grouped(batch), "dedup-batch")
+    shards = max(1, math.ceil(max(old.count(), new.count()) / SHARD_KEYS))
+    new = new.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
+    groups = history_tables(old, shards).groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_probe, GROUP)
+    return groups.select("digest", F.when(F.col("named"), F.col("winner")).alias("keep_id"), "group_size", "member")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history_share: float = 0.5) -> DataFrame:
     """Marks every document with the largest id among its equals.
 
-    The table is taken as an ingested history (ids up to history_share of the
-    id range) and a new batch (the rest); the result is the same for any share.
+    The table is taken as an ingested history (about history_share of the rows,
+    those with the least ids) and a new batch (the rest); the result is the
+    same for any share.
     """
     digests = stored(digested(docs, id_col, text_col), "dedup-digests")
-    low, high, total = digests.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    border = (low or 0) + int(((high or 0) - (low or 0)) * history_share)
-    old = F.coalesce(F.col("doc_id") <= border, F.lit(True))
-    history, batch = digests.filter(old), digests.filter(~old)
-    distinct = history.agg(F.count_distinct("digest")).first()[0]
-    groups = stored(exact_groups(history, batch, distinct), "dedup-groups")
+    border, total = digests.agg(F.percentile_approx("doc_id", history_share), F.count(F.lit(1))).first()
+    old = F.coalesce(F.col("doc_id") <= F.lit(border), F.lit(True)) if history_share > 0 else F.lit(False)
+    groups = stored(exact_groups(digests.filter(old), digests.filter(~old)), "dedup-groups")
     return join_groups(digests, groups, "digest", "group_size", total).select(
         "doc_id",
         "keep_id",

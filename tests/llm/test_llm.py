@@ -3,7 +3,6 @@
 import hashlib
 import zlib
 from collections import defaultdict
-from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -134,6 +133,23 @@ def test_exact_dedup(spark, share):
     assert got == {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
 
 
+@pytest.mark.parametrize("ids", [[2**60 + 1, 2**60 + 3, 2**60 + 5, None, 2**60 + 7], [1, 2, 3, 4, -(2**62)], [5, 5, 5, 7, 7], [None] * 5])
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_exact_dedup_keeps_large_and_outlying_ids(spark, ids, share):
+    texts = ["a", "b", "a", "x" * 300_000, "b"]
+    got = exact_dedup.exact_dedup(docs(spark, texts, ids).withColumn("winner", F.lit(1)).withColumn("shard", F.lit("x")), history_share=share).collect()
+    expected = defaultdict(list)
+    for i, t in zip(ids, texts):
+        expected[t].append(i)
+    named = {hashlib.sha256(t.encode()).hexdigest(): (max((i for i in g if i is not None), default=None), len(g)) for t, g in expected.items()}
+    assert sorted((str(r["doc_id"]), r["text_sha256"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == sorted((str(i), h, *named[h], i == named[h][0]) for i, t in zip(ids, texts) for h in [hashlib.sha256(t.encode()).hexdigest()])
+
+
+def test_history_is_about_its_share_of_rows_whatever_the_ids(spark):
+    table = spark.range(4000).select(F.when(F.col("id") == 0, -(10**15)).otherwise(F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert 1500 < exact_dedup.exact_dedup(table).filter("in_history").count() < 2500
+
+
 def test_exact_dedup_odd_tables(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
     rows = exact_dedup.exact_dedup(docs(spark, ["a", "a", "b"], [None, 3, None])).collect()
@@ -289,8 +305,21 @@ def test_plan_respects_every_capacity(counts, rule, sizes):
             assert offset == at
             at += length
         assert at <= cap.tokens and len(places) <= cap.documents and sum(n * n for _, n in places) <= cap.cost
-    if sizes == (64, 64, 4096):
-        assert len(bins) <= Fraction(11, 9) * max(-(-sum(k * v for k, v in counts.items()) // 64), sum(v for k, v in counts.items() if k > 32)) + 1
+    assert len(bins) == plan.sequences == one_by_one(counts, cap)
+
+
+def one_by_one(counts, cap):
+    """How many bins plain best fit opens, piece by piece, longest first."""
+    bins = []
+    for length in sorted(counts, reverse=True):
+        need = (length, 1, length * length)
+        for _ in range(counts[length]):
+            fits = [(packing._score(b, need, cap), b, k) for k, b in enumerate(bins) if all(n <= r for n, r in zip(need, b))]
+            k = min(fits)[2] if fits else len(bins)
+            if not fits:
+                bins.append((cap.tokens, cap.documents, cap.cost))
+            bins[k] = tuple(r - n for n, r in zip(need, bins[k]))
+    return len(bins)
 
 
 @pytest.mark.parametrize("rule", ["norm", "dot"])
