@@ -2,9 +2,9 @@
 
 A bin has three residual capacities: tokens, documents, and attention cost
 (the sum of squared lengths).  Pieces are placed longest first; among the open
-bins in which every capacity suffices the one with the largest weighted dot
-product of demand and residual wins, or the smallest residual norm after
-placing, as `rule` says.
+bins in which every capacity suffices the one with the smallest residual norm
+after placing wins, or the one with the smallest weighted dot product of demand
+and residual (the fullest where the piece needs most), as `rule` says.
 
 Pieces of one length are alike, so the plan is made over counts by length:
 bins of equal state are one record with a number of copies.  The driver sees
@@ -69,8 +69,7 @@ def pieces_of(n_tokens: int, length: int = LENGTH) -> list[tuple[int, int]]:
 def _score(state: tuple[int, int, int], need: tuple[int, int, int], cap: Capacity) -> float:
     size = (cap.tokens, cap.documents, cap.cost)
     if cap.rule == "dot":
-        # fuller bins first among equals: best fit, not worst
-        return -sum(w * (n / s) * (1 - r / s) for w, n, r, s in zip(cap.weights, need, state, size))
+        return sum(w * (n / s) * (r / s) for w, n, r, s in zip(cap.weights, need, state, size))
     return sum(w * ((r - n) / s) ** 2 for w, n, r, s in zip(cap.weights, need, state, size))
 
 
