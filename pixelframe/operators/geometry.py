@@ -1,72 +1,73 @@
 """Geometric operators: for each place of the result, where in the source it comes from.
 
-The source place is arithmetic on the place, so a gather is an array access in
-the image's own row; no pixel is joined with another.
+The source places are arithmetic on the place and the same for all images of
+one shape, so a gather is an array access in a whole stack of images; no pixel
+is joined with another.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
 from ..functions.checks import one_of, whole
-from ..functions.pixels import each_pixel, replicated, typed
+from ..functions.stacks import on_stacks, restored
 
 INTERPOLATIONS = ("nearest", "bilinear")
 
 
-def _value(r: Column, c: Column, ch: Column) -> Column:
-    return F.get("data", (r * F.col("width") + c) * F.col("n_channels") + ch)
+def _nearest(x: np.ndarray, r: np.ndarray, c: np.ndarray, fill: float) -> np.ndarray:
+    h, w = x.shape[1:3]
+    y, z = np.rint(r).astype(int), np.rint(c).astype(int)
+    inside = (y >= 0) & (y < h) & (z >= 0) & (z < w)
+    return np.where(inside[None, :, :, None], x[:, np.clip(y, 0, h - 1), np.clip(z, 0, w - 1)], fill)
 
 
-def _inside(r: Column, c: Column) -> Column:
-    return (r >= 0) & (r < F.col("height")) & (c >= 0) & (c < F.col("width"))
-
-
-def _nearest(r: Column, c: Column, ch: Column, fill: float) -> Column:
-    y, x = F.rint(r).cast("int"), F.rint(c).cast("int")
-    return F.when(_inside(y, x), _value(y, x, ch)).otherwise(F.lit(float(fill)))
-
-
-def _bilinear(r: Column, c: Column, ch: Column, fill: float) -> Column:
+def _bilinear(x: np.ndarray, r: np.ndarray, c: np.ndarray, fill: float, u8: bool) -> np.ndarray:
     """Four neighbours by their distance. Places from 0 up to, not including, the side count as inside."""
-    y0, x0 = F.floor(r).cast("int"), F.floor(c).cast("int")
-    dy, dx = r - y0, c - x0
-    y1, x1 = replicated(y0 + 1, F.col("height")), replicated(x0 + 1, F.col("width"))
-    mixed = _value(y0, x0, ch) * (1 - dy) * (1 - dx) + _value(y0, x1, ch) * (1 - dy) * dx + _value(y1, x0, ch) * dy * (1 - dx) + _value(y1, x1, ch) * dy * dx
-    return F.when(_inside(r, c), typed(F.round(mixed, 9), F.col("dtype"))).otherwise(F.lit(float(fill)))
+    h, w = x.shape[1:3]
+    inside = (r >= 0) & (r < h) & (c >= 0) & (c < w)
+    y, z = np.clip(np.floor(r).astype(int), 0, h - 1), np.clip(np.floor(c).astype(int), 0, w - 1)
+    down, right = (r - np.floor(r))[None, :, :, None], (c - np.floor(c))[None, :, :, None]
+    below, beside = np.minimum(y + 1, h - 1), np.minimum(z + 1, w - 1)
+    upper = x[:, y, z] * (1 - right) + x[:, y, beside] * right
+    lower = x[:, below, z] * (1 - right) + x[:, below, beside] * right
+    return np.where(inside[None, :, :, None], restored(upper * (1 - down) + lower * down, u8), fill)
 
 
-def _gather(images: DataFrame, height: Column, width: Column, source, interpolation: str, fill: float) -> DataFrame:
-    sample = _nearest if one_of(interpolation, INTERPOLATIONS, "interpolation") == "nearest" else _bilinear
+def _gather(images: DataFrame, shape: Callable[[int, int], tuple[int, int]], source: Callable, interpolation: str, fill: float) -> DataFrame:
+    """source(r, c, height, width): where the values of rows r and columns c of the result come from."""
+    one_of(interpolation, INTERPOLATIONS, "interpolation")
 
-    def value(r: Column, c: Column, ch: Column) -> Column:
-        y, x = source(r, c)
-        return sample(y, x, ch, fill)
+    def run(u8: bool, x: np.ndarray) -> dict[str, np.ndarray]:
+        h, w = x.shape[1:3]
+        r, c = np.meshgrid(*(np.arange(n, dtype=float) for n in shape(h, w)), indexing="ij")
+        y, z = source(r, c, h, w)
+        return {"data": _nearest(x, y, z, float(fill)) if interpolation == "nearest" else _bilinear(x, y, z, float(fill), u8)}
 
-    return images.withColumn("data", each_pixel(value, height, width, F.col("n_channels"), "data")).withColumn("height", height).withColumn("width", width)
+    return on_stacks(images, run)
 
 
 def resize(images: DataFrame, out_height: int, out_width: int, interpolation: str = "bilinear") -> DataFrame:
     whole(out_height, "out_height", 1), whole(out_width, "out_width", 1)
-    source = lambda r, c: ((r + 0.5) * (F.col("height") / F.lit(float(out_height))) - 0.5, (c + 0.5) * (F.col("width") / F.lit(float(out_width))) - 0.5)
-    return _gather(images, F.lit(out_height), F.lit(out_width), source, interpolation, 0)
+    source = lambda r, c, h, w: ((r + 0.5) * (h / out_height) - 0.5, (c + 0.5) * (w / out_width) - 0.5)
+    return _gather(images, lambda h, w: (out_height, out_width), source, interpolation, 0)
 
 
 def rotate(images: DataFrame, angle: float, interpolation: str = "bilinear", fill: float = 0) -> DataFrame:
     """Counter-clockwise about the centre, on the same canvas."""
     theta = math.radians(-angle)
-    cos, sin = F.lit(math.cos(theta)), F.lit(math.sin(theta))
+    cos, sin = math.cos(theta), math.sin(theta)
 
-    def source(r: Column, c: Column) -> tuple[Column, Column]:
-        cy, cx = (F.col("height") - 1) / 2.0, (F.col("width") - 1) / 2.0
+    def source(r: np.ndarray, c: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+        cy, cx = (h - 1) / 2.0, (w - 1) / 2.0
         return cos * (r - cy) - sin * (c - cx) + cy, sin * (r - cy) + cos * (c - cx) + cx
 
-    return _gather(images, F.col("height"), F.col("width"), source, interpolation, fill)
+    return _gather(images, lambda h, w: (h, w), source, interpolation, fill)
 
 
 def translate(images: DataFrame, tx: float, ty: float, interpolation: str = "bilinear", fill: float = 0) -> DataFrame:
-    source = lambda r, c: (r - F.lit(float(ty)), c - F.lit(float(tx)))
-    return _gather(images, F.col("height"), F.col("width"), source, interpolation, fill)
+    return _gather(images, lambda h, w: (h, w), lambda r, c, h, w: (r - ty, c - tx), interpolation, fill)

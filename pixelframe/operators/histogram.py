@@ -2,17 +2,20 @@
 
 Values are counted with one pre-aggregated groupBy: an image's values lie in
 one row, so the partial aggregate is already complete and the shuffle carries
-at most one record for each bin.  Dense bins and cumulative sums stay in an
-array for each image, so neither a spine join nor a window is needed.
+at most one record for each bin.  Levels of an image that its own pixels are
+compared with (Otsu, equalisation) are worked out in the image's row, without a
+join or shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import whole
-from ..functions.pixels import clamp, half_even, known, let
+from ..functions.pixels import clamp, let
+from ..functions.stacks import half_even_bytes, on_stacks
 from ..model import to_pixels
 from .point import threshold_global  # noqa: F401  (the strict comparison that Otsu shares)
 from .stencil import lbp_codes
@@ -82,52 +85,62 @@ def pixel_statistics(images: DataFrame, dtype: str = "u8") -> DataFrame:
     )
 
 
-def _cumulative(counts: str) -> Column:
-    """Running sums of an array of counts."""
-    start = F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<bigint>").alias("a"))
-    return F.aggregate(counts, start, lambda s, n: F.struct((s["t"] + n).alias("t"), F.concat(s["a"], F.array(s["t"] + n)).alias("a")))["a"]
+def level_counts(x: np.ndarray) -> np.ndarray:
+    """How many values of each image of a stack have each of 256 levels: (images, 256)."""
+    flat = np.floor(x.reshape(len(x), -1)).astype(np.int64)
+    inside = (flat >= 0) & (flat < 256)
+    return np.bincount((np.arange(len(x))[:, None] * 256 + flat)[inside], minlength=len(x) * 256).reshape(len(x), 256)
 
 
-def otsu_thresholds(images: DataFrame) -> DataFrame:
-    """(image_id, threshold): the first level with the largest variance between the classes.
+def otsu_levels(x: np.ndarray) -> np.ndarray:
+    """For each image the first level with the largest variance between the classes.
 
     The variance is compared as (mu n0 - m N)^2 / (n0 n1) with counts, so ties are exact.
     """
-    rows = histogram(images).select("image_id", "counts")
-    weighted = F.transform("counts", lambda n, i: n * i)
-    rows = rows.withColumn("n0", _cumulative("counts")).withColumn("w", weighted).withColumn("m", _cumulative("w"))
-    rows = rows.withColumn("n", F.element_at("n0", 256)).withColumn("mu", F.element_at("m", 256))
+    counts = level_counts(x)
+    n0, m = counts.cumsum(axis=1).astype(float), (counts * np.arange(256)).cumsum(axis=1).astype(float)
+    n, mu = n0[:, -1:], m[:, -1:]
+    d, below = mu * n0 - m * n, n0 * (n - n0)
+    return np.argmax(np.where(below > 0, d * d / np.where(below > 0, below, 1), 0.0), axis=1)
+
 
-    def variance(n0: Column, m: Column) -> Column:
-        d = F.col("mu").cast("double") * n0 - m.cast("double") * F.col("n")
-        return F.coalesce(F.try_divide(d * d, n0.cast("double") * (F.col("n") - n0)), F.lit(0.0))
+def with_otsu(images: DataFrame) -> DataFrame:
+    """Adds threshold, each image's own level, to the image's row."""
+    found = on_stacks(images, lambda u8, x: {"_level": otsu_levels(x)[:, None].astype(float)}, adds=("_level",))
+    return found.withColumn("threshold", F.get("_level", F.lit(0)).cast("int")).drop("_level")
 
-    rows = rows.withColumn("var", known(F.zip_with("n0", "m", variance), "n", "mu"))
-    return rows.select("image_id", (F.array_position("var", F.array_max("var")) - 1).cast("int").alias("threshold"))
+
+def otsu_thresholds(images: DataFrame) -> DataFrame:
+    """(image_id, threshold) of gray u8 images."""
+    return with_otsu(images).select("image_id", "threshold")
 
 
 def threshold_otsu(images: DataFrame, max_val: float = 255) -> DataFrame:
     """Images thresholded at their own level, with the level as a column."""
     if max_val <= 0:
         raise ValueError("max_val must be positive")
-    found = images.join(otsu_thresholds(images), "image_id")
-    return found.withColumn("data", F.transform("data", lambda v: F.when(v > F.col("threshold"), F.lit(float(max_val))).otherwise(0.0)))
+    return with_otsu(images).withColumn("data", F.transform("data", lambda v: F.when(v > F.col("threshold"), F.lit(float(max_val))).otherwise(0.0)))
+
+
+def equalization_levels(x: np.ndarray) -> np.ndarray:
+    """The new value of each of 256 levels, for each image of a stack."""
+    cum = level_counts(x).cumsum(axis=1).astype(float)
+    share = cum / cum[:, -1:]
+    low = np.where(cum > 0, share, 2.0).min(axis=1, keepdims=True)
+    return half_even_bytes(np.round(255 * (share - low) / np.maximum(1 - low, 1e-9), 9))
 
 
 def equalization_tables(images: DataFrame) -> DataFrame:
     """(image_id, lut): the new value of each of 256 levels."""
-    rows = histogram(images).select("image_id", "counts").withColumn("cum", _cumulative("counts"))
-    rows = rows.withColumn("n", F.element_at("cum", 256).cast("double")).withColumn("first", F.array_min(F.filter("cum", lambda x: x > 0)))
-    lut = let(
-        F.struct((F.col("first") / F.col("n")).alias("low"), F.col("n").alias("n")),
-        lambda s: F.transform("cum", lambda x: clamp(half_even(F.round(255 * (x / s["n"] - s["low"]) / F.greatest(1 - s["low"], F.lit(1e-9)), 9)), 0, 255)),
-    )
-    return rows.select("image_id", lut.alias("lut"))
+    return on_stacks(images, lambda u8, x: {"lut": equalization_levels(x)}, adds=("lut",)).select("image_id", "lut")
 
 
 def histogram_equalization(images: DataFrame) -> DataFrame:
-    found = images.join(equalization_tables(images), "image_id")
-    return found.withColumn("data", F.transform("data", lambda v: F.get("lut", v.cast("int")))).drop("lut")
+    def equalized(u8: bool, x: np.ndarray) -> dict[str, np.ndarray]:
+        levels = np.clip(np.floor(x), 0, 255).astype(int).reshape(len(x), -1)
+        return {"data": np.take_along_axis(equalization_levels(x), levels, axis=1).reshape(x.shape)}
+
+    return on_stacks(images, equalized)
 
 
 def lbp_descriptor(images: DataFrame, n_bins: int = 256, normalize: bool = True) -> DataFrame:

@@ -12,22 +12,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 3
+SPLITS = 128
 
 
 def order_key(id_col: str, seed: str = "") -> Column:
     return F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
 
 
-def ranked(rows: DataFrame, id_col: str, keys: list[str], seed: str = "") -> DataFrame:
-    """Adds rank (from 1) and total of each row within its keys, by md5 order."""
-    rows = rows.withColumn("_key", order_key(id_col, seed)).withColumn("_part", F.substring("_key", 1, DIGITS))
+def _numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds rank (from 1) and total within keys by `_part`, then order; only rows of one part are sorted together."""
     parts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     by_keys = Window.partitionBy(*keys)
     before = by_keys.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(by_keys).alias("total"))
-    inner = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_key", id_col))
-    numbered = rows.withColumn("_inner", inner)
-    return numbered.join(parts, [*keys, "_part"]).withColumn("rank", F.col("_before") + F.col("_inner")).drop("_key", "_part", "_inner", "_before")
+    numbered = rows.withColumn("_inner", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    return numbered.join(parts, [*keys, "_part"]).withColumn("rank", F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before")
+
+
+def ranked(rows: DataFrame, id_col: str, keys: list[str], seed: str = "") -> DataFrame:
+    """Adds rank (from 1) and total of each row within its keys, by md5 order."""
+    rows = rows.withColumn("_key", order_key(id_col, seed)).withColumn("_part", F.substring("_key", 1, DIGITS))
+    return _numbered(rows, keys, ["_key", id_col]).drop("_key")
 
 
 def class_distribution(rows: DataFrame, class_col: str) -> DataFrame:
@@ -74,8 +79,15 @@ def tail(rows: DataFrame, id_col: str, n: int) -> DataFrame:
 
 
 def rename_plan(files: DataFrame) -> DataFrame:
-    """(old_path, new_path) for (class_name, name, ext): class and running number by name."""
-    number = F.row_number().over(Window.partitionBy("class_name").orderBy("name"))
+    """(old_path, new_path) for (class_name, name, ext): class and running number by name.
+
+    Names are cut into parts between SPLITS names drawn by hash, so that a class
+    holding most files is not sorted in one task; which names are drawn matters
+    for balance only.
+    """
+    drawn = [r[0] for r in files.select("name").orderBy(F.md5("name"), "name").limit(SPLITS).collect()]
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in drawn]), lambda x: x <= F.col("name"))) if drawn else F.lit(0)
+    rows = _numbered(files.withColumn("_part", part), ["class_name"], ["name"])
     old = F.concat_ws("/", "class_name", F.concat("name", "ext"))
-    new = F.concat("class_name", F.lit("/"), "class_name", F.lit("_"), F.format_string("%04d", number), "ext")
-    return files.select(old.alias("old_path"), new.alias("new_path"))
+    new = F.concat("class_name", F.lit("/"), "class_name", F.lit("_"), F.format_string("%04d", F.col("rank")), "ext")
+    return rows.select(old.alias("old_path"), new.alias("new_path"))

@@ -1,8 +1,8 @@
 """Neighbourhood operators on image rows.
 
-The image is padded once; after that a neighbour is a constant offset in the
-padded array, so a stencil is one projection without a join or shuffle.
-Kernels of rank one run as a row pass and a column pass.
+Images of one shape are padded together as a stack; a neighbour is then a shift
+of the whole stack, so a stencil is as many array sums as it has taps, without
+a join or shuffle.  Kernels of rank one run as a row pass and a column pass.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.checks import PAD_MODES, checked_kernel, odd_size, one_of, positive, whole
-from ..functions.pixels import each_pixel, reflected, replicated, typed
+from ..functions.stacks import on_stacks, padded, restored
 
 # fixed values: the Sobel kernels, and the neighbours of a local binary pattern, clockwise from the top left
 SOBEL_X = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
@@ -23,83 +22,54 @@ SOBEL_Y = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 LBP_NEIGHBOURS = [(-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1)]
 
 
-def _padded(h: int, w: int, mode: str, constant: float = 0.0, column: str = "data") -> Column:
-    """The data of an image grown by h rows and w columns on each side."""
-
-    def value(r: Column, c: Column, ch: Column) -> Column:
-        y, x = r - h, c - w
-        height, width = F.col("height"), F.col("width")
-        if mode == "constant":
-            inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
-            return F.when(inside, F.get(column, (y * width + x) * F.col("n_channels") + ch)).otherwise(F.lit(float(constant)))
-        place = reflected if mode == "reflect" else replicated
-        return F.get(column, (place(y, height) * width + place(x, width)) * F.col("n_channels") + ch)
-
-    return each_pixel(value, F.col("height") + 2 * h, F.col("width") + 2 * w, F.col("n_channels"), column)
-
-
 def pad_image(images: DataFrame, pad_h: int, pad_w: int, mode: str = "reflect", constant_value: float = 0) -> DataFrame:
     whole(pad_h, "pad_h", 0), whole(pad_w, "pad_w", 0), one_of(mode, PAD_MODES, "mode")
     if not pad_h and not pad_w:
         return images
-    out = images.withColumn("data", _padded(pad_h, pad_w, mode, constant_value))
-    return out.withColumn("height", F.col("height") + 2 * pad_h).withColumn("width", F.col("width") + 2 * pad_w)
+    return on_stacks(images, lambda u8, x: {"data": padded(x, pad_h, pad_w, mode, float(constant_value))})
 
 
-def _neighbour(padded: str, r: Column, c: Column, ch: Column, dr: int, dc: int, w: int) -> Column:
-    """A value of the padded array: dr and dc count from its top left."""
-    return F.get(padded, ((r + dr) * (F.col("width") + 2 * w) + c + dc) * F.col("n_channels") + ch)
+def weighted(x: np.ndarray, kernel: list[list[float]], mode: str) -> np.ndarray:
+    """True convolution of a stack (the kernel turned by 180 degrees), channel by channel."""
+    kh, kw = len(kernel), len(kernel[0])
+    grown, out = padded(x, kh // 2, kw // 2, mode), np.zeros(x.shape)
+    for i, row in enumerate(kernel):
+        for j, k in enumerate(row):
+            if k:
+                y, z = kh - 1 - i, kw - 1 - j
+                out += grown[:, y : y + x.shape[1], z : z + x.shape[2]] * float(k)
+    return out
 
 
-def _weighted(images: DataFrame, kernels: dict[str, list[list[float]]], mode: str, column: str = "data") -> DataFrame:
-    """True convolution (kernels turned by 180 degrees) with kernels of one shape, from one padding."""
-    shapes = {(len(k), len(k[0])) for k in kernels.values()}
-    ((kh, kw),) = shapes
-    out = images.withColumn("_pad", _padded(kh // 2, kw // 2, mode, column=column))
-    for name, kernel in kernels.items():
+def two_passes(x: np.ndarray, column: list[float], row: list[float], mode: str) -> np.ndarray:
+    return weighted(weighted(x, [row], mode), [[v] for v in column], mode)
 
-        def value(r: Column, c: Column, ch: Column, kernel=kernel) -> Column:
-            terms = [_neighbour("_pad", r, c, ch, kh - 1 - i, kw - 1 - j, kw // 2) * F.lit(float(k)) for i, row in enumerate(kernel) for j, k in enumerate(row) if k]
-            return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
 
-        out = out.withColumn(name, each_pixel(value, F.col("height"), F.col("width"), F.col("n_channels"), "_pad"))
-    return out.drop("_pad")
-
-
-def separated(kernel: list[list[float]]) -> tuple[list[float], list[float]] | None:
-    """Column and row factors of a kernel of rank one."""
-    u, s, v = np.linalg.svd(np.array(kernel))
-    if len(s) > 1 and s[1] > 1e-12 * s[0]:
-        return None
-    return (u[:, 0] * math.sqrt(s[0])).tolist(), (v[0] * math.sqrt(s[0])).tolist()
+def windows(x: np.ndarray, size: int, mode: str) -> np.ndarray:
+    """For each value its size x size neighbours, on a last axis."""
+    grown = padded(x, size // 2, size // 2, mode)
+    return np.stack([grown[:, i : i + x.shape[1], j : j + x.shape[2]] for i in range(size) for j in range(size)], axis=-1)
 
 
 def convolve2d(images: DataFrame, kernel, pad_mode: str = "reflect") -> DataFrame:
     """Convolution to float values of the same size; channel by channel."""
     one_of(pad_mode, PAD_MODES, "pad_mode")
-    return _weighted(images, {"data": checked_kernel(kernel)}, pad_mode).withColumn("dtype", F.lit("f64"))
-
-
-def _restored(images: DataFrame, dtype_of: DataFrame | None = None) -> DataFrame:
-    # sums in another order may miss a half by an ulp, so noise is rounded off first
-    return images.withColumn("data", F.transform("data", lambda v: typed(F.round(v, 9), F.col("dtype"))))
+    taps = checked_kernel(kernel)
+    return on_stacks(images, lambda u8, x: {"data": weighted(x, taps, pad_mode)}, dtype="f64")
 
 
 def spatial_filter(images: DataFrame, kernel, pad_mode: str = "reflect") -> DataFrame:
     """Convolution in the image's own type."""
     one_of(pad_mode, PAD_MODES, "pad_mode")
-    return _restored(_weighted(images, {"data": checked_kernel(kernel)}, pad_mode))
-
-
-def _two_passes(images: DataFrame, column: list[float], row: list[float], mode: str) -> DataFrame:
-    return _weighted(_weighted(images, {"data": [row]}, mode), {"data": [[x] for x in column]}, mode)
+    taps = checked_kernel(kernel)
+    return on_stacks(images, lambda u8, x: {"data": restored(weighted(x, taps, pad_mode), u8)})
 
 
 def mean_filter(images: DataFrame, kernel_size: int = 3, pad_mode: str = "reflect") -> DataFrame:
     """Box filter: sums in two passes, divided once at the end so that whole numbers stay exact."""
     k = odd_size(kernel_size, "kernel_size")
-    sums = _two_passes(images, [1.0] * k, [1.0] * k, one_of(pad_mode, PAD_MODES, "pad_mode"))
-    return _restored(sums.withColumn("data", F.transform("data", lambda v: v / float(k * k))))
+    one_of(pad_mode, PAD_MODES, "pad_mode")
+    return on_stacks(images, lambda u8, x: {"data": restored(two_passes(x, [1.0] * k, [1.0] * k, pad_mode) / (k * k), u8)})
 
 
 def gaussian_weights(size: int, sigma: float) -> list[float]:
@@ -115,29 +85,33 @@ def gaussian_kernel(size: int, sigma: float) -> list[list[float]]:
     return [[a * b for b in w] for a in w]
 
 
+def blurred(x: np.ndarray, size: int, sigma: float, mode: str, u8: bool) -> np.ndarray:
+    w = gaussian_weights(size, sigma)
+    return restored(two_passes(x, w, w, mode), u8)
+
+
 def gaussian_filter(images: DataFrame, kernel_size: int = 5, sigma: float = 1.0, pad_mode: str = "reflect") -> DataFrame:
-    w = gaussian_weights(kernel_size, sigma)
-    return _restored(_two_passes(images, w, w, one_of(pad_mode, PAD_MODES, "pad_mode")))
+    gaussian_weights(kernel_size, sigma), one_of(pad_mode, PAD_MODES, "pad_mode")
+    return on_stacks(images, lambda u8, x: {"data": blurred(x, kernel_size, sigma, pad_mode, u8)})
 
 
 def median_filter(images: DataFrame, kernel_size: int = 3, pad_mode: str = "reflect") -> DataFrame:
     k = odd_size(kernel_size, "kernel_size")
     one_of(pad_mode, PAD_MODES, "pad_mode")
+    return on_stacks(images, lambda u8, x: {"data": np.median(windows(x, k, pad_mode), axis=-1)})
 
-    def value(r: Column, c: Column, ch: Column) -> Column:
-        window = F.array(*[_neighbour("_pad", r, c, ch, i, j, k // 2) for i in range(k) for j in range(k)])
-        return F.get(F.array_sort(window), F.lit(k * k // 2))
 
-    return images.withColumn("_pad", _padded(k // 2, k // 2, pad_mode)).withColumn("data", each_pixel(value, F.col("height"), F.col("width"), F.col("n_channels"), "_pad")).drop("_pad")
+def gradients(x: np.ndarray, mode: str) -> dict[str, np.ndarray]:
+    """Sobel gradients with their magnitude, and angle in degrees from 0 up to 180."""
+    gx, gy = weighted(x, SOBEL_X, mode) + 0.0, weighted(x, SOBEL_Y, mode) + 0.0
+    angle = np.fmod(np.degrees(np.arctan2(gy, gx)), 180)
+    return {"gx": gx, "gy": gy, "magnitude": np.sqrt(gx * gx + gy * gy), "angle": np.where(angle < 0, np.fmod(angle + 180, 180), angle)}
 
 
 def sobel_gradients(images: DataFrame, pad_mode: str = "reflect") -> DataFrame:
     """Adds gx, gy, magnitude and angle (degrees in [0, 180))."""
     one_of(pad_mode, PAD_MODES, "pad_mode")
-    out = _weighted(images, {"gx": SOBEL_X, "gy": SOBEL_Y}, pad_mode)
-    size = lambda x, y: F.sqrt(x * x + y * y)
-    turn = lambda x, y: F.pmod(F.degrees(F.atan2(y + 0.0, x + 0.0)), F.lit(180.0))
-    return out.withColumn("magnitude", F.zip_with("gx", "gy", size)).withColumn("angle", F.zip_with("gx", "gy", turn))
+    return on_stacks(images, lambda u8, x: gradients(x, pad_mode), adds=("gx", "gy", "magnitude", "angle"))
 
 
 def threshold_adaptive(images: DataFrame, block_size: int = 11, method: str = "mean", C: float = 2, max_val: float = 255) -> DataFrame:
@@ -147,101 +121,99 @@ def threshold_adaptive(images: DataFrame, block_size: int = 11, method: str = "m
     if max_val <= 0:
         raise ValueError("max_val must be positive")
     w = [1.0] * k if method == "mean" else gaussian_weights(k, 0.3 * ((k - 1) / 2 - 1) + 0.8)
-    local = _two_passes(images.withColumn("_own", F.col("data")), w, w, "reflect")
     part = float(k * k) if method == "mean" else 1.0
-    compared = F.zip_with("_own", "data", lambda v, m: F.when(v > F.round(m / part, 9) - C, F.lit(float(max_val))).otherwise(0.0))
-    return local.withColumn("data", compared).drop("_own")
+    return on_stacks(images, lambda u8, x: {"data": np.where(x > np.round(two_passes(x, w, w, "reflect") / part, 9) - C, float(max_val), 0.0)})
+
+
+def patterns(x: np.ndarray) -> np.ndarray:
+    grown, (h, w) = padded(x, 1, 1, "replicate"), x.shape[1:3]
+    return sum(np.where(grown[:, 1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w] >= x, float(1 << i), 0.0) for i, (dr, dc) in enumerate(LBP_NEIGHBOURS))
 
 
 def lbp_codes(images: DataFrame) -> DataFrame:
     """Local binary patterns: bit i is set where neighbour i is not below the centre; borders are replicated."""
+    return on_stacks(images, lambda u8, x: {"data": patterns(x)})
 
-    def value(r: Column, c: Column, ch: Column) -> Column:
-        centre = _neighbour("_pad", r, c, ch, 1, 1, 1)
-        bits = [F.when(_neighbour("_pad", r, c, ch, 1 + dr, 1 + dc, 1) >= centre, 1 << i).otherwise(0) for i, (dr, dc) in enumerate(LBP_NEIGHBOURS)]
-        return sum(bits[1:], bits[0]).cast("double")
 
-    return images.withColumn("_pad", _padded(1, 1, "replicate")).withColumn("data", each_pixel(value, F.col("height"), F.col("width"), F.col("n_channels"), "_pad")).drop("_pad")
+def suppressed(magnitude: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """Magnitudes that neither neighbour along the gradient exceeds; directions are the nearest multiples of 45 degrees."""
+    grown, (h, w) = padded(magnitude, 1, 1, "replicate"), magnitude.shape[1:3]
+    turn = np.mod(np.floor(angle / 45 + 0.5), 4)
+    out = np.zeros(magnitude.shape)
+    for k in range(4):
+        dr, dc = (int(np.rint(f(np.radians(45 * k)))) for f in (np.sin, np.cos))
+        ahead, behind = (grown[:, 1 + s * dr : 1 + s * dr + h, 1 + s * dc : 1 + s * dc + w] for s in (1, -1))
+        stays = (turn == k) & (magnitude >= np.maximum(ahead, behind))
+        out[stays] = magnitude[stays]
+    return out
 
 
 def thinned(images: DataFrame) -> DataFrame:
     """Non-maximum suppression of magnitude along the gradient; ties stay. Needs the columns of sobel_gradients."""
-    steps = {0: (0, 1), 1: (1, 1), 2: (1, 0), 3: (1, -1)}
-
-    def value(r: Column, c: Column, ch: Column) -> Column:
-        i = r * F.col("width") + c
-        own, bin_ = F.get("magnitude", i), F.pmod(F.floor((F.get("angle", i) + 22.5) / 45), F.lit(4))
-        out = F.lit(0.0)
-        for k, (dr, dc) in steps.items():
-            one, two = _neighbour("_pad", r, c, ch, 1 + dr, 1 + dc, 1), _neighbour("_pad", r, c, ch, 1 - dr, 1 - dc, 1)
-            out = F.when((bin_ == k) & (own >= one) & (own >= two), own).otherwise(out)
-        return out
-
-    return images.withColumn("_pad", _padded(1, 1, "replicate", column="magnitude")).withColumn("thin", each_pixel(value, F.col("height"), F.col("width"), F.lit(1), "_pad", "magnitude", "angle")).drop("_pad")
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def _connected(thin, width, low, high):
-    """Flood of weak pixels from strong ones over 8 neighbours, image by image.
-
-    The one custom step: reachability is a fixpoint, which a projection cannot
-    express; it needs one image at a time and no shuffle.
-    """
-    import pandas as pd
-
-    out = []
-    for values, w, a, b in zip(thin, width, low, high):
-        v = np.asarray(values).reshape(-1, w) if w else np.empty((0, 0))
-        keep, weak = v >= b, v >= a
-        left = list(zip(*np.nonzero(keep)))
-        while left:
-            r, c = left.pop()
-            for y in range(max(r - 1, 0), min(r + 2, v.shape[0])):
-                for x in range(max(c - 1, 0), min(c + 2, v.shape[1])):
-                    if weak[y, x] and not keep[y, x]:
-                        keep[y, x] = True
-                        left.append((y, x))
-        out.append(np.where(keep, 255.0, 0.0).ravel())
-    return pd.Series(out)
+    return on_stacks(images, lambda u8, magnitude, angle: {"thin": suppressed(magnitude, angle)}, reads=("magnitude", "angle"), adds=("thin",))
+
+
+def reached(strong: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """Weak pixels that chains of weak pixels, by 8 neighbours, join to strong ones: whole stacks grow until they rest."""
+    h, w = strong.shape[1:3]
+    keep, left = strong.copy(), np.arange(len(strong))
+    while len(left):
+        rows = np.pad(keep[left], ((0, 0), (1, 1), (0, 0), (0, 0)))
+        rows = rows[:, :h] | rows[:, 1 : h + 1] | rows[:, 2:]
+        cols = np.pad(rows, ((0, 0), (0, 0), (1, 1), (0, 0)))
+        grown = (cols[:, :, :w] | cols[:, :, 1 : w + 1] | cols[:, :, 2:]) & weak[left] | keep[left]
+        moved = (grown != keep[left]).any(axis=(1, 2, 3))
+        keep[left], left = grown, left[moved]
+    return keep
 
 
 def canny(images: DataFrame, low: float = 50, high: float = 150, kernel_size: int = 5, sigma: float = 1.4, pad_mode: str = "reflect") -> DataFrame:
     """Edges of gray images as 0 and 255."""
     if not 0 <= low < high:
         raise ValueError("thresholds must be 0 <= low < high")
-    thin = thinned(sobel_gradients(gaussian_filter(images, kernel_size, sigma, pad_mode), pad_mode))
-    edges = thin.withColumn("data", _connected("thin", "width", F.lit(float(low)), F.lit(float(high))))
-    return edges.withColumn("dtype", F.lit("u8")).drop("gx", "gy", "magnitude", "angle", "thin")
+    gaussian_weights(kernel_size, sigma), one_of(pad_mode, PAD_MODES, "pad_mode")
 
+    def edges(u8: bool, x: np.ndarray) -> dict[str, np.ndarray]:
+        found = gradients(blurred(x, kernel_size, sigma, pad_mode, u8), pad_mode)
+        thin = suppressed(found["magnitude"], found["angle"])
+        return {"data": np.where(reached(thin >= high, thin >= low), 255.0, 0.0)}
 
-def cross_correlate(images: DataFrame, weights: np.ndarray, bias: list[float], stride: int = 1, pad: int = 0) -> DataFrame:
-    """Convolution layer: weights (out, in, kh, kw) are not turned, borders are zero, channels are summed."""
-    whole(stride, "stride", 1), whole(pad, "pad", 0)
+    return on_stacks(images, edges, dtype="u8")
+
+
+def correlated(x: np.ndarray, weights: np.ndarray, bias: list[float], stride: int, pad: int) -> np.ndarray:
     n_out, n_in, kh, kw = weights.shape
-    rows, cols = F.floor((F.col("height") + 2 * pad - kh) / stride).cast("int") + 1, F.floor((F.col("width") + 2 * pad - kw) / stride).cast("int") + 1
-    out = images.withColumn("_pad", _padded(pad, pad, "constant")).withColumn("_rows", rows).withColumn("_cols", cols)
+    grown = padded(x, pad, pad, "constant")
+    rows, cols = (grown.shape[1] - kh) // stride + 1, (grown.shape[2] - kw) // stride + 1
+    out = np.zeros((len(x), max(rows, 0), max(cols, 0), n_out))
+    for i in range(n_in):
+        for y in range(kh):
+            for z in range(kw):
+                part = grown[:, y : y + stride * (rows - 1) + 1 : stride, z : z + stride * (cols - 1) + 1 : stride, i : i + 1]
+                out += part * weights[:, i, y, z]
+    return out + np.asarray(bias, float)
 
-    def value(r: Column, c: Column, ch: Column) -> Column:
-        sums = []
-        for o in range(n_out):
-            terms = [_neighbour("_pad", r * stride, c * stride, F.lit(i), y, x, pad) * F.lit(float(weights[o, i, y, x])) for i in range(n_in) for y in range(kh) for x in range(kw)]
-            sums.append(sum(terms[1:], terms[0]) + F.lit(float(bias[o])))
-        return F.get(F.array(*sums), ch)
 
-    out = out.withColumn("data", each_pixel(value, F.col("_rows"), F.col("_cols"), F.lit(n_out), "_pad", "_rows", "_cols"))
-    return out.withColumn("height", F.col("_rows")).withColumn("width", F.col("_cols")).withColumn("n_channels", F.lit(n_out)).withColumn("dtype", F.lit("f64")).drop("_pad", "_rows", "_cols")
+def cross_correlate(images: DataFrame, weights: np.ndarray, bias: list[float], stride: int = 1, pad: int = 0) -> DataFrame:
+    """Convolution layer: weights (out, in, kh, kw) are not turned, borders are zero, channels are summed."""
+    whole(stride, "stride", 1), whole(pad, "pad", 0)
+    weights = np.asarray(weights, float)
+    return on_stacks(images, lambda u8, x: {"data": correlated(x, weights, bias, stride, pad)}, dtype="f64")
 
 
 def max_pool(images: DataFrame, size: int = 2, stride: int = 2) -> DataFrame:
     """Largest value of each full window."""
     whole(size, "size", 1), whole(stride, "stride", 1)
-    out = images.withColumn("_rows", F.floor((F.col("height") - size) / stride).cast("int") + 1).withColumn("_cols", F.floor((F.col("width") - size) / stride).cast("int") + 1)
-    value = lambda r, c, ch: F.array_max(F.array(*[_neighbour("data", r * stride, c * stride, ch, y, x, 0) for y in range(size) for x in range(size)]))
-    out = out.withColumn("data", each_pixel(value, F.col("_rows"), F.col("_cols"), F.col("n_channels"), "data", "_rows", "_cols"))
-    return out.withColumn("height", F.col("_rows")).withColumn("width", F.col("_cols")).drop("_rows", "_cols")
 
+    def pooled(u8: bool, x: np.ndarray) -> dict[str, np.ndarray]:
+        rows, cols = max((x.shape[1] - size) // stride + 1, 0), max((x.shape[2] - size) // stride + 1, 0)
+        if not rows or not cols:
+            return {"data": x[:, :rows, :cols]}
+        parts = [x[:, y : y + stride * (rows - 1) + 1 : stride, z : z + stride * (cols - 1) + 1 : stride] for y in range(size) for z in range(size)]
+        return {"data": np.max(parts, axis=0)}
 
-def relu(images: DataFrame) -> DataFrame:
-    return images.withColumn("data", F.transform("data", lambda v: F.greatest(v, F.lit(0.0))))
+    return on_stacks(images, pooled)
 
 
+def relu(images: DataFrame) -> DataFrame:
+    return images.withColumn("data", F.transform("data", lambda v: F.greatest(v, F.lit(0.0))))
