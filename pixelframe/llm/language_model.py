@@ -1,29 +1,30 @@
 """Scores of texts under a log-bilinear model trained by noise-contrastive estimation.
 
-Tokens are lower-cased words and an end.  Every word that occurs at least
-LEAST_COUNT times is a unit with vectors of its own, so units grow with the
-corpus; rarer words share a unit with all rare words that end alike.  The
-network predicts a token's unit from the two units before it: their vectors,
-each through the matrix of its place, add up to a predicted vector, whose
-product with a unit's vector, plus that unit's bias, is its score.  Within a
-shared unit a word has its share of the unit's tokens, less the share that the
-unit gives to words never seen (the Good-Turing estimate).
-
-All counts and all training are over all training documents.  A class network
-of UNITS classes is fitted on the driver to a table of trigrams of classes, at
-most UNITS ** 3 entries; every unit starts at the vectors of its class.  Then
-the documents are dealt into ROUNDS parts.  In each round, tasks train on their
-tokens of one part by sampled noise, from the same vectors; what they change is
-averaged by unit with the unit's counts as weights, in Spark.  Only units that
-a task met are shuffled, and one record for each unit reaches the driver.
-
-Scores are those of noise-contrastive estimation, which learns to have sums of
-probabilities near one; they are not divided by the sum over all units.  The
-mean of its logarithm over contexts of all tasks is subtracted.
-
-Word counts of the HEAD most frequent words are broadcast, and hashes and
-vectors of all units.  Other words are joined with their counts by a shuffle,
-one row for each document and word.
+Tokens are lower-cased words and an end.  The most frequent words, as many as
+UNITS_BY_ROOT times the square root of the training tokens and at most
+MOST_UNITS (144 MB of vectors), are units with vectors of their own, so units
+grow with the corpus; rarer words share a unit with all rare words that end
+alike.  Units are dealt into classes: the end and the CLASS_WORDS most frequent
+words are classes of one, the others go by their ending, MEMBERS to a class.
+
+The vectors of the two units before a token, each through the matrix of its
+place, add up to a predicted vector.  Its products with all class vectors, plus
+biases, give the probability of the token's class, and those with the vectors
+of the class's units that of the unit: both are divided by their whole sums, in
+batches of matrix products, so probabilities add up to one.  Within a shared
+unit a word has its share of the unit's tokens, less the share that the unit
+gives to words never seen (the Good-Turing estimate).
+
+All counts and all training are over all training documents, dealt into ROUNDS
+parts.  In each round, tasks train on their tokens of one part by sampled
+noise, classes against classes and units against units of their class, from the
+same vectors; what they change is averaged by unit with the unit's counts as
+weights, in Spark.  Only units that a task met are shuffled, and one record for
+each block of units reaches the driver.
+
+Counts of the HEAD most frequent words are broadcast, and hashes and vectors of
+all units.  Other words are joined with their counts by a shuffle, one row for
+each document and word.
 
 Defined results: null texts are empty and have one end; null ids are training
 rows; an empty training set gives every token the unknown word's probability;
@@ -33,38 +34,39 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mapped, remainder, slices, stored, table, text_of
 
 HEAD = 200_000
-WORD_UNITS = 96
-ENDING_UNITS = 95
-UNITS = 1 + WORD_UNITS + ENDING_UNITS + 1
+UNITS_BY_ROOT = 2.0
+MOST_UNITS = 1_000_000
+CLASS_WORDS = 64
+ENDINGS = 63
 ENDING = 2  # characters
-DIMENSION = 32
-NOISE = 16
-STEPS = 120
-RATE = 0.05
-LEAST_COUNT = 100
-SHARED = 1 + ENDING_UNITS + 1  # the end, endings of rare words, all other rare words; units of one word follow
+MEMBERS = 128
+DIMENSION = 16
+NOISE = 8  # noise classes to a token, as weighed
+DRAWS = 32  # noise classes drawn for each batch
+UNIT_NOISE = 1  # noise units to a token, of its class
 ROUNDS = 3
 BATCH = 4096
-DRAWS = 256  # noise units drawn for each batch
-SHARD_RATE = 0.1
-SHARD_TOKENS = 4_000_000
+RATE = 0.1
+SHARD_TOKENS = 2_000_000
+SMALL_TOKENS, MOST_PASSES = 4_000_000, 8  # a corpus of fewer tokens is passed over more than once
 BLOCKS = 256
-CONTEXTS = 64  # of each shard, to measure sums of probabilities
+SCORED = 1024  # tokens whose sums are worked out at once
+SAFE = 80.0  # scores below it have exponentials within float32
+READ_ROWS = 1024  # texts that are split at once
 KEPT_WORDS = 400_000
-FLUSH = 400_000
 END = b""  # no word is empty
 DIVISOR, HELD_OUT = 7, 2
 
@@ -74,169 +76,73 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def ending(word: bytes) -> bytes:
-    return word.decode("utf-8", "surrogatepass")[-ENDING:].encode("utf-8", "surrogatepass")
-
-
-def held_out() -> Column:
-    return F.coalesce(remainder("doc_id", DIVISOR) == HELD_OUT, F.lit(False))
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, ends under the empty word; counted in each task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
-
-        for rows in slices(batches):
-            for text in rows.column(0).to_pylist():
-                counts.update(words_of(text))
-            counts[END] += rows.num_rows
-            if len(counts) > FLUSH:
-                yield flush()
-        if counts:
-            yield flush()
-
-    return docs.select(text_of().alias("text")).transform(mapped, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Units:
-    """How tokens map to units: 0 is the end, then frequent words, then endings, the last is all other words."""
-
-    words: dict[bytes, int]
-    endings: dict[bytes, int]
-
-    def of(self, word: bytes) -> int:
-        return self.words.get(word) or self.endings.get(ending(word), UNITS - 1)
+class Words(dict):
+    """Numbers of words in the order in which they are met, until KEPT_WORDS are known and all are forgotten."""
 
-
-class Lookup(dict):
-    """Index of each word: its place among the head words, or the number of those plus its unit."""
-
-    def __init__(self, head: dict[bytes, int], units: Units):
+    def __init__(self):
         super().__init__()
-        self.head, self.units = head, units
+        self.known: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        place = self.head.get(word)
-        value = self[word] = len(self.head) + self.units.of(word) if place is None else place
-        return value
+        k = self[word] = len(self.known)
+        self.known.append(word)
+        return k
 
+    def forget(self) -> None:
+        self.clear()
+        self.known = []
 
-def choose_units(counts: DataFrame) -> Units:
-    """The most frequent words, and the most frequent endings of the others."""
-    top = [r["word"] for r in counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(WORD_UNITS).collect()]
-    words = {bytes(w): 1 + k for k, w in enumerate(top)}
-    last = F.encode(F.substring(F.decode("word", "UTF-8"), -ENDING, ENDING), "UTF-8")
-    rest = counts.filter(~F.col("word").isin([END, *map(bytes, words)])).groupBy(last.alias("ending")).agg(F.sum("n").alias("n"))
-    endings = [bytes(r["ending"]) for r in rest.orderBy(F.desc("n"), "ending").limit(ENDING_UNITS).collect()]
-    return Units(words, {e: 1 + WORD_UNITS + k for k, e in enumerate(endings)})
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each text has, and the numbers of all words in order."""
+        split = [words_of(x) for x in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        return sizes, np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
 
 
-def count_trigrams(docs: DataFrame, units: Units) -> np.ndarray:
-    """How often each unit follows each pair of units: at most UNITS ** 3 records reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(units)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, counts = Lookup({}, shared.value), np.zeros(UNITS**3, np.int32)
-        for rows in slices(batches):
-            for text in rows.column(0).to_pylist():
-                codes = trigrams(np.fromiter(map(unit.__getitem__, words_of(text)), np.int64))
-                np.add.at(counts, codes, 1)
-        code = np.flatnonzero(counts)
-        for at in range(0, len(code), 1 << 16):
-            part = code[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], ["code", "n"])
+def placed(sizes: np.ndarray, values: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """values of texts between two edges before and one after each, and the places of all but those before."""
+    begins = np.cumsum(sizes + 3) - (sizes + 3)
+    out, real = np.full(int((sizes + 3).sum()), edge, values.dtype), np.ones(int((sizes + 3).sum()), bool)
+    real[begins] = real[begins + 1] = False
+    at = np.flatnonzero(real)
+    inner = np.ones(len(at), bool)
+    inner[np.cumsum(sizes + 1) - 1] = False
+    out[at[inner]] = values
+    return out, at
 
-    rows = docs.select(text_of().alias("text")).transform(mapped, run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    found = rows.toArrow()
-    out = np.zeros(UNITS**3, np.float32)
-    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(UNITS * UNITS, UNITS)
 
+def ending(word: bytes) -> bytes:
+    last = word[-ENDING:]
+    return last if last.isascii() else word.decode("utf-8", "surrogatepass")[-ENDING:].encode("utf-8", "surrogatepass")
 
-def trigrams(units: np.ndarray) -> np.ndarray:
-    """Codes of (second last, last, unit) for each token of a text, its end included."""
-    padded = np.concatenate(([0, 0], units, [0]))
-    return (padded[:-2] * UNITS + padded[1:-1]) * UNITS + padded[2:]
 
+def held_out() -> Column:
+    return F.coalesce(remainder("doc_id", DIVISOR) == HELD_OUT, F.lit(False))
 
-@dataclass
-class LogBilinear:
-    context: np.ndarray  # UNITS x DIMENSION: vectors of units as context
-    places: np.ndarray  # 2 x DIMENSION x DIMENSION
-    target: np.ndarray  # UNITS x DIMENSION
-    bias: np.ndarray  # UNITS
-
-    def scores(self, codes: np.ndarray) -> np.ndarray:
-        """Unnormalised scores of all units after each context code."""
-        return self.predicted(codes) @ self.target.T + self.bias
-
-    def predicted(self, codes: np.ndarray) -> np.ndarray:
-        return self.context[codes // UNITS] @ self.places[0] + self.context[codes % UNITS] @ self.places[1]
-
-    def log10_table(self, batch: int = 4096) -> np.ndarray:
-        """Normalised log10 probabilities: one row for each context, one column for each unit."""
-        out = np.empty((UNITS * UNITS, UNITS), np.float32)
-        for at in range(0, len(out), batch):
-            s = self.scores(np.arange(at, min(at + batch, len(out))))
-            s -= s.max(axis=1, keepdims=True)
-            out[at : at + batch] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
-        return out
 
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) over all texts, ends under the empty word; counted in each task before the shuffle."""
 
-def train(counts: np.ndarray, steps: int = STEPS, seed: int = 7) -> LogBilinear:
-    """Noise-contrastive estimation over a table of counts (contexts x units), in batches of contexts.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, ends = Words(), np.zeros(0, np.int64), 0
+        batch = lambda found, n: pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+        for rows in slices(batches, READ_ROWS):
+            _, codes = words.read(rows.column(0).to_pylist())
+            found = np.bincount(codes, minlength=len(words.known))
+            found[: len(counts)] += counts
+            counts, ends = found, ends + rows.num_rows
+            if len(counts) > KEPT_WORDS:
+                yield batch(words.known, counts)
+                words.forget()
+                counts = counts[:0]
+        if ends:
+            yield batch([*words.known, END], np.append(counts, ends))
 
-    For a context seen m times with data counts c(w) and noise q, the objective
-    is sum c(w) log s(w) + NOISE m sum q(w) log(1 - s(w)), where s(w) is the
-    logistic of the score less log(NOISE q(w)).
-    """
-    random = np.random.default_rng(seed)
-    total = max(float(counts.sum()), 1.0)
-    q = (counts.sum(axis=0, dtype=np.float64) + 0.5) / (total + 0.5 * UNITS)
-    init = lambda *shape: (0.1 * random.standard_normal(shape)).astype(np.float32)
-    model = LogBilinear(init(UNITS, DIMENSION), np.stack([np.eye(DIMENSION, dtype=np.float32)] * 2), init(UNITS, DIMENSION), np.log(q).astype(np.float32))
-    seen = np.flatnonzero(counts.sum(axis=1))
-    if not len(seen):
-        return model
-    shift, noise = np.log(NOISE * q).astype(np.float32), (NOISE * q).astype(np.float32)
-    parameters = [model.context, model.places, model.target, model.bias]
-    m, v = [np.zeros_like(x) for x in parameters], [np.zeros_like(x) for x in parameters]
-    step = 0
-    for epoch in range(steps):
-        order = random.permutation(seen)
-        for codes in np.array_split(order, max(1, len(order) // 8192)):
-            step += 1
-            data = counts[codes]
-            times = data.sum(axis=1, keepdims=True)
-            one, two = model.context[codes // UNITS], model.context[codes % UNITS]
-            guess = one @ model.places[0] + two @ model.places[1]
-            s = 1 / (1 + np.exp(-np.clip(guess @ model.target.T + model.bias - shift, -30, 30)))
-            g = (data * (1 - s) - times * noise * s) / float(times.sum())
-            back = g @ model.target
-            by_unit = np.zeros_like(model.context)
-            np.add.at(by_unit, codes // UNITS, back @ model.places[0].T)
-            np.add.at(by_unit, codes % UNITS, back @ model.places[1].T)
-            gradients = [by_unit, np.stack([one.T @ back, two.T @ back]), g.T @ guess, g.sum(axis=0)]
-            rate = RATE * (1 - 0.9 * epoch / steps)
-            for x, d, mx, vx in zip(parameters, gradients, m, v):
-                mx += 0.1 * (d - mx)
-                vx += 0.001 * (d * d - vx)
-                x += rate * (mx / (1 - 0.9**step)) / (np.sqrt(vx / (1 - 0.999**step)) + 1e-9)
-    return model
+    return docs.select(text_of().alias("text")).transform(mapped, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
 def last_characters() -> Column:
@@ -245,145 +151,301 @@ def last_characters() -> Column:
 
 @dataclass
 class Vocabulary:
-    """Units of the network: 0 is the end, then endings of rare words, then all other rare words, then words by hash."""
+    """Units in the order of their classes: 0 is the end, shared units stand among the units of their ending."""
 
-    hashes: np.ndarray  # sorted
-    endings: dict[bytes, int]
+    hashes: np.ndarray  # of words with a unit of their own, sorted
+    units: np.ndarray  # the unit of each hash
+    endings: dict[bytes, int]  # the shared unit of each listed ending
+    rest: int  # the shared unit of all other rare words
+    class_of: np.ndarray  # by unit
+    first: np.ndarray  # by class its first unit, and the number of units
 
     @property
     def size(self) -> int:
-        return SHARED + len(self.hashes)
+        return len(self.class_of)
 
-    def of(self, word: bytes) -> int:
-        h = word_hash(word)
-        k = int(self.hashes.searchsorted(h))
-        return SHARED + k if k < len(self.hashes) and self.hashes[k] == h else self.endings.get(ending(word), SHARED - 1)
+    @property
+    def shared(self) -> np.ndarray:
+        """Shared units: one for each listed ending, and the rest."""
+        return np.array([*self.endings.values(), self.rest], np.int64)
+
+    def of(self, words: list[bytes]) -> list[int]:
+        """The unit of each word."""
+        hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
+        at = np.minimum(self.hashes.searchsorted(hashes), max(len(self.hashes) - 1, 0))
+        own = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(words), bool)
+        out = np.full(len(words), self.rest, np.int64)
+        out[own] = self.units[at[own]]
+        for k in np.flatnonzero(~own).tolist():
+            out[k] = self.endings.get(ending(words[k]), self.rest)
+        return out.tolist()
+
+
+class Lookup:
+    """Index of each word: its place among the head words, or the number of those plus its unit."""
 
+    def __init__(self, head: dict[bytes, int], vocabulary: Vocabulary):
+        self.head, self.vocabulary = head, vocabulary
+        self.words, self.index = Words(), np.zeros(0, np.int32)
 
-def choose_vocabulary(counts: DataFrame, classes: Units, least: int = LEAST_COUNT) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """All words of at least `least` tokens, and the most frequent endings of the others; by unit its tokens (of one word only) and its class."""
-    own = counts.filter((F.col("n") >= least) & (F.col("word") != F.lit(END))).toArrow()
-    words = own.column("word").to_pylist()
-    hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
-    order = np.argsort(hashes)
-    rest = rare_words(counts, least).groupBy(last_characters().alias("ending")).agg(F.sum("n").alias("n"))
-    endings = {bytes(r["ending"]): 1 + k for k, r in enumerate(rest.orderBy(F.desc("n"), "ending").limit(ENDING_UNITS).collect())}
-    tokens = np.zeros(SHARED + len(words))
-    tokens[SHARED:] = own.column("n").to_numpy()[order]
-    class_of = np.full(len(tokens), UNITS - 1)
-    class_of[0] = 0
-    for e, k in endings.items():
-        class_of[k] = classes.endings.get(e, UNITS - 1)
-    class_of[SHARED:] = np.fromiter(map(classes.of, words), np.int64, len(words))[order]
-    return Vocabulary(hashes[order], endings), tokens, class_of
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many words each text has, and for all words in order their numbers in self.words and their indices."""
+        if len(self.index) > KEPT_WORDS:
+            self.words.forget()
+            self.index = self.index[:0]
+        sizes, codes = self.words.read(texts)
+        new = self.words.known[len(self.index) :]
+        found = [self.head.get(w, len(self.head) + u) for w, u in zip(new, self.vocabulary.of(new))]
+        self.index = np.concatenate((self.index, np.array(found, np.int32)))
+        return sizes, codes, self.index[codes]
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least count that at most `most` words reach, from the numbers of words by eighths of a power of two: at most 512 records."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = {r["level"]: (r["size"], r["least"]) for r in counts.filter(F.col("word") != F.lit(END)).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).collect()}
+    least, taken = 1 << 62, 0
+    for k in sorted(sizes, reverse=True):
+        taken += sizes[k][0]
+        if taken > most:
+            break
+        least = sizes[k][1]
+    return least
 
 
 def rare_words(counts: DataFrame, least: int) -> DataFrame:
     return counts.filter((F.col("n") < least) & (F.col("word") != F.lit(END)))
 
 
+def choose_vocabulary(counts: DataFrame, least: int) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """All words of at least `least` tokens and the most frequent endings of the others.
+
+    Also by unit its tokens, and for shared units the share kept for unknown words.
+    """
+    own = counts.filter((F.col("n") >= least) & (F.col("word") != F.lit(END))).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    words, n = own.column("word").to_pylist(), own.column("n").to_numpy()
+    rest = rare_words(counts, least).groupBy(last_characters().alias("ending")).agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once"))
+    rest = stored(rest, "lm-endings")
+    listed = [bytes(r["ending"]) for r in rest.orderBy(F.desc("n"), "ending").limit(ENDINGS).collect()]
+    sums = {r["ending"] and bytes(r["ending"]): (r["n"], r["once"]) for r in rest.groupBy(F.when(F.col("ending").isin(listed), F.col("ending")).alias("ending")).agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()}
+    end = counts.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    # (class key, tokens, word or ending): frequent words alone, the others by ending from the most frequent to the shared unit
+    groups: dict[bytes | None, list] = {e: [] for e in [*listed, None]}
+    tops = []
+    for k, w in enumerate(words):
+        if k < CLASS_WORDS:
+            tops.append([(n[k], w)])
+        else:
+            groups.get(ending(w), groups[None]).append((n[k], w))
+    classes = [[(end, END)], *tops]
+    shared = {}
+    for e, members in groups.items():
+        members = [*members, (sums.get(e, (0, 0))[0], None)]
+        pieces = [members[at : at + MEMBERS] for at in range(0, len(members), MEMBERS)]
+        shared[e] = sum(map(len, classes)) + len(members) - 1
+        classes += pieces
+    flat = [x for c in classes for x in c]
+    sizes = np.array([len(c) for c in classes])
+    hashed = [(word_hash(w), k) for k, (_, w) in enumerate(flat) if w]
+    hashes, units = np.array([h for h, _ in hashed], np.int64), np.array([k for _, k in hashed], np.int64)
+    order = np.argsort(hashes)
+    vocabulary = Vocabulary(hashes[order], units[order], {e: shared[e] for e in listed}, shared[None], np.repeat(np.arange(len(classes)), sizes), np.concatenate(([0], np.cumsum(sizes))))
+    tokens, unknown = np.array([float(x[0]) for x in flat]), np.zeros(len(flat))
+    for e, k in shared.items():
+        seen, once = sums.get(e, (0, 0))
+        unknown[k] = min((once + 0.5) / (seen + 1), 0.9) if seen else 1.0
+    return vocabulary, tokens, unknown
+
+
 @dataclass
 class Network:
-    """The log-bilinear network over a vocabulary; used: sums of squared gradients (AdaGrad) of context, target and bias."""
+    """The log-bilinear network; used: sums of squared gradients (AdaGrad) of context, target and bias, or of class vectors and biases."""
 
     context: np.ndarray  # units x DIMENSION
     target: np.ndarray  # units x DIMENSION
     bias: np.ndarray
     used: np.ndarray  # units x 3
     places: np.ndarray  # 2 x DIMENSION x DIMENSION
-
-    def scores(self, units: np.ndarray, moved: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Natural logarithm of the probability of each unit of a text and its end; moved: the contexts through their places."""
-        padded = np.concatenate(([0, 0], units, [0]))
-        guess = moved[0][padded[:-2]] + moved[1][padded[1:-1]]
-        return np.einsum("ij,ij->i", guess, self.target[padded[2:]]) + self.bias[padded[2:]]
+    classes: np.ndarray  # classes x (DIMENSION + 1): vectors and biases
+    class_used: np.ndarray  # classes x 2
+
+    @classmethod
+    def start(cls, vocabulary: Vocabulary, noise: np.ndarray, seed: int = 11) -> Network:
+        """Small random vectors; biases by frequency, of classes and of units within their class."""
+        random = np.random.default_rng(seed)
+        small = lambda n: (0.1 * random.standard_normal((n, DIMENSION))).astype(np.float32)
+        of_class = np.add.reduceat(noise, vocabulary.first[:-1])
+        classes = np.concatenate((small(len(of_class)), np.log(of_class / noise.sum())[:, None]), axis=1).astype(np.float32)
+        bias = np.log(noise / of_class[vocabulary.class_of]).astype(np.float32)
+        places = np.stack([np.eye(DIMENSION, dtype=np.float32)] * 2)
+        return cls(small(vocabulary.size), small(vocabulary.size), bias, np.full((vocabulary.size, 3), 0.01, np.float32), places, classes, np.full((len(of_class), 2), 0.01, np.float32))
 
     def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        """Context vectors through the matrix of each place."""
         return self.context @ self.places[0], self.context @ self.places[1]
 
-    def log_sums(self, pairs: np.ndarray, batch: int = 16) -> np.ndarray:
-        """Logarithm of the sum of all units' probabilities after each pair of units."""
-        out = []
-        for at in range(0, len(pairs), batch):
-            one, two = pairs[at : at + batch].T
-            s = (self.context[one] @ self.places[0] + self.context[two] @ self.places[1]) @ self.target.T + self.bias
-            top = s.max(axis=1)
-            out.append(top + np.log(np.exp(s - top[:, None]).sum(axis=1)))
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-def start(classes: LogBilinear, class_of: np.ndarray, tokens: np.ndarray, seed: int = 11) -> Network:
-    """Every unit with its class's vectors, slightly moved; its bias by its own frequency."""
-    random = np.random.default_rng(seed)
-    near = lambda x: (x[class_of] + 0.02 * random.standard_normal((len(class_of), DIMENSION))).astype(np.float32)
-    size = np.maximum(tokens, 0.5)
-    of_class = np.bincount(class_of, size, UNITS)[class_of]
-    bias = (classes.bias[class_of] + np.log(size / of_class)).astype(np.float32)
-    return Network(near(classes.context), near(classes.target), bias, np.full((len(class_of), 3), 0.01, np.float32), classes.places.astype(np.float32))
+    def log_probabilities(self, vocabulary: Vocabulary, moved: tuple[np.ndarray, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each target after its two contexts, divided by whole sums."""
+        out = np.empty(len(target), np.float32)
+        own = vocabulary.class_of[target].astype(np.int16 if len(self.classes) < 1 << 15 else np.int32)
+        order = np.argsort(own, kind="stable")
+        # by class, so that the members' vectors are at hand; the last column meets the biases
+        guess = np.ones((len(target), DIMENSION + 1), np.float32)
+        guess[:, :-1] = moved[0][one[order]]
+        guess[:, :-1] += moved[1][two[order]]
+        own, target = own[order], target[order]
+        found = _log_shares(guess, np.ascontiguousarray(self.classes.T), own)
+        ends = np.flatnonzero(np.diff(own, append=-1)) + 1
+        for low, high in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
+            first, last = vocabulary.first[own[low]], vocabulary.first[own[low] + 1]
+            if last > first + 1:
+                vectors = np.concatenate((self.target[first:last].T, self.bias[None, first:last]))
+                found[low:high] += _log_shares(guess[low:high], vectors, target[low:high] - first)
+        out[order] = found
+        return out
 
 
-def _climb(x: np.ndarray, used: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
-    """An AdaGrad step on rows `at` (which may repeat) of x along g."""
+def _log_shares(guess: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The logarithm of the chosen columns' shares in the sums of exponentials of guess @ vectors, row by row."""
+    out = np.empty(len(guess), np.float32)
+    reach = np.sqrt((vectors[:-1] ** 2).sum(axis=0).max()) * np.sqrt((guess[:, :-1] ** 2).sum(axis=1).max(initial=0)) + np.abs(vectors[-1]).max()
+    for at in range(0, len(guess), SCORED):
+        part = slice(at, at + SCORED)
+        scores = guess[part] @ vectors
+        picked = scores[np.arange(len(scores)), chosen[part]]
+        if reach > SAFE:
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            picked -= top
+        np.exp(scores, out=scores)
+        out[part] = picked - np.log(scores.sum(axis=1))
+    return out
+
+
+def _sums_by_row(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of `at`, which may repeat, and the sums of g by row."""
     order = np.argsort(at, kind="stable")
-    sorted_ = at[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-    rows, g = sorted_[first], np.add.reduceat(g[order], first, axis=0)
-    used[rows] += (g * g).mean(axis=1) if g.ndim == 2 else g * g
-    scale = SHARD_RATE / np.sqrt(used[rows])
-    x[rows] += g * (scale[:, None] if g.ndim == 2 else scale)
-
-
-def train_shard(net: Network, noise: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, Network]:
-    """One pass over a shard's tokens in batches, each with DRAWS units of noise: units met, their tokens, and what changed."""
+    found = at[order]
+    first = np.flatnonzero(found[1:] != found[:-1])
+    first = np.concatenate((np.zeros(1, first.dtype), first + 1))
+    return found[first], np.add.reduceat(g[order], first, axis=0)
+
+
+def _climb(x: np.ndarray, used: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+    """An AdaGrad step on distinct rows of x, vectors with a bias at the end, along g; used: squares of both."""
+    squares = used[rows]
+    squares[:, 0] += np.einsum("ij,ij->i", g[:, :DIMENSION], g[:, :DIMENSION]) / DIMENSION
+    if g.shape[1] > DIMENSION:
+        squares[:, 1] += g[:, DIMENSION] ** 2
+    used[rows] = squares
+    scale = RATE / np.sqrt(squares)
+    g[:, :DIMENSION] *= scale[:, :1]
+    g[:, DIMENSION:] *= scale[:, 1:]
+    x[rows] += g
+
+
+def _sigma(s: np.ndarray) -> np.ndarray:
+    s = np.tanh(s * np.float32(0.5))
+    s += 1
+    s *= np.float32(0.5)
+    return s
+
+
+def train_shard(net: Network, vocabulary: Vocabulary, noise: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray, seed: int, passes: int = 1) -> tuple[np.ndarray, np.ndarray, Network]:
+    """Passes over a shard's tokens in batches: units met, their tokens, and what changed.
+
+    A token's class is told from DRAWS noise classes of its batch, each weighed
+    NOISE / DRAWS, and its unit from UNIT_NOISE units, those of as many tokens
+    of the class drawn from the shard.
+    """
     random = np.random.default_rng(seed)
-    batches = -(-len(target) // BATCH)
-    total = np.cumsum(noise)
-    drawn = np.minimum(np.searchsorted(total, random.random((batches, DRAWS)) * total[-1]), len(noise) - 1)
+    tokens = np.bincount(target, minlength=len(noise))
     met = np.zeros(len(noise), bool)
-    for x in (one, two, target, drawn):
+    for x in (one, two, target):
         met[x] = True
     units = np.flatnonzero(met)
-    place = np.zeros(len(noise), np.int64)
+    kind = np.uint16 if len(units) <= 1 << 16 else np.int32  # short numbers are sorted by radix
+    place = np.zeros(len(noise), kind)
     place[units] = np.arange(len(units))
-    c, t, b, used = (x[units].astype(np.float32) for x in (net.context, net.target, net.bias, net.used))
-    used = [np.ascontiguousarray(used[:, k]) for k in range(3)]
+    own = vocabulary.class_of[target].astype(np.uint16 if len(net.classes) <= 1 << 16 else np.int32)
+    one, two, word = place[one], place[two], place[target]
+    # units as often as they have tokens, class by class: units stand in the order of their classes
+    pool = np.repeat(np.arange(len(units)), tokens[units]).astype(kind)
+    sizes = np.bincount(vocabulary.class_of[units], tokens[units], len(net.classes)).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    class_noise = np.add.reduceat(noise, vocabulary.first[:-1])
+    several = np.diff(vocabulary.first) > 1
+
+    c, t = net.context[units], np.concatenate((net.target[units], net.bias[units, None]), axis=1)
+    c_used, t_used = net.used[units][:, :1].copy(), net.used[units][:, 1:].copy()
+    v, v_used = net.classes.copy(), net.class_used.copy()
     places, places_used = net.places.copy(), np.full_like(net.places, 1.0)
-    shift = np.log(NOISE * noise[units] / total[-1]).astype(np.float32)
-    weight = np.float32(NOISE / DRAWS)
-    sigma = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-    order = random.permutation(len(target))
-    for k in range(batches):
-        mine = order[k * BATCH : (k + 1) * BATCH]
-        i, j, w, q = place[one[mine]], place[two[mine]], place[target[mine]], place[drawn[k]]
-        ci, cj, tw, tq = c[i], c[j], t[w], t[q]
-        guess = ci @ places[0] + cj @ places[1]
-        up = 1 - sigma(np.einsum("ij,ij->i", guess, tw) + b[w] - shift[w])
-        down = -weight * sigma(guess @ tq.T + b[q] - shift[q])
-        back = up[:, None] * tw + down @ tq
+    class_shift = np.log(NOISE * class_noise / class_noise.sum()).astype(np.float32)
+    unit_shift = np.log(UNIT_NOISE * noise / class_noise[vocabulary.class_of]).astype(np.float32)[units]
+    weight, class_total = np.float32(NOISE / DRAWS), np.cumsum(class_noise)
+    order = np.concatenate([random.permutation(len(target)) for _ in range(passes)])
+    for at in range(0, len(order), BATCH):
+        mine = order[at : at + BATCH]
+        i, j, k = one[mine], two[mine], own[mine]
+        ci, cj = c[i], c[j]
+        guess = np.ones((len(mine), DIMENSION + 1), np.float32)  # the last column meets the biases
+        np.matmul(ci, places[0], out=guess[:, :-1])
+        guess[:, :-1] += cj @ places[1]
+        q = np.minimum(np.searchsorted(class_total, random.random(DRAWS) * class_total[-1]), len(v) - 1).astype(k.dtype)
+        vk, vq = v[k], v[q]
+        up = 1 - _sigma(np.einsum("ij,ij->i", guess, vk) - class_shift[k])
+        down = -weight * _sigma(guess @ vq.T - class_shift[q])
+        back = up[:, None] * vk
+        back += down @ vq
+        class_step = _sums_by_row(np.concatenate((k, q)), np.concatenate((up[:, None] * guess, down.T @ guess)))
+
+        inner = np.flatnonzero(several[k])
+        near, ki, unit_step = guess[inner], k[inner], []
+        drawn = [pool[starts[ki] + (random.random(len(inner)) * sizes[ki]).astype(np.int64)] for _ in range(UNIT_NOISE)]
+        rows, steps, pull = [word[mine[inner]], *drawn], [], np.zeros_like(near)
+        for right, w in enumerate(rows):
+            tw = t[w]
+            s = np.float32(not right) - _sigma(np.einsum("ij,ij->i", tw, near) - unit_shift[w])
+            s = s[:, None]
+            pull += s * tw
+            steps.append(s * near)
+        if len(inner):
+            back[inner] += pull
+            unit_step = [_sums_by_row(np.concatenate(rows), np.concatenate(steps))]
+
+        back = back[:, :-1]
         moved = np.stack([ci.T @ back, cj.T @ back])
-        _climb(c, used[0], np.concatenate((i, j)), np.concatenate((back @ places[0].T, back @ places[1].T)))
-        both = np.concatenate((w, q))
-        _climb(t, used[1], both, np.concatenate((up[:, None] * guess, down.T @ guess)))
-        _climb(b, used[2], both, np.concatenate((up, down.sum(axis=0))))
+        _climb(c, c_used, *_sums_by_row(np.concatenate((i, j)), np.concatenate((back @ places[0].T, back @ places[1].T))))
+        _climb(v, v_used, *class_step)
+        for step in unit_step:
+            _climb(t, t_used, *step)
         places_used += moved * moved
-        places += 0.5 * SHARD_RATE * moved / np.sqrt(places_used)
-    changed = Network(c - net.context[units], t - net.target[units], b - net.bias[units], np.stack(used, axis=1) - net.used[units], places - net.places)
-    return units, np.bincount(place[target], minlength=len(units)), changed
+        places += 0.5 * RATE * moved / np.sqrt(places_used)
+    changed = Network(
+        c - net.context[units],
+        t[:, :-1] - net.target[units],
+        t[:, -1] - net.bias[units],
+        np.concatenate((c_used, t_used), axis=1) - net.used[units],
+        places - net.places,
+        v - net.classes,
+        v_used - net.class_used,
+    )
+    return units, tokens[units], changed
 
 
 CHANGES = "block int, units binary, weights binary, vectors binary, others binary"
 
 
 def _average(found: pa.Table) -> pa.Table:
-    """Changes of one block of units, averaged with their tokens (and one) as weights; those of the places and some contexts in block BLOCKS."""
+    """Changes of one block of units, averaged with their tokens (and one) as weights; those of places and classes are block BLOCKS."""
     block = found.column("block")[0].as_py()
     rows = list(zip(*(found.column(k).to_pylist() for k in range(1, 5))))
     weights = [np.frombuffer(r[1], np.float32) for r in rows]
     if block == BLOCKS:
         total = sum(w[0] for w in weights)
         vectors = sum(w[0] / total * np.frombuffer(r[2], np.float32) for w, r in zip(weights, rows)).astype(np.float32)
-        pairs = np.concatenate([np.frombuffer(r[0], np.int32).reshape(-1, 2) for r in rows])
-        units, others = pairs[:: -(-len(pairs) // 512)].ravel(), np.zeros(0, np.float32)
+        units, others = np.zeros(0, np.int32), sum(np.frombuffer(r[3], np.float32) for r in rows)
     else:
         units, place = np.unique(np.concatenate([np.frombuffer(r[0], np.int32) for r in rows]), return_inverse=True)
         sums, total = np.zeros((len(units), 2 * DIMENSION + 1), np.float32), np.zeros(len(units), np.float32)
@@ -400,8 +462,8 @@ def _average(found: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([block], pa.int32()), "units": [units.astype(np.int32).tobytes()], "weights": [b""], "vectors": [vectors.tobytes()], "others": [others.astype(np.float32).tobytes()]})
 
 
-def train_round(docs: DataFrame, vocabulary: Vocabulary, net: Network, noise: np.ndarray, seed: int) -> np.ndarray:
-    """Trains net on all texts of docs; returns pairs of units that were contexts."""
+def train_round(docs: DataFrame, vocabulary: Vocabulary, net: Network, noise: np.ndarray, seed: int, passes: int) -> None:
+    """Trains net on all texts of docs."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net, noise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,24 +472,22 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, net: Network, noise: np
         texts, size = [], 0
 
         def shard() -> pa.RecordBatch:
-            one, two, target = (np.concatenate([x[k : len(x) - 2 + k] for x in texts]) for k in range(3))
-            units, n, changed = train_shard(net, noise, one, two, target, seed)
+            one, two, target = (np.concatenate(x) for x in zip(*texts))
+            texts.clear()
+            units, n, changed = train_shard(net, vocabulary, noise, one, two, target, seed, passes)
             others = np.concatenate((changed.bias[:, None], changed.used), axis=1).astype(np.float32)
             vectors = np.concatenate((changed.context, changed.target), axis=1).astype(np.float16)
             rows = [(k, units[m].astype(np.int32).tobytes(), (n[m] + 1).astype(np.float32).tobytes(), vectors[m].tobytes(), others[m].tobytes()) for k in range(BLOCKS) if (m := units % BLOCKS == k).any()]
-            some = np.linspace(0, len(target) - 1, CONTEXTS).astype(int)
-            pairs = np.stack((one[some], two[some]), axis=1).astype(np.int32)
-            rows.append((BLOCKS, pairs.tobytes(), np.array([len(target)], np.float32).tobytes(), changed.places.astype(np.float32).tobytes(), b""))
+            dense = np.concatenate((changed.places.ravel(), changed.classes.ravel())).astype(np.float32)
+            rows.append((BLOCKS, b"", np.array([len(target)], np.float32).tobytes(), dense.tobytes(), changed.class_used.astype(np.float32).tobytes()))
             kinds = (pa.int32(), *[pa.binary()] * 4)
-            texts.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "units", "weights", "vectors", "others"])
 
-        for rows in slices(batches):
-            for text in rows.column(0).to_pylist():
-                words = words_of(text)
-                texts.append(np.fromiter(map(unit.__getitem__, words), np.int32, len(words)))
-                texts[-1] = np.concatenate(([0, 0], texts[-1], [0])).astype(np.int32)
-                size += len(words) + 1
+        for rows in slices(batches, READ_ROWS):
+            sizes, _, units = unit.read(rows.column(0).to_pylist())
+            units, at = placed(sizes, units, 0)
+            texts.append((units[at - 2], units[at - 1], units[at]))
+            size += len(at)
             if size > SHARD_TOKENS:
                 yield shard()
                 size = 0
@@ -435,12 +495,13 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, net: Network, noise: np
             yield shard()
 
     changes = docs.select(text_of().alias("text")).transform(mapped, run, CHANGES)
-    pairs = np.zeros((0, 2), np.int64)
     for r in changes.groupBy("block").applyInArrow(_average, CHANGES).toArrow().to_pylist():
         units = np.frombuffer(r["units"], np.int32)
         if r["block"] == BLOCKS:
-            net.places += np.frombuffer(r["vectors"], np.float32).reshape(net.places.shape)
-            pairs = units.reshape(-1, 2).astype(np.int64)
+            dense = np.frombuffer(r["vectors"], np.float32)
+            net.places += dense[: net.places.size].reshape(net.places.shape)
+            net.classes += dense[net.places.size :].reshape(net.classes.shape)
+            net.class_used += np.frombuffer(r["others"], np.float32).reshape(net.class_used.shape)
             continue
         vectors = np.frombuffer(r["vectors"], np.float16).reshape(len(units), -1)
         others = np.frombuffer(r["others"], np.float32).reshape(len(units), -1)
@@ -449,18 +510,15 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, net: Network, noise: np
         net.bias[units] += others[:, 0]
         net.used[units] += others[:, 1:]
     shared.unpersist()
-    return pairs
 
 
-def fit_network(learnt: DataFrame, vocabulary: Vocabulary, classes: LogBilinear, class_of: np.ndarray, tokens: np.ndarray, rounds: int = ROUNDS) -> Network:
+def fit_network(learnt: DataFrame, vocabulary: Vocabulary, tokens: np.ndarray, rounds: int = ROUNDS) -> Network:
     """Vectors of all units from all texts, each text in one round."""
-    net, noise = start(classes, class_of, tokens), tokens + 0.5
-    part, pairs = F.pmod(F.xxhash64("text"), F.lit(rounds)), np.zeros((0, 2), np.int64)
+    noise = tokens + 0.5
+    passes = int(np.clip(SMALL_TOKENS / max(tokens.sum(), 1), 1, MOST_PASSES))
+    net, part = Network.start(vocabulary, noise), F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
-        found = train_round(learnt.filter(part == k), vocabulary, net, noise, k)
-        pairs = found if len(found) else pairs
-    if len(pairs):
-        net.bias -= np.float32(net.log_sums(pairs).mean())
+        train_round(learnt.filter(part.eqNullSafe(F.lit(k))), vocabulary, net, noise, k, passes)
     return net
 
 
@@ -469,42 +527,15 @@ class Tables:
     """What scoring needs of the corpus: words up to HEAD, and all units."""
 
     head: dict[bytes, int]
-    units: Vocabulary
+    vocabulary: Vocabulary
     unit_of: np.ndarray  # by index of Lookup
     base_of: np.ndarray  # log10 base score; 0 where the word is joined with its count later
     share_of: np.ndarray  # log10 share of the word in its unit; 0 where it is joined later
     known_of: np.ndarray
+    shared_of: np.ndarray  # by unit: 1 + its place among the shared units, 0 for a unit of one word
     network: Network
 
 
-def head_words(counts: DataFrame) -> DataFrame:
-    """The most frequent words, at most HEAD of them: all above a count, so that none are sorted or gathered to find them.
-
-    Counts are taken in eighths of a power of two, of which there are at most 512.
-    """
-    level = F.floor(F.log2("n") * 8).cast("int")
-    sizes = {r["level"]: r["size"] for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()}
-    least, taken = max(sizes, default=0) + 1, 0
-    for k in sorted(sizes, reverse=True):
-        if taken + sizes[k] > HEAD - 1:
-            break
-        least, taken = k, taken + sizes[k]
-    return counts.filter((level >= least) & (F.col("word") != F.lit(END))).union(counts.filter(F.col("word") == F.lit(END)))
-
-
-def unit_shares(counts: DataFrame, endings: dict[bytes, int], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """By shared unit: tokens, and the share kept for unknown words."""
-    rest = rare_words(counts, least).groupBy(last_characters().alias("ending")).agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once"))
-    # endings are at most as many as pairs of characters; only the listed ones and one sum of the others go to the driver
-    named = F.when(F.col("ending").isin(list(endings)), F.col("ending"))
-    tokens, once = np.zeros(SHARED), np.zeros(SHARED)
-    for r in rest.groupBy(named.alias("ending")).agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect():
-        k = SHARED - 1 if r["ending"] is None else endings[bytes(r["ending"])]
-        tokens[k], once[k] = r["n"], r["once"]
-    unknown = (once + 0.5) / (tokens + 1)
-    return tokens, np.where(tokens > 0, np.minimum(unknown, 0.9), 1.0)
-
-
 def _log10_base(n, total: int, distinct: int):
     return np.log10((np.asarray(n, float) + 1) / (total + distinct + 1))
 
@@ -521,39 +552,48 @@ def score_parts(docs: DataFrame, tables: Tables) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        lookup, moved, limit = Lookup(t.head, t.units), t.network.moved(), len(t.head)
-        for rows in slices(batches):
-            out = []
-            for row, doc, text in zip(*(rows.column(k).to_pylist() for k in range(3))):
-                words = words_of(text)
-                index = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
-                unit = t.unit_of[index]
-                full = np.append(index, t.head[END]) if END in t.head else index
-                out.append((row, doc, b" %d" % row, 0, 1, len(words) + 1, int(t.known_of[full].sum()), float(t.base_of[full].sum()), float(t.network.scores(unit, moved).sum(dtype=float) / np.log(10) + t.share_of[full].sum())))
-                rare = np.flatnonzero(index >= limit)
-                if len(rare):
-                    inside = np.where(unit[rare] < SHARED, unit[rare], 0)  # 0: a unit of one word
-                    for (word, k), n in Counter(zip(map(words.__getitem__, rare.tolist()), inside.tolist())).items():
-                        out.append((row, None, word, k, n, 0, 0, 0.0, 0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+        lookup, moved, limit = Lookup(t.head, t.vocabulary), t.network.moved(), len(t.head)
+        end = t.head[END]
+        for rows in slices(batches, READ_ROWS):
+            found = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            sizes, codes, index = lookup.read(rows.column(2).to_pylist())
+            index, at = placed(sizes, index, end)
+            unit, index = t.unit_of[index], index[at]
+            logs = t.network.log_probabilities(t.vocabulary, moved, unit[at - 2], unit[at - 1], unit[at]) / np.log(10) + t.share_of[index]
+            starts = np.cumsum(sizes + 1) - (sizes + 1)
+            score, base, known = (np.add.reduceat(x, starts) for x in (logs, t.base_of[index], t.known_of[index]))
+            one = np.ones(len(starts), np.int32)
+            whole = (*found, [b" %d" % row for row in found[0]], 0 * one, one, sizes + 1, known, base, score)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(whole, kinds)], names)
+            # the other words, once for each text they are in
+            rare = np.flatnonzero(index >= limit)
+            owner = np.searchsorted(starts, rare, side="right") - 1
+            met = lookup.words.known
+            pairs, first, times = np.unique(owner * (len(met) + 1) + codes[rare - owner], return_index=True, return_counts=True)
+            distinct, place = np.unique(pairs % (len(met) + 1), return_inverse=True)
+            words = pa.array([met[k] for k in distinct.tolist()], pa.binary()).take(pa.array(place))
+            none = np.zeros(len(pairs), np.int64)
+            parts = (np.array(found[0], np.int64)[pairs // (len(met) + 1)], pa.nulls(len(pairs), pa.int64()), words, t.shared_of[unit[at[rare[first]]]], times, none, none, 0.0 * none, 0.0 * none)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x).cast(k) for x, k in zip(parts, kinds)], names)
 
     return mapped(docs, run, "row long, doc_id long, word binary, unit int, times int, n_tokens long, n_known long, base double, score double")
 
 
-def score_documents(docs: DataFrame, train_on: Column | None = None, least: int = LEAST_COUNT) -> DataFrame:
-    """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
+def score_documents(docs: DataFrame, train_on: Column | None = None, least: int | None = None) -> DataFrame:
+    """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score; least: tokens of a word with a unit of its own."""
     learnt = docs.filter(~held_out()) if train_on is None else docs.filter(train_on)
     counts = stored(count_words(learnt), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    classes = choose_units(counts)
-    units, unit_tokens, class_of = choose_vocabulary(counts, classes, least)
-    tokens, unknown = unit_shares(counts, units.endings, least)
-    unit_tokens[:SHARED] = tokens
-    unit_tokens[0] = total - unit_tokens.sum()
-    network = fit_network(learnt, units, train(count_trigrams(learnt, classes)), class_of, unit_tokens)
-
-    ranked = head_words(counts).toArrow()
+    if least is None:
+        least = least_count(counts, min(int(UNITS_BY_ROOT * total**0.5), MOST_UNITS))
+    vocabulary, unit_tokens, unknown = choose_vocabulary(counts, least)
+    network = fit_network(learnt, vocabulary, unit_tokens)
+
+    shared = vocabulary.shared
+    shared_of = np.zeros(vocabulary.size, np.int64)
+    shared_of[shared] = 1 + np.arange(len(shared))
+    head_least = least_count(counts, HEAD)
+    ranked = counts.filter((F.col("n") >= head_least) | (F.col("word") == F.lit(END))).toArrow()
     head = {END: 0}
     sizes = [0]
     for word, n in zip(ranked.column("word").to_pylist(), ranked.column("n").to_pylist()):
@@ -563,21 +603,19 @@ def score_documents(docs: DataFrame, train_on: Column | None = None, least: int
             head[word] = len(head)
             sizes.append(n)
     sizes = np.array(sizes, float)
-    unit_of = np.array([0] + [units.of(w) for w in head if w != END] + list(range(units.size)), np.int64)
+    unit_of = np.array([0, *vocabulary.of([w for w in head if w != END]), *range(vocabulary.size)], np.int64)
     k = unit_of[: len(head)]
-    inside = (k > 0) & (k < SHARED)
-    k = np.where(inside, k, 0)
-    share = np.log10(np.where(inside, (1 - unknown[k]) * np.maximum(sizes, 1) / np.maximum(tokens[k], 1), 1.0))
-    rest = np.zeros(units.size)
-    tables = Tables(head, units, unit_of, np.concatenate((_log10_base(sizes, total, distinct), rest)), np.concatenate((share, rest)), np.concatenate(((sizes > 0).astype(np.int64), rest.astype(np.int64))), network)
+    share = np.log10(np.where(shared_of[k] > 0, (1 - unknown[k]) * np.maximum(sizes, 1) / np.maximum(unit_tokens[k], 1), 1.0))
+    rest = np.zeros(vocabulary.size)
+    tables = Tables(head, vocabulary, unit_of, np.concatenate((_log10_base(sizes, total, distinct), rest)), np.concatenate((share, rest)), np.concatenate(((sizes > 0).astype(np.int64), rest.astype(np.int64))), shared_of, network)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = score_parts(numbered, tables)
-    by_unit = lambda x: F.element_at(F.array(*[F.lit(float(y)) for y in x]), F.col("unit") + 1)
+    by_unit = lambda x: F.element_at(F.array(F.lit(1.0), *[F.lit(float(y)) for y in x[shared]]), F.col("unit") + 1)
     known = F.col("n").isNotNull()
     real = ~F.col("word").startswith(F.lit(b" "))
     base = F.when(real, F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(float(total + distinct + 1)))).otherwise(F.col("base"))
-    inner = F.when(F.col("unit") == 0, 0.0).when(known, F.log10(by_unit(1 - unknown) * F.col("n") / by_unit(np.maximum(tokens, 1)))).otherwise(by_unit(np.log10(unknown)))
+    inner = F.when(F.col("unit") == 0, 0.0).when(known, F.log10(by_unit(1 - unknown) * F.col("n") / by_unit(np.maximum(unit_tokens, 1)))).otherwise(F.log10(by_unit(unknown)))
     scored = rows.join(counts, "word", "left").select(
         "row",
         "doc_id",
