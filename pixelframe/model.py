@@ -72,18 +72,22 @@ def gray8_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb8_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three gray images in a row as the channels of one; incomplete triples are left out."""
+    """Three gray images in a row as the channels of one; channels that the last one lacks are black."""
     gray = gray8_u8(spark, sf_dir)
-    planes = gray.groupBy(F.expr("image_id div 3").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct(F.expr("image_id % 3").alias("ch"), "data"))).alias("planes"), F.min("label").alias("label")).filter(F.size("planes") == 3)
-    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.transform("planes", lambda p: F.get(p["data"], i))))
-    return image_rows(planes, SIDE, SIDE, 3, "u8", data, F.col("image_id"), F.col("label"))
+    black = F.array_repeat(F.lit(0.0), SIDE * SIDE)
+    plane = lambda ch: F.coalesce(F.max(F.when(F.col("image_id") % 3 == ch, F.col("data"))), black).alias(f"p{ch}")
+    planes = gray.groupBy(F.expr("image_id div 3").alias("_id")).agg(*[plane(ch) for ch in range(3)], F.min("label").alias("label"))
+    data = F.flatten(F.transform(F.arrays_zip("p0", "p1", "p2"), lambda x: F.array(x["p0"], x["p1"], x["p2"])))
+    return image_rows(planes, SIDE, SIDE, 3, "u8", data, F.col("_id"), F.col("label"))
 
 
 def gray64_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 embeddings as the rows of one image; incomplete mosaics are left out."""
-    rows = table(spark, sf_dir, "embeddings").groupBy(F.expr(f"vec_id div {MOSAIC}").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows")).filter(F.size("rows") == MOSAIC)
-    data = F.flatten(F.transform("rows", lambda x: x["embedding"])).cast("array<double>")
-    return as_u8(image_rows(rows, MOSAIC, MOSAIC, 1, "f64", data, F.col("image_id"), F.lit(None)).withColumn("data", _unit(F.col("data"))))
+    """64 embeddings as the rows of one image; rows that the last one lacks are 0 before it is scaled."""
+    given = F.map_from_entries(F.collect_list(F.struct((F.col("vec_id") % MOSAIC).alias("r"), "embedding")))
+    rows = table(spark, sf_dir, "embeddings").groupBy(F.expr(f"vec_id div {MOSAIC}").alias("_id")).agg(given.alias("rows"))
+    blank = F.array_repeat(F.lit(0.0), MOSAIC)
+    data = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(MOSAIC - 1).cast("long")), lambda r: F.coalesce(F.element_at("rows", r).cast("array<double>"), blank)))
+    return as_u8(image_rows(rows, MOSAIC, MOSAIC, 1, "f64", data, F.col("_id"), F.lit(None)).withColumn("data", _unit(F.col("data"))))
 
 
 def to_pixels(images: DataFrame, column: str = "data", value: str = "v") -> DataFrame:

@@ -38,13 +38,16 @@ def summary(pairs: DataFrame, classes: int) -> DataFrame:
     report = class_report(pairs, classes)
     weigh = lambda c: _ratio(F.sum(F.col(c) * F.col("support")), F.sum("support"))
     means = [f(c).alias(f"{kind}_{c}") for kind, f in (("macro", F.avg), ("weighted", weigh)) for c in ("precision", "recall", "f1")]
-    return report.agg(*means).join(accuracy(pairs))
+    return accuracy(pairs).join(report.agg(*means))
 
 
 def report_json(pairs: DataFrame, classes: int, model: str) -> DataFrame:
-    """One row with the whole report as JSON."""
-    overall = summary(pairs, classes).select(F.struct("*").alias("overall_metrics"))
-    by_class = class_report(pairs, classes).agg(F.array_sort(F.collect_list(F.struct("cls", "support", "precision", "recall", "f1"))).alias("class_metrics"))
+    """One row with the whole report as JSON, shares to six digits."""
+    rounded = lambda rows, *plain: [*plain, *[F.round(c, 6).alias(c) for c in rows.columns if c not in plain]]
+    overall = summary(pairs, classes)
+    overall = overall.select(F.struct(*rounded(overall)).alias("overall_metrics"))
+    by_class = class_report(pairs, classes)
+    by_class = by_class.select(*rounded(by_class, "cls", "support")).agg(F.array_sort(F.collect_list(F.struct("cls", "support", "precision", "recall", "f1"))).alias("class_metrics"))
     cells = confusion_matrix(pairs, classes).groupBy("y_true").agg(F.transform(F.array_sort(F.collect_list(F.struct("y_pred", "n"))), lambda x: x["n"]).alias("cells"))
     matrix = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("y_true", "cells"))), lambda x: x["cells"]).alias("confusion_matrix"))
     return overall.join(by_class).join(matrix).select(F.to_json(F.struct(F.lit(model).alias("model"), "overall_metrics", "class_metrics", "confusion_matrix")).alias("report"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +24,40 @@ from ..ship import ship
 Weights = dict[str, np.ndarray]
 
 
-class Optimizer:
-    def update(self, name: str, value: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-        raise NotImplementedError
+class Rule(NamedTuple):
+    """How a step moves the weights, all of them one vector: step(state, weights, gradient) gives the next state and weights."""
 
+    rate: float
+    step: Callable
 
-class SGD(Optimizer):
-    def __init__(self, rate: float = 0.01):
-        self.rate = positive(rate, "rate")
 
-    def update(self, name: str, value: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-        return value - self.rate * gradient
+def descent(rate: float = 0.01) -> Rule:
+    positive(rate, "rate")
+    return Rule(rate, lambda state, w, g: (state, w - rate * g))
 
 
-class Adam(Optimizer):
-    """Bias-corrected moments, counted for each parameter on its own."""
+def adam(rate: float = 1e-3, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8) -> Rule:
+    """Bias-corrected moments; the state is the number of steps and both moments."""
+    positive(rate, "rate")
 
-    def __init__(self, rate: float = 1e-3, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8):
-        self.rate, self.beta1, self.beta2, self.eps = positive(rate, "rate"), beta1, beta2, eps
-        self.state: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}
+    def step(state, w: np.ndarray, g: np.ndarray):
+        t, first, second = state or (0, 0.0, 0.0)
+        t, first, second = t + 1, beta1 * first + (1 - beta1) * g, beta2 * second + (1 - beta2) * g * g
+        size = np.sqrt(second / (1 - beta2**t)) + eps
+        return (t, first, second), w - rate / (1 - beta1**t) * first / size
 
-    def update(self, name: str, value: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-        m, v, t = self.state.get(name, (np.zeros_like(value), np.zeros_like(value), 0))
-        m, v, t = self.beta1 * m + (1 - self.beta1) * gradient, self.beta2 * v + (1 - self.beta2) * gradient**2, t + 1
-        self.state[name] = m, v, t
-        return value - self.rate * (m / (1 - self.beta1**t)) / (np.sqrt(v / (1 - self.beta2**t)) + self.eps)
+    return Rule(rate, step)
+
+
+def flattened(weights: Weights) -> np.ndarray:
+    """All weights as one vector, by name."""
+    return np.concatenate([weights[k].ravel() for k in sorted(weights)])
+
+
+def shaped(flat: np.ndarray, like: Weights) -> Weights:
+    """The inverse of flattened, for weights of the names and shapes of like."""
+    ends = np.cumsum([like[k].size for k in sorted(like)])
+    return {k: part.reshape(like[k].shape) for k, part in zip(sorted(like), np.split(flat, ends[:-1]))}
 
 
 def stable_softmax(z: np.ndarray) -> np.ndarray:
@@ -129,32 +139,26 @@ def _matrix(rows: pa.RecordBatch, column: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
 
 
-def _totals(rows: DataFrame, model, weights: Weights, with_gradient: bool) -> tuple[int, float, int, Weights]:
-    """Row count, loss, right answers and gradient sums over rows (label, features)."""
+def _totals(rows: DataFrame, model, weights: Weights, with_gradient: bool) -> tuple[int, float, int, np.ndarray]:
+    """Row count, loss, right answers and the gradient's sum over rows (label, features), as one vector."""
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(weights)
-    names = sorted(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, loss, right, total = 0, 0.0, 0, None
         for batch in batches:
             if batch.num_rows:
                 a, b, g = model.gradients(shared.value, _matrix(batch, 1), batch.column(0).to_numpy())
-                flat = np.concatenate([g[k].ravel() for k in names]) if with_gradient else np.empty(0)
+                flat = flattened(g) if with_gradient else np.empty(0)
                 n, loss, right, total = n + batch.num_rows, loss + a, right + b, flat if total is None else total + flat
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([right]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "loss", "right", "g"])
 
-    n, loss, right, total = 0, 0.0, 0, 0.0
+    n, loss, right, total = 0, 0.0, 0, np.zeros(0)
     for r in rows.select(F.col("label").cast("int"), F.col("features").cast("array<double>")).mapInArrow(run, "n long, loss double, right long, g array<double>").collect():  # one record for each task
-        n, loss, right, total = n + r["n"], loss + r["loss"], right + r["right"], total + np.array(r["g"])
-    gradient, at = {}, 0
-    if with_gradient and n:
-        for k in names:
-            gradient[k] = total[at : at + weights[k].size].reshape(weights[k].shape)
-            at += weights[k].size
+        n, loss, right, total = n + r["n"], loss + r["loss"], right + r["right"], np.array(r["g"]) + (total if len(total) else 0)
     shared.unpersist()
-    return n, loss, right, gradient
+    return n, loss, right, total
 
 
 @dataclass
@@ -166,32 +170,48 @@ class Training:
 LOG_SCHEMA = "epoch int, train_loss double, val_loss double, train_acc double, val_acc double, learning_rate double"
 
 
-def fit(model, train: DataFrame, val: DataFrame, optimizer: Optimizer, epochs: int = 10, decay: float = 1e-3, clip: float | None = 1.0, patience: int = 15, batches: int = 1) -> Training:
+def fit(model, train: DataFrame, val: DataFrame, rule: Rule, epochs: int = 10, decay: float = 1e-3, clip: float | None = 1.0, patience: int = 15, batches: int = 1) -> Training:
     """Minibatches are the remainders of a hash of the row; stops when the validation loss has not fallen for `patience` epochs and then takes the best weights back."""
-    weights = {k: v.copy() for k, v in model.weights.items()}
-    best, best_loss, waited, log = weights, np.inf, 0, []
+    first = model.weights
+    w, state = flattened(first), None
+    decayed = flattened({k: np.full(x.shape, float(k in ("W", "K"))) for k, x in first.items()})
+    best, best_loss, waited, log = w, np.inf, 0, []
     part = F.pmod(F.xxhash64("features"), F.lit(batches))
     for epoch in range(1, epochs + 1):
         seen, loss, right = 0, 0.0, 0
         for k in range(batches):
-            n, a, b, g = _totals(train.filter(part == k) if batches > 1 else train, model, weights, True)
+            n, a, b, g = _totals(train.filter(part == k) if batches > 1 else train, model, shaped(w, first), True)
             if not n:
                 continue
             seen, loss, right = seen + n, loss + a, right + b
-            step = {name: v / n + (decay * weights[name] if name in ("W", "K") else 0) for name, v in g.items()}
-            step = {name: np.clip(v, -clip, clip) if clip else v for name, v in step.items()}
-            weights = {name: optimizer.update(name, weights[name], step[name]) for name in weights}
-        m, val_loss, val_right, _ = _totals(val, model, weights, False)
-        penalty = decay / 2 * sum(float((weights[k] ** 2).sum()) for k in weights if k in ("W", "K"))
+            g = g / n + decay * decayed * w
+            state, w = rule.step(state, w, np.clip(g, -clip, clip) if clip else g)
+        m, val_loss, val_right, _ = _totals(val, model, shaped(w, first), False)
+        penalty = decay / 2 * float((decayed * w * w).sum())
         val_loss = val_loss / max(m, 1) + penalty
-        log.append((epoch, loss / max(seen, 1) + penalty, val_loss, right / max(seen, 1), val_right / max(m, 1), float(getattr(optimizer, "rate", 0.0))))
+        log.append((epoch, loss / max(seen, 1) + penalty, val_loss, right / max(seen, 1), val_right / max(m, 1), float(rule.rate)))
         if val_loss < best_loss:
-            best, best_loss, waited = weights, val_loss, 0
+            best, best_loss, waited = w, val_loss, 0
         else:
             waited += 1
             if waited >= patience:
-                return Training(best, log)
-    return Training(weights, log)
+                return Training(shaped(best, first), log)
+    return Training(shaped(w, first), log)
+
+
+def probabilities(rows: DataFrame, model, weights: Weights) -> DataFrame:
+    """(id, p ARRAY): the probability of each class by Arrow batches."""
+    ship(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p = model.probabilities(shared.value, _matrix(batch, 1))
+                ends = np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(p.ravel()))], ["id", "p"])
+
+    return rows.select(F.col("id").cast("long"), F.col("features").cast("array<double>")).mapInArrow(run, "id long, p array<double>")
 
 
 def predict(rows: DataFrame, model, weights: Weights) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import one_of, whole
 from ..functions.pixels import clamp, each_pixel, half_even, known, let, typed
+from ..functions.stacks import on_stacks
 
 LUMA = (0.299, 0.587, 0.114)  # fixed values: weights of red, green and blue
 
@@ -114,8 +115,7 @@ def brightness(images: DataFrame, delta: float) -> DataFrame:
 
 
 def hflip(images: DataFrame) -> DataFrame:
-    value = lambda r, c, ch: F.get("data", (r * F.col("width") + F.col("width") - 1 - c) * F.col("n_channels") + ch)
-    return images.withColumn("data", each_pixel(value, F.col("height"), F.col("width"), F.col("n_channels")))
+    return on_stacks(images, lambda u8, x: {"data": x[:, :, ::-1]})
 
 
 def channels_first(images: DataFrame) -> DataFrame:
@@ -143,9 +143,8 @@ def display_rescale(images: DataFrame) -> DataFrame:
 
 
 def crop(images: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:
-    value = lambda r, c, ch: F.get("data", ((r + top) * F.col("width") + c + left) * F.col("n_channels") + ch)
-    out = images.withColumn("data", each_pixel(value, F.lit(height), F.lit(width), F.col("n_channels")))
-    return out.withColumn("height", F.lit(height)).withColumn("width", F.lit(width))
+    """Rows and columns of an image, as far as it has them."""
+    return on_stacks(images, lambda u8, x: {"data": x[:, top : top + height, left : left + width]})
 
 
 def salt_and_pepper(images: DataFrame, share: float, seed: int = 0) -> DataFrame:

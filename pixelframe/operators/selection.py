@@ -65,6 +65,16 @@ def mrmr(rows: DataFrame, k: int) -> list[int]:
     return chosen
 
 
+def named(index: DataFrame, prefix: str = "", contains: str = "") -> DataFrame:
+    """Features whose name starts with prefix and contains a text."""
+    return index.filter(F.col("name").startswith(prefix) & F.col("name").contains(contains))
+
+
+def members(index: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of index whose feature was chosen."""
+    return index.join(F.broadcast(chosen.select("feature_idx")), "feature_idx", "left_semi")  # at most one record for each feature
+
+
 def unselected(index: DataFrame, chosen: DataFrame) -> DataFrame:
     """The features that were not chosen."""
     return index.select("feature_idx").exceptAll(chosen.select("feature_idx")).distinct()

@@ -7,8 +7,8 @@ raw AS (SELECT vec_id AS image_id, label, unnest(embedding)::DOUBLE AS v, genera
 gray8_f AS (SELECT image_id, 0 AS ch, i // 8 AS r, i % 8 AS c, v, label FROM raw),
 gray8_01 AS (SELECT image_id, ch, r, c, label, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS v FROM gray8_f WINDOW w AS (PARTITION BY image_id)),
 gray8 AS (SELECT image_id, ch, r, c, label, round_even(v * 255, 0) AS v FROM gray8_01),
-rgb8 AS (SELECT image_id // 3 AS image_id, image_id % 3 AS ch, r, c, v FROM gray8 WHERE image_id // 3 IN (SELECT image_id // 3 FROM gray8 GROUP BY 1 HAVING count(*) = 192)),
-mosaic AS (SELECT image_id // 64 AS image_id, 0 AS ch, image_id % 64 AS r, i AS c, v FROM raw WHERE image_id // 64 IN (SELECT image_id // 64 FROM raw GROUP BY 1 HAVING count(*) = 4096)),
+rgb8 AS (SELECT i.image_id, k.ch, p.i // 8 AS r, p.i % 8 AS c, coalesce(g.v, 0) AS v FROM (SELECT DISTINCT image_id // 3 AS image_id FROM gray8) i CROSS JOIN generate_series(0, 2) k(ch) CROSS JOIN generate_series(0, 63) p(i) LEFT JOIN gray8 g ON g.image_id = i.image_id * 3 + k.ch AND g.r = p.i // 8 AND g.c = p.i % 8),
+mosaic AS (SELECT i.image_id, 0 AS ch, k.r, p.c, coalesce(g.v, 0) AS v FROM (SELECT DISTINCT image_id // 64 AS image_id FROM raw) i CROSS JOIN generate_series(0, 63) k(r) CROSS JOIN generate_series(0, 63) p(c) LEFT JOIN raw g ON g.image_id = i.image_id * 64 + k.r AND g.i = p.c),
 gray64 AS (SELECT image_id, ch, r, c, round_even(coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) * 255, 0) AS v FROM mosaic WINDOW w AS (PARTITION BY image_id))
 """
 PIXEL = "CAST(image_id AS BIGINT) AS image_id, CAST(ch AS INTEGER) AS ch, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c"
@@ -71,7 +71,14 @@ SOBEL_Y = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 ONES3, ONES5 = [[1] * 3] * 3, [[1] * 5] * 5
 LBP = "(VALUES (-1, -1, 1), (-1, 0, 2), (-1, 1, 4), (0, 1, 8), (1, 1, 16), (1, 0, 32), (1, -1, 64), (0, -1, 128)) AS k(dr, dc, bit)"
 LBP_CODES = f"codes AS (SELECT d.image_id, d.ch, d.r, d.c, sum(CASE WHEN s.v >= d.v THEN k.bit ELSE 0 END) AS v FROM gray8 d CROSS JOIN {LBP} JOIN gray8 s ON s.image_id = d.image_id AND s.r = {clamped('d.r + k.dr', 8)} AND s.c = {clamped('d.c + k.dc', 8)} GROUP BY 1, 2, 3, 4)"
-GRADIENT = f"gx AS ({convolved('gray8', SOBEL_X)}), gy AS ({convolved('gray8', SOBEL_Y)}), grad AS (SELECT gx.image_id, gx.r, gx.c, gx.v AS gx, gy.v AS gy, sqrt(gx.v * gx.v + gy.v * gy.v) AS magnitude, degrees(atan2(gy.v + 0.0, gx.v + 0.0)) AS turn FROM gx JOIN gy USING (image_id, r, c)), sobel AS (SELECT image_id, r, c, gx, gy, magnitude, CASE WHEN turn < 0 THEN turn + 180 WHEN turn >= 180 THEN turn - 180 ELSE turn END AS angle FROM grad)"
+def gradient(source: str) -> str:
+    """CTEs up to sobel: gradients of the images of source, with magnitude and angle."""
+    return (
+        f"gx AS ({convolved(source, SOBEL_X)}), gy AS ({convolved(source, SOBEL_Y)}), grad AS (SELECT gx.image_id, gx.r, gx.c, gx.v AS gx, gy.v AS gy, sqrt(gx.v * gx.v + gy.v * gy.v) AS magnitude, degrees(atan2(gy.v + 0.0, gx.v + 0.0)) AS turn FROM gx JOIN gy USING (image_id, r, c)), sobel AS (SELECT image_id, r, c, gx, gy, magnitude, CASE WHEN turn < 0 THEN turn + 180 WHEN turn >= 180 THEN turn - 180 ELSE turn END AS angle FROM grad)"
+    )
+
+
+GRADIENT = gradient("gray8")
 OTSU = """counted AS (SELECT image_id, CAST(v AS INTEGER) AS b, count(*) AS n FROM gray8 GROUP BY 1, 2),
 spine AS (SELECT i.image_id, g.b, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id FROM gray8) i CROSS JOIN generate_series(0, 255) g(b) LEFT JOIN counted USING (image_id, b)),
 cum AS (SELECT image_id, b, sum(n) OVER w AS n0, sum(n * b) OVER w AS m, sum(n) OVER (PARTITION BY image_id) AS n, sum(n * b) OVER (PARTITION BY image_id) AS mu FROM spine WINDOW w AS (PARTITION BY image_id ORDER BY b ROWS UNBOUNDED PRECEDING)),
@@ -120,16 +127,28 @@ def dense(source: str, keys: str, n_bins: int, top: float = 256, as_share: bool
     return f"SELECT {cast}, CAST(g.b AS INTEGER) AS bin, {value} AS {'v' if as_share else 'n'} FROM (SELECT DISTINCT {keys} FROM {source}) i CROSS JOIN generate_series(0, {n_bins - 1}) g(b) LEFT JOIN ({counts}) h ON {on_keys} AND h.b = g.b"
 
 
-HOG = f"""{GRADIENT},
+def moments(source: str) -> str:
+    """CTEs mom and ent: population moments and the entropy of each channel."""
+    return (
+        f"base AS (SELECT *, avg(v) OVER w AS mean, stddev_pop(v) OVER w AS sd FROM {source} WINDOW w AS (PARTITION BY image_id, ch)), mom AS (SELECT image_id, ch, any_value(mean) AS mean, any_value(sd) AS sd, min(v) AS lo, max(v) AS hi, coalesce(avg(power((v - mean) / nullif(sd, 0), 3)), 0) AS skew, coalesce(avg(power((v - mean) / nullif(sd, 0), 4)) - 3, 0) AS kurt, sum(v * v) AS energy FROM base GROUP BY 1, 2), ent AS (SELECT image_id, ch, -sum(n / t * log2(n / t)) AS h FROM (SELECT image_id, ch, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY image_id, ch) AS t FROM {source} GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+    )
+
+
+def hog(source: str) -> str:
+    """CTEs up to three: block-normalised gradient histograms of cells of two pixels."""
+    return f"""{gradient(source)},
 votes AS (SELECT image_id, r // 2 AS cy, c // 2 AS cx, CAST(floor(angle / 20) AS INTEGER) % 9 AS b, magnitude * (1 - (angle / 20 - floor(angle / 20))) AS v FROM sobel
   UNION ALL SELECT image_id, r // 2, c // 2, (CAST(floor(angle / 20) AS INTEGER) + 1) % 9, magnitude * (angle / 20 - floor(angle / 20)) FROM sobel),
 cells AS (SELECT image_id, cy, cx, b, sum(v) AS v FROM votes GROUP BY ALL),
-places AS (SELECT i.image_id, y.i AS yy, x.i AS xx, a.i AS cy, d.i AS cx, g.i AS b FROM (SELECT DISTINCT image_id FROM gray8) i, generate_series(0, 2) y(i), generate_series(0, 2) x(i), generate_series(0, 1) a(i), generate_series(0, 1) d(i), generate_series(0, 8) g(i)),
+places AS (SELECT i.image_id, y.i AS yy, x.i AS xx, a.i AS cy, d.i AS cx, g.i AS b FROM (SELECT DISTINCT image_id FROM {source}) i, generate_series(0, 2) y(i), generate_series(0, 2) x(i), generate_series(0, 1) a(i), generate_series(0, 1) d(i), generate_series(0, 8) g(i)),
 blocks AS (SELECT p.*, coalesce(c.v, 0) AS v FROM places p LEFT JOIN cells c ON c.image_id = p.image_id AND c.cy = p.yy + p.cy AND c.cx = p.xx + p.cx AND c.b = p.b),
 one AS (SELECT *, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY image_id, yy, xx)), 0), v) AS u FROM blocks),
 two AS (SELECT *, least(u, 0.2) AS t FROM one),
 three AS (SELECT *, coalesce(t / nullif(sqrt(sum(t * t) OVER (PARTITION BY image_id, yy, xx)), 0), t) AS z FROM two)"""
 
+
+HOG = hog("gray8")
+
 CANNY = f"""blur AS (SELECT image_id, ch, r, c, {BYTE} AS v FROM ({convolved('gray8', gauss(5, 1.4), 8)})),
 cx AS ({convolved('blur', SOBEL_X, 8)}), cy AS ({convolved('blur', SOBEL_Y, 8)}),
 cg AS (SELECT cx.image_id, cx.r, cx.c, sqrt(cx.v * cx.v + cy.v * cy.v) AS mag, degrees(atan2(cy.v + 0.0, cx.v + 0.0)) AS t FROM cx JOIN cy USING (image_id, r, c)),
@@ -190,7 +209,7 @@ ORACLES: dict[str, str] = {
     "color_histogram": sql(dense("rgb8", "image_id, ch", 32)),
     "pixel_statistics": sql(
         "SELECT CAST(s.image_id AS BIGINT) AS image_id, CAST(s.ch AS INTEGER) AS ch, round(mean, 4) AS mean, round(sd, 4) AS std, lo AS min, hi AS max, round(skew, 4) + 0.0 AS skewness, round(kurt, 4) + 0.0 AS kurtosis, round(energy, 4) AS energy, round(h, 4) + 0.0 AS entropy FROM mom s JOIN ent e USING (image_id, ch)",
-        "base AS (SELECT *, avg(v) OVER w AS mean, stddev_pop(v) OVER w AS sd FROM rgb8 WINDOW w AS (PARTITION BY image_id, ch)), mom AS (SELECT image_id, ch, any_value(mean) AS mean, any_value(sd) AS sd, min(v) AS lo, max(v) AS hi, coalesce(avg(power((v - mean) / nullif(sd, 0), 3)), 0) AS skew, coalesce(avg(power((v - mean) / nullif(sd, 0), 4)) - 3, 0) AS kurt, sum(v * v) AS energy FROM base GROUP BY 1, 2), ent AS (SELECT image_id, ch, -sum(n / t * log2(n / t)) AS h FROM (SELECT image_id, ch, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY image_id, ch) AS t FROM rgb8 GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+        moments("rgb8"),
     ),
     "column_moments": "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, min(l_quantity) AS min, max(l_quantity) AS max, round(sum(l_quantity * l_quantity), 6) AS energy FROM lineitem GROUP BY 1",
     "otsu": sql("SELECT CAST(image_id AS BIGINT) AS image_id, CAST(t AS INTEGER) AS threshold FROM otsu", OTSU),

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as m
-from ..operators import augment, clustering, descriptors, draw, geometry, histogram, metrics, models, neighbours, point, sampling, selection, stencil
+from ..operators import augment, clustering, descriptors, draw, geometry, histogram, metrics, models, neighbours, point, sampling, selection, stencil, workflow
+from ..sources import images as files
+from ..sources.npy import read_npy, write_npy
+from ..sources.scratch import scratch_path
 from .oracle import ORACLES
+from .twins import TWINS
 
 ASYMMETRIC = [[1, 2, 0], [0, -1, 3], [2, 0, -4]]
 LAYER = np.array([[[[1, 0, -1], [2, 0, -2], [1, 0, -1]]], [[[0, 1, 0], [1, -4, 1], [0, 1, 0]]]], dtype=float)
@@ -110,14 +114,14 @@ def _minibatches(train: DataFrame) -> int:
 def _softmax(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
     net = models.SoftmaxModel(64, CLASSES)
-    done = models.fit(net, train, test, models.Adam(0.05), epochs=50, batches=_minibatches(train))
+    done = models.fit(net, train, test, models.adam(0.05), epochs=50, batches=_minibatches(train))
     return spark.createDataFrame(done.log, models.LOG_SCHEMA)
 
 
 def _cnn(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
     net = models.ConvModel(8, 8, CLASSES)
-    done = models.fit(net, train, test, models.Adam(0.02), epochs=15, clip=None, patience=5, batches=_minibatches(train))
+    done = models.fit(net, train, test, models.adam(0.02), epochs=15, clip=None, patience=5, batches=_minibatches(train))
     return metrics.summary(models.predict(test, net, done.weights), CLASSES)
 
 
@@ -131,19 +135,87 @@ def _kmeans(spark, sf_dir):
     return m.to_pixels(rows, "labels", "cluster").select("image_id", "r", "c", "cluster")
 
 
-def _roundtrip(spark, sf_dir):
-    """Images written as PNG files and read again: how many values each has, and how many differ."""
-    import uuid
+def _image_roundtrip(extension: str, most: int) -> Callable:
+    """Images written as files and read again: how many values each has, and how many differ by more than `most`."""
 
-    from ..sources.images import read_images, write_images
+    def run(spark, sf_dir):
+        images, folder = m.rgb8_u8(spark, sf_dir), scratch_path(spark, "image-files")
+        files.write_images(images, folder, extension)
+        back = files.read_images(spark, folder).select(F.regexp_extract("origin", r"(\d+)\.[a-z]+$", 1).cast("long").alias("image_id"), F.col("data").alias("back"))
+        wrong = F.aggregate(F.zip_with("data", "back", lambda a, b: (F.abs(a - b) > most).cast("int")), F.lit(0), lambda s, x: s + x)
+        return images.join(back, "image_id").select("image_id", F.size("back").alias("n_values"), wrong.alias("n_wrong"))
 
-    images = m.rgb8_u8(spark, sf_dir)
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/pixelframe-images").rstrip("/")
-    folder = f"{base}/png-{uuid.uuid4().hex}"
-    write_images(images, folder)
-    back = read_images(spark, folder).select(F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long").alias("image_id"), F.col("data").alias("back"))
-    wrong = F.aggregate(F.zip_with("data", "back", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
-    return images.join(back, "image_id").select("image_id", F.size("back").alias("n_values"), wrong.alias("n_wrong"))
+    return run
+
+
+def _labelled_folder(spark, sf_dir):
+    folder, images = scratch_path(spark, "labelled"), m.gray8_u8(spark, sf_dir)
+    files.write_labelled(images, folder, F.concat(F.lit("class_"), F.col("label").cast("string")))
+    return files.labelled_files(spark, folder).groupBy("class_name", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _class_names(spark, sf_dir):
+    names = spark.range(CLASSES).select(F.col("id").cast("int").alias("label"), F.concat(F.lit("class_"), F.col("id").cast("string")).alias("class_name"))
+    return vectors(spark, sf_dir).select("id", "label").join(F.broadcast(names), "label")
+
+
+def _annotations_csv(spark, sf_dir):
+    rows, path = annotations(spark, sf_dir), scratch_path(spark, "annotations")
+    labels = rows.select("class_name").distinct().orderBy("class_name").collect()
+    label = F.array_position(F.array(*[F.lit(r[0]) for r in labels]), F.col("class_name")).cast("int") - 1
+    named = rows.select(F.format_string("%s/img%06d.png", "class_name", "id").alias("image_path"), "class_name", label.alias("label"))
+    files.write_annotations(named, path)
+    return files.read_annotations(spark, path)
+
+
+def _training_log(spark, sf_dir):
+    path, schema = scratch_path(spark, "training-log"), "epoch int, train_loss double"
+    for part in ([1, 2, 3], [4, 5, 6]):
+        files.append_log(spark.createDataFrame([(i, i / 4) for i in part], schema), path)
+    return spark.read.schema(schema).csv(path, header=True)
+
+
+def _index_json(spark, sf_dir):
+    path = scratch_path(spark, "feature-index")
+    files.write_json(descriptors.feature_index(spark), path)
+    return files.read_json(spark, path).select(F.col("feature_idx").cast("int").alias("feature_idx"), "name", "family")
+
+
+def _npy(spark, sf_dir):
+    path = scratch_path(spark, "arrays")
+    write_npy(m.gray8_u8(spark, sf_dir).select(F.concat(F.array(F.col("image_id").cast("double")), "data").alias("row")), "row", path)
+    rows = read_npy(spark, path).select(F.get("data", F.lit(0)).cast("long").alias("image_id"), F.slice("data", 2, m.SIDE * m.SIDE).alias("data"))
+    return bins(rows, ["image_id"], "data")
+
+
+def layer(rows: int, columns: int) -> np.ndarray:
+    """Weights by a rule, so that SQL can have the same."""
+    f, k = np.indices((rows, columns))
+    return ((f * 7 + k * 3) % 11 - 5) / 50.0
+
+
+def _checkpoint(spark, sf_dir):
+    path = scratch_path(spark, "checkpoint")
+    models.save_checkpoint(spark, {"W": layer(32, CLASSES)}, 3, path)
+    weights, _ = models.load_checkpoint(spark, path, {"W": np.zeros((1, 1))})
+    return models.weight_table(spark, weights).select("param", F.col("idx")[0].alias("i"), F.col("idx")[1].alias("j"), "value")
+
+
+def _cnn_forward(spark, sf_dir):
+    net = models.ConvModel(m.SIDE, 2, CLASSES)
+    weights = {"K": LAYER.reshape(2, 9), "k": np.array([0.1, -0.1]), "W": layer(32, CLASSES), "b": np.zeros(CLASSES)}
+    rows = models.probabilities(vectors(spark, sf_dir), net, weights)
+    return bins(rows.select(F.col("id").alias("image_id"), "p"), ["image_id"], "p", 6)
+
+
+def _comparison(spark, sf_dir):
+    rows = pairs(spark, sf_dir)
+    swapped = rows.select(F.col("y_pred").alias("y_true"), F.col("y_true").alias("y_pred"))
+    return metrics.model_comparison({"labels": rows, "swapped": swapped}, 2).select("model", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+def totals(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_images"), F.sum(F.aggregate("data", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
 g8, g8f, g8u, rgb, g64 = m.gray8_u8, m.gray8_f, m.gray8_01, m.rgb8_u8, m.gray64_u8
@@ -213,6 +285,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mrmr_relevance": _relevance,
     "mrmr_topk": _mrmr,
     "unselected_features": lambda s, d: selection.unselected(_index64(s), _chosen(s, d)),
+    "features_by_name": lambda s, d: selection.named(descriptors.feature_index(s), "fam1", "_R").select("feature_idx", "name"),
+    "chosen_features": lambda s, d: selection.members(_index64(s), _chosen(s, d)),
     "family_counts": lambda s, d: selection.family_counts(_index64(s), _chosen(s, d)),
     # nearest neighbours and evaluation
     "knn_neighbours": lambda s, d: neighbours.nearest(*train_test(s, d), 5).select("id", "rank", "train_id", "label", F.round("distance", 6).alias("distance")),
@@ -222,6 +296,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confusion_matrix": lambda s, d: metrics.confusion_matrix(knn_pairs(s, d), CLASSES),
     "class_report": lambda s, d: metrics.class_report(pairs(s, d), 2).select("cls", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
     "metrics_summary": lambda s, d: metrics.summary(pairs(s, d), 2).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall", "weighted_f1")]),
+    "per_class_accuracy": lambda s, d: metrics.per_class_accuracy(pairs(s, d), 2).select("cls", F.round("accuracy", 6).alias("accuracy")),
+    "model_comparison": _comparison,
+    "class_names": _class_names,
     "report_json": lambda s, d: metrics.report_json(pairs(s, d), 2, "labels"),
     # sampling
     "class_distribution": lambda s, d: sampling.class_distribution(annotations(s, d), "class_name"),
@@ -235,7 +312,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rename_plan": lambda s, d: sampling.rename_plan(annotations(s, d).select("class_name", F.format_string("img%06d", "id").alias("name"), F.lit(".png").alias("ext"))),
     # augmentation, clustering, drawing
     "augment": on(g8, lambda x: augment.augmented(x, 40).drop("change"), 6),
-    "augment_panel": lambda s, d: augment.panel(g8(s, d)).groupBy("change").agg(F.count(F.lit(1)).alias("n_images"), F.sum(F.aggregate("data", F.lit(0.0), lambda a, v: a + v)).alias("total")),
+    "augment_panel": lambda s, d: totals(augment.panel(g8(s, d)), "change"),
+    "with_augmented": lambda s, d: totals(augment.with_augmented(g8(s, d), 40), "change"),
     "kmeans_segment": _kmeans,
     "draw_point": on(g8, lambda x: draw.draw_point(x, 3, 4, 255, 2)),
     "draw_line": on(g8, lambda x: draw.draw_line(x, 0, 1, 7, 5, 255)),
@@ -247,7 +325,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "softmax_probs": _probabilities,
     "softmax_train": _softmax,
     "cnn_train": _cnn,
-    "image_roundtrip": _roundtrip,
+    "cnn_forward": _cnn_forward,
+    "image_roundtrip": _image_roundtrip(".png", 0),
+    "jpeg_roundtrip": _image_roundtrip(".jpg", 32),
+    "labelled_folder": _labelled_folder,
+    "annotations_csv": _annotations_csv,
+    "training_log_csv": _training_log,
+    "feature_index_json": _index_json,
+    "npy_roundtrip": _npy,
+    "checkpoint_roundtrip": _checkpoint,
+    # workflows
+    "preprocess": on(g8, lambda x: workflow.preprocess(x, 12, 12)),
+    "annotated_splits": lambda s, d: workflow.annotated_splits(annotations(s, d), "id", "class_name"),
+    "showcase": lambda s, d: totals(workflow.showcase(rgb(s, d)), "panel"),
 }
 
-ORACLES = {k: v for k, v in ORACLES.items() if k in QUERIES}
+ORACLES = {k: v for k, v in (ORACLES | TWINS).items() if k in QUERIES}

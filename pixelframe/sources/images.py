@@ -1,4 +1,4 @@
-"""Image files: reading with Spark's own source, writing PNG, and labelled folders."""
+"""Image files: reading with Spark's own source, writing PNG and JPEG, labelled folders, and tables of annotations."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import whole
 from ..operators.point import rgb_to_gray
 from ..ship import ship
+from .jpeg import jpeg_bytes
 
 
 def read_images(spark: SparkSession, path: str, as_gray: bool = False, drop_invalid: bool = False) -> DataFrame:
@@ -57,9 +58,13 @@ def png_bytes(values: np.ndarray, height: int, width: int, channels: int) -> byt
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered)) + _chunk(b"IEND", b"")
 
 
-def encoded_png(images: DataFrame) -> DataFrame:
+ENCODERS = {".png": lambda v, h, w, n, quality: png_bytes(v, h, w, n), ".jpg": jpeg_bytes, ".jpeg": jpeg_bytes}
+
+
+def encoded(images: DataFrame, extension: str = ".png", quality: int = 95) -> DataFrame:
     """(image_id, content): float images are scaled by 255 if their largest value is at most 1, and truncated."""
     ship(images.sparkSession)
+    encode = ENCODERS[extension]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -68,26 +73,27 @@ def encoded_png(images: DataFrame) -> DataFrame:
                 v = np.array(data, float)
                 if kind != "u8" and len(v) and v.max() <= 1:
                     v = v * 255
-                out.append(png_bytes(np.clip(v, 0, 255), h, w, n))
+                out.append(encode(np.floor(np.clip(v, 0, 255)), h, w, n, quality))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.binary())], ["image_id", "content"])
 
     return images.select("image_id", "height", "width", "n_channels", "dtype", "data").mapInArrow(run, "image_id long, content binary")
 
 
 def write_images(images: DataFrame, folder: str, extension: str = ".png", quality: int = 95) -> DataFrame:
-    """Writes one PNG for each image through Hadoop's file system, so that any store works; returns (image_id, path)."""
-    if extension.lower() not in (".png",):
-        raise ValueError("only .png is written")
+    """Writes one file for each image through Arrow's file systems, so that any store works; returns (image_id, path)."""
+    extension = extension.lower()
+    if extension not in ENCODERS:
+        raise ValueError("only .png, .jpg and .jpeg are written")
     if whole(quality, "quality", 1) > 95:
         raise ValueError("quality must be in 1..95")
     spark = images.sparkSession
-    spark.dataSource.register(_png_sink())
-    rows = encoded_png(images).select(F.concat(F.col("image_id").cast("string"), F.lit(extension.lower())).alias("name"), "content")
-    rows.write.format("png_files").mode("append").save(folder)
-    return images.select("image_id", F.concat(F.lit(folder.rstrip("/") + "/"), F.col("image_id").cast("string"), F.lit(extension.lower())).alias("path"))
+    spark.dataSource.register(_file_sink())
+    rows = encoded(images, extension, quality).select(F.concat(F.col("image_id").cast("string"), F.lit(extension)).alias("name"), "content")
+    rows.write.format("image_files").mode("append").save(folder)
+    return images.select("image_id", F.concat(F.lit(folder.rstrip("/") + "/"), F.col("image_id").cast("string"), F.lit(extension)).alias("path"))
 
 
-def _png_sink():
+def _file_sink():
     from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
     class Writer(DataSourceArrowWriter):
@@ -98,22 +104,31 @@ def _png_sink():
             from pyarrow import fs
 
             store, base = fs.FileSystem.from_uri(self.folder if "://" in self.folder else "file://" + self.folder)
-            store.create_dir(base, recursive=True)
             for batch in iterator:
                 for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    store.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
                     with store.open_output_stream(f"{base}/{name}") as out:
                         out.write(content)
             return WriterCommitMessage()
 
-    class PngFiles(DataSource):
+    class ImageFiles(DataSource):
         @classmethod
         def name(cls):
-            return "png_files"
+            return "image_files"
 
         def writer(self, schema, overwrite):
             return Writer(self.options["path"])
 
-    return PngFiles
+    return ImageFiles
+
+
+def write_labelled(images: DataFrame, folder: str, class_name) -> None:
+    """PNG files in class folders."""
+    spark = images.sparkSession
+    spark.dataSource.register(_file_sink())
+    names = images.select("image_id", class_name.alias("class_name"))
+    rows = encoded(images).join(names, "image_id").select(F.concat(F.col("class_name"), F.lit("/"), F.col("image_id").cast("string"), F.lit(".png")).alias("name"), "content")
+    rows.write.format("image_files").mode("append").save(folder)
 
 
 def labelled_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,5 +169,6 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """A row for each line, as write_json writes them, or for each file."""
+    return spark.read.json(path, multiLine=whole_files)

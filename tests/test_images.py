@@ -219,7 +219,7 @@ def test_models_learn(spark):
     r = np.random.default_rng(1)
     rows = spark.createDataFrame([(i, int(i % 2), [float(i % 2) + 0.1 * float(v) for v in r.standard_normal(4)]) for i in range(80)], "id long, label int, features array<double>")
     net = models.SoftmaxModel(4, 2)
-    done = models.fit(net, rows, rows, models.Adam(0.1), epochs=25)
+    done = models.fit(net, rows, rows, models.adam(0.1), epochs=25)
     assert metrics.accuracy(models.predict(rows, net, done.weights)).first()[0] > 0.95
 
 
@@ -234,3 +234,160 @@ def test_conv_gradients():
         up = net.gradients(w, x, y)[0]
         w[name].flat[0] -= 2e-6
         assert abs((up - net.gradients(w, x, y)[0]) / 2e-6 - g[name].flat[0]) < 1e-4
+
+
+def test_jpeg_files_are_read_back_nearly(spark, tmp_path):
+    r, c = np.indices((19, 13))
+    smooth = np.stack([r * 9, c * 15, (r + c) * 6], axis=2) % 256
+    rows = spark.createDataFrame([(1, 0, 19, 13, 3, "u8", smooth.ravel().astype(float).tolist()), (2, 0, 19, 13, 1, "u8", smooth[:, :, 0].ravel().astype(float).tolist()), (3, 0, 1, 1, 1, "f64", [0.5])], IMAGE_SCHEMA)
+    files.write_images(rows, str(tmp_path / "out"), ".JPG")
+    back = {x["origin"].rsplit("/", 1)[1]: x for x in files.read_images(spark, str(tmp_path / "out")).collect()}
+    assert sorted(back) == ["1.jpg", "2.jpg", "3.jpg"] and back["1.jpg"]["n_channels"] == 3 and back["3.jpg"]["data"] == [127.0]
+    assert np.abs(np.array(back["1.jpg"]["data"]) - smooth.ravel()).max() <= 16
+    assert np.abs(np.array(back["2.jpg"]["data"]) - smooth[:, :, 0].ravel()).max() <= 6
+    with pytest.raises(ValueError):
+        files.write_images(rows, str(tmp_path / "x"), ".gif")
+    with pytest.raises(ValueError):
+        files.write_images(rows, str(tmp_path / "x"), ".jpg", 96)
+
+
+def test_tables_of_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a/1.png", "a", 0), ("b/2, 3.png", "b", 1), (None, "c", None)], files.ANNOTATIONS)
+    files.write_annotations(rows, str(tmp_path / "csv"))
+    assert sorted(map(str, files.read_annotations(spark, str(tmp_path / "csv")).collect())) == sorted(map(str, rows.collect()))
+    for k in (1, 2):
+        files.append_log(spark.createDataFrame([(k, 0.5)], "epoch int, train_loss double"), str(tmp_path / "log"))
+    assert spark.read.csv(str(tmp_path / "log"), header=True).count() == 2
+    files.write_json(rows, str(tmp_path / "json"))
+    assert files.read_json(spark, str(tmp_path / "json")).count() == 3
+
+
+def test_arrays_are_written_by_task(spark, tmp_path):
+    from pixelframe.sources.npy import write_npy
+
+    write_npy(spark.range(10, numPartitions=3).selectExpr("array(cast(id as double), 1.5D) AS row"), "row", str(tmp_path / "out"))
+    found = read_npy(spark, str(tmp_path / "out")).orderBy("row").collect()
+    assert [r["row"] for r in found] == list(range(10)) and sorted(r["data"][0] for r in found) == list(map(float, range(10)))
+
+
+def test_checkpoints(spark, tmp_path):
+    weights = {"W": np.arange(6.0).reshape(2, 3), "b": np.array([0.25])}
+    models.save_checkpoint(spark, weights, 7, str(tmp_path / "net"))
+    found, epoch = models.load_checkpoint(spark, str(tmp_path / "net"), {})
+    assert epoch == 7 and all((found[k] == weights[k]).all() for k in weights)
+    said = []
+    assert models.load_checkpoint(spark, str(tmp_path / "none"), weights, said.append) == (weights, 0) and said
+    table = models.weight_table(spark, weights).collect()
+    assert len(table) == 7 and {tuple(r["idx"]): r["value"] for r in table if r["param"] == "W"}[(1, 2)] == 5.0
+
+
+def test_optimisers_follow_their_formulas():
+    g, w = np.array([0.5, -2.0]), np.array([1.0, 1.0])
+    assert np.allclose(models.descent(0.1).step(None, w, g)[1], w - 0.1 * g)
+    rule, state, now, m, v = models.adam(0.01), None, w, 0, 0
+    for t in range(1, 4):
+        state, now = rule.step(state, now, g)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(now, w)
+    weights = {"b": np.array([7.0]), "W": np.arange(4.0).reshape(2, 2)}
+    assert all((models.shaped(models.flattened(weights), weights)[k] == weights[k]).all() for k in weights)
+
+
+def test_reports(spark):
+    pairs = spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "y_true int, y_pred int")
+    assert {r["cls"]: r["accuracy"] for r in metrics.per_class_accuracy(pairs, 2).collect()} == {0: 0.5, 1: 1.0}
+    rows = metrics.model_comparison({"a": pairs, "b": pairs.filter("y_true = 1")}, 2).collect()
+    assert [r["model"] for r in rows] == ["a", "b"] and rows[1]["accuracy"] == 1.0
+
+
+def test_images_of_many_shapes_in_one_batch(spark):
+    r = np.random.default_rng(4)
+    shapes = [(3, 4, 1), (5, 2, 3), (3, 4, 1), (0, 4, 1), (1, 1, 1)]
+    rows = [(k, 0, h, w, n, "u8" if k % 2 else "f64", r.integers(0, 256, h * w * n).astype(float).tolist()) for k, (h, w, n) in enumerate(shapes)]
+    rows += [(8, 0, 2, 2, 1, "u8", [1.0]), (9, 0, 2, 2, 1, "u8", None)]
+    table = spark.createDataFrame(rows, IMAGE_SCHEMA).coalesce(1)
+    for op in (lambda x: stencil.gaussian_filter(x), lambda x: geometry.rotate(x, 20), lambda x: geometry.resize(x, 2, 3)):
+        together = {x["image_id"]: x for x in op(table).collect()}
+        for k in (0, 1, 2, 4):
+            assert op(table.filter(f"image_id = {k}")).first() == together[k]
+        assert together[8]["data"] is None and together[9]["data"] is None
+
+
+def test_hysteresis_against_a_flood():
+    r = np.random.default_rng(1)
+    strong, weak = r.random((6, 12, 12, 1)) > 0.97, r.random((6, 12, 12, 1)) > 0.5
+    weak |= strong
+    got = stencil.reached(strong, weak)
+    for s, w, g in zip(strong[..., 0], weak[..., 0], got[..., 0]):
+        keep, left = set(map(tuple, np.argwhere(s))), list(map(tuple, np.argwhere(s)))
+        while left:
+            y, x = left.pop()
+            for p in [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+                if 0 <= p[0] < 12 and 0 <= p[1] < 12 and w[p] and p not in keep:
+                    keep.add(p)
+                    left.append(p)
+        assert keep == set(map(tuple, np.argwhere(g)))
+
+
+def test_neighbours_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TRAIN_ROWS", 7)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 5)
+    r = np.random.default_rng(2)
+    x = r.integers(0, 4, (40, 3)).astype(float)  # with ties
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, label int, features array<double>")
+    got = {}
+    for n in neighbours.nearest(rows.filter("id < 25"), rows.filter("id >= 25"), 4).orderBy("id", "rank").collect():
+        got.setdefault(n["id"], []).append(n["train_id"])
+    for i in range(25, 40):
+        d = np.sqrt(((x[:25] - x[i]) ** 2).sum(axis=1))
+        assert got[i] == np.lexsort((np.arange(25), d))[:4].tolist()
+
+
+def test_names_are_numbered_in_order(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SPLITS", 5)
+    table = spark.range(60).selectExpr("if(id % 10 = 0, 'b', 'a') AS class_name", "concat('n', id) AS name", "'.png' AS ext")
+    got = {r["old_path"]: r["new_path"] for r in sampling.rename_plan(table).collect()}
+    for c, ids in (("a", [i for i in range(60) if i % 10]), ("b", range(0, 60, 10))):
+        for k, name in enumerate(sorted(f"n{i}" for i in ids)):
+            assert got[f"{c}/{name}.png"] == f"{c}/{c}_{k + 1:04d}.png"
+
+
+def test_workflows(spark, tmp_path):
+    from pixelframe.operators import workflow
+
+    ramp = np.arange(48.0).reshape(4, 4, 3) * 5
+    images = spark.createDataFrame([(1, 0, 4, 4, 3, "u8", ramp.ravel().tolist()), (2, 1, 4, 4, 1, "u8", [float(k * 9) for k in range(16)]), (3, 1, 4, 4, 1, "u8", [7.0] * 16)], IMAGE_SCHEMA)
+    files.write_images(images, str(tmp_path / "x"))
+    read = files.read_images(spark, str(tmp_path / "x"))
+    paths = spark.createDataFrame([(r["origin"], "c", k) for k, r in enumerate(read.select("origin").orderBy("origin").collect())], files.ANNOTATIONS)
+    assert sorted(r["label"] for r in workflow.process_split(paths, read, 4, 4).collect()) == [0, 1]  # the flat image is left out
+    done = {r["label"]: r for r in workflow.process_split(paths, read, 16, 16).collect()}  # enlarging gives it a dark border
+    assert sorted(done) == [0, 1, 2] and all(r["n_channels"] == 3 and r["height"] == 16 and min(r["data"]) == 0 and max(r["data"]) == 255 for r in done.values())
+    rows = workflow.extract_split(workflow.process_split(paths, read, 16, 16), 16, 16, 4).collect()
+    assert {r["label"] for r in rows} == {0, 1, 2} and {len(r["features"]) for r in rows} == {703}
+    shown = workflow.showcase(images.filter("n_channels = 3")).groupBy("panel").count().collect()
+    assert {r["panel"]: r["count"] for r in shown} == {"blurred": 1, "edges": 1, "segments": 1, "equalised": 1, "annotated": 1}
+
+
+def test_features_of_a_stream(spark, tmp_path):
+    from pixelframe.streaming import ingest
+
+    images = spark.createDataFrame([(k, k % 2, 2, 2, 1, "u8", [float(k)] * 4) for k in range(6)] + [(9, 0, 2, 2, 1, "u8", None)], IMAGE_SCHEMA)
+    images.repartition(3).write.parquet(str(tmp_path / "in"))
+    query = ingest.write_stream(ingest.edge_features(ingest.image_stream(spark, str(tmp_path / "in"), 1)), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination(120)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == 6 and found.filter("mag_max <> 0").count() == 0
+
+
+def test_brightness_of_a_stream_by_window(spark, tmp_path):
+    from pixelframe.streaming import ingest
+
+    rows = spark.createDataFrame([("2024-01-01 00:01:00", 0, [2.0, 4.0]), ("2024-01-01 00:02:00", 0, [6.0, 8.0]), ("2024-01-01 02:00:00", 1, [1.0])], "at string, label int, data array<double>").selectExpr("cast(at AS timestamp) AS at", "label", "data")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = ingest.write_stream(ingest.brightness_by_label(stream, "at"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination(120)
+    # the first window is closed by the watermark of the last row
+    assert [(r["label"], r["brightness"], r["n_images"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(0, 5.0, 2)]
