@@ -2,54 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import whole
-from ..functions.pixels import clamp, known, let
-from .histogram import STATS, color_histogram, lbp_descriptor, pixel_statistics
-from .point import crop, rgb_to_gray
-from .stencil import sobel_gradients
-
-
-def hog_descriptor(images: DataFrame, cell_size: int = 8, n_bins: int = 9, block_size: int = 2, gradients: DataFrame | None = None) -> DataFrame:
+from ..functions.stacks import half_even_bytes, on_stacks
+from .histogram import STATS
+from .point import LUMA, crop
+from .stencil import gradients as stack_gradients
+from .stencil import patterns, sobel_gradients
+
+
+def oriented(magnitude: np.ndarray, angle: np.ndarray, cell: int, n_bins: int, block: int, turn: float) -> np.ndarray:
+    """Block-normalised direction histograms of a stack of gradients: (images, values)."""
+    n, h, w, _ = magnitude.shape
+    ny, nx = h // cell, w // cell
+    if ny < block or nx < block:
+        raise ValueError("the image is too small for a block")
+    trim = (slice(None), slice(0, ny * cell), slice(0, nx * cell), 0)
+    m, place = magnitude[trim], angle[trim] / (turn / n_bins)
+    low, part = np.floor(place).astype(np.int64) % n_bins, place - np.floor(place)
+    r, c = np.arange(ny * cell) // cell, np.arange(nx * cell) // cell
+    at = ((np.arange(n)[:, None, None] * ny + r[None, :, None]) * nx + c[None, None, :]) * n_bins
+    size = n * ny * nx * n_bins
+    cells = np.bincount((at + low).ravel(), (m * (1 - part)).ravel(), size) + np.bincount((at + (low + 1) % n_bins).ravel(), (m * part).ravel(), size)
+    windows = np.lib.stride_tricks.sliding_window_view(cells.reshape(n, ny, nx, n_bins), (block, block), axis=(1, 2))
+    blocks = windows.transpose(0, 1, 2, 4, 5, 3).reshape(n, -1, block * block * n_bins)
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(axis=2, keepdims=True))
+        return x / np.where(norm > 0, norm, 1)
+
+    return scaled(np.minimum(scaled(blocks), 0.2)).reshape(n, -1)
+
+
+def hog_descriptor(images: DataFrame, cell_size: int = 8, n_bins: int = 9, block_size: int = 2, signed: bool = False, gradients: DataFrame | None = None) -> DataFrame:
     """(image_id, hog): block-normalised histograms of gradient directions of gray images.
 
-    A pixel votes for the two bins around its angle.  Cells are summed with one
-    pre-aggregated groupBy; blocks are slices of the cells' array.
+    A pixel votes for the two bins around its angle.  With signed, bins divide
+    the full turn; angles stay folded to the half turn, as the original has it,
+    so only the lower half of the bins is used.
     gradients: images that sobel_gradients has been through, to share its work.
     """
     whole(cell_size, "cell_size", 1), whole(n_bins, "n_bins", 1), whole(block_size, "block_size", 1)
-    rows = gradients if gradients is not None else sobel_gradients(images)
-    width = 180.0 / n_bins
-    pixels = rows.select("image_id", "height", "width", F.posexplode_outer(F.arrays_zip("magnitude", "angle")).alias("i", "g")).filter("i IS NOT NULL")
-    ny, nx = F.floor(F.col("height") / cell_size).cast("int"), F.floor(F.col("width") / cell_size).cast("int")
-    r, c = F.floor(F.col("i") / F.col("width")).cast("int"), F.col("i") % F.col("width")
-    place = F.col("g.angle") / width
-    low = F.pmod(F.floor(place), F.lit(n_bins)).cast("int")
-    part = place - F.floor(place)
-    votes = F.array(F.struct(low.alias("bin"), (F.col("g.magnitude") * (1 - part)).alias("v")), F.struct(F.pmod(low + 1, F.lit(n_bins)).alias("bin"), (F.col("g.magnitude") * part).alias("v")))
-    cells = pixels.select("image_id", ny.alias("ny"), nx.alias("nx"), F.floor(r / cell_size).cast("int").alias("cy"), F.floor(c / cell_size).cast("int").alias("cx"), F.explode(votes).alias("vote")).filter("cy < ny AND cx < nx")
-    sums = cells.groupBy("image_id", "ny", "nx", ((F.col("cy") * F.col("nx") + F.col("cx")) * n_bins + F.col("vote.bin")).alias("k")).agg(F.sum("vote.v").alias("v"))
-    grids = sums.groupBy("image_id", "ny", "nx").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    grids = grids.withColumn("cells", F.transform(F.sequence(F.lit(0), F.col("ny") * F.col("nx") * n_bins - 1), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))))
-    b = block_size
-    grids = grids.withColumn("by", F.col("ny") - b + 1).withColumn("bx", F.col("nx") - b + 1)
-    too_small = F.raise_error(F.lit("the image is too small for a block"))
-    grids = grids.withColumn("by", F.when((F.col("by") < 1) | (F.col("bx") < 1), too_small.cast("int")).otherwise(F.col("by")))
-
-    def block(k: Column) -> Column:
-        y, x = F.floor(k / F.col("bx")).cast("int"), k % F.col("bx")
-        return F.flatten(F.array(*[F.slice("cells", ((y + i) * F.col("nx") + x) * n_bins + 1, b * n_bins) for i in range(b)]))
-
-    def scaled(values: Column) -> Column:
-        norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v))
-        return let(F.struct(values.alias("x"), norm.alias("norm")), lambda s: F.transform(s["x"], lambda v: F.when(s["norm"] > 0, v / s["norm"]).otherwise(v)))
-
-    blocks = F.transform(F.sequence(F.lit(0), F.col("by") * F.col("bx") - 1), block)
-    blocks = F.transform(blocks, scaled)
-    blocks = F.transform(blocks, lambda x: scaled(F.transform(x, lambda v: F.least(v, F.lit(0.2)))))
-    return grids.select("image_id", known(F.flatten(blocks), "cells", "by", "bx").alias("hog"))
+    turn = 360.0 if signed else 180.0
+    vote = lambda magnitude, angle: {"hog": oriented(magnitude, angle, cell_size, n_bins, block_size, turn)}
+    if gradients is not None:
+        return on_stacks(gradients, lambda u8, m, a: vote(m, a), reads=("magnitude", "angle"), adds=("hog",)).select("image_id", "hog")
+
+    def run(u8: bool, x: np.ndarray) -> dict[str, np.ndarray]:
+        found = stack_gradients(x, "reflect")
+        return vote(found["magnitude"], found["angle"])
+
+    return on_stacks(images, run, adds=("hog",)).select("image_id", "hog")
 
 
 def sobel_stats(images: DataFrame, gradients: DataFrame | None = None) -> DataFrame:
@@ -91,32 +97,55 @@ def feature_index(spark: SparkSession, hog_size: int = 324) -> DataFrame:
     return spark.createDataFrame([(k, n, f) for k, (n, f) in enumerate(names)], "feature_idx int, name string, family string")
 
 
-def _one_array(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """The arrays of an image's rows, joined in the order of keys."""
-    ordered = F.array_sort(F.collect_list(F.struct(*keys, column)))
-    return rows.groupBy("image_id").agg(F.flatten(F.transform(ordered, lambda x: x[column])).alias(name))
-
-
-def feature_vectors(images: DataFrame, height: int, width: int, cell_size: int, dtype: str = "u8") -> DataFrame:
+def binned_shares(x: np.ndarray, bins: int, top: float, closed: bool) -> np.ndarray:
+    """Shares of equal bins over [0, top) by image and channel of a stack: (images, channels * bins); closed: top is in the last bin."""
+    n, channels = len(x), x.shape[3]
+    at = np.minimum(np.floor(x * bins / top), bins - 1).astype(np.int64)
+    inside = (x >= 0) & ((x <= top) if closed else (x < top))
+    at += (np.arange(n)[:, None, None, None] * channels + np.arange(channels)) * bins
+    counts = np.bincount(at[inside], minlength=n * channels * bins).reshape(n, channels, bins).astype(float)
+    total = counts.sum(axis=2, keepdims=True)
+    return (counts / np.where(total > 0, total, 1)).reshape(n, -1)
+
+
+def moments(x: np.ndarray, u8: bool) -> np.ndarray:
+    """The statistics STATS of each channel of a stack: (images, channels * 8)."""
+    flat = x.reshape(len(x), -1, x.shape[3])
+    mean, low, high = flat.mean(axis=1), flat.min(axis=1), flat.max(axis=1)
+    d = flat - mean[:, None]
+    m2, m3, m4 = ((d**k).mean(axis=1) for k in (2, 3, 4))
+    flat_channel = low == high
+    safe = np.where(flat_channel | (m2 <= 0), 1.0, m2)
+    shape = lambda v: np.where(flat_channel | (m2 <= 0), 0.0, v)
+    shares = binned_shares(np.floor(np.clip(x, 0, 255)) if u8 else x, 256, 256.0 if u8 else 1.0, not u8).reshape(len(x), x.shape[3], 256)
+    entropy = -(shares * np.log2(np.where(shares > 0, shares, 1))).sum(axis=2) + 0.0
+    return np.stack([mean, shape(np.sqrt(m2)), low, high, shape(m3 / safe**1.5), shape(m4 / safe**2 - 3), (flat * flat).sum(axis=1), entropy], axis=2).reshape(len(x), -1)
+
+
+def assembled(u8: bool, x: np.ndarray, cell: int) -> np.ndarray:
+    """The whole vector of each RGB image of a stack."""
+    top = 256.0 if u8 else 1.0
+    byte = x if u8 else np.floor(np.clip(x * 255, 0, 255))
+    gray = half_even_bytes(sum(w * byte[..., ch : ch + 1] for ch, w in enumerate(LUMA)))
+    found = stack_gradients(gray / 255, "reflect")
+    magnitude = found["magnitude"].reshape(len(x), -1)
+    h, w = x.shape[1] // 2, x.shape[2] // 2
+    quarters = [binned_shares(x[:, y * h : (y + 1) * h, z * w : (z + 1) * w], 16, top, not u8) for y in range(2) for z in range(2)]
+    parts = [
+        binned_shares(x, 32, top, not u8),
+        moments(x, u8),
+        oriented(found["magnitude"], found["angle"], cell, 9, 2, 180.0),
+        np.stack([magnitude.mean(axis=1), magnitude.std(axis=1), magnitude.max(axis=1)], axis=1),
+        binned_shares(patterns(gray), 64, 256.0, False),
+        *quarters,
+    ]
+    return np.concatenate(parts, axis=1)
+
+
+def feature_vectors(images: DataFrame, cell_size: int) -> DataFrame:
     """(image_id, features) of RGB images: colour, statistics, gradients, patterns and colour by quadrant.
 
-    One gradient relation serves both gradient families.
+    A vector is worked out in its image's row, so there is no shuffle.
     """
-    gray = rgb_to_gray(images)
-    unit = gray.withColumn("data", F.transform("data", lambda v: v / 255)).withColumn("dtype", F.lit("f64")) if dtype == "u8" else gray
-    gradients = sobel_gradients(unit)
-    colour = _one_array(color_histogram(images, 32, dtype=dtype), ["ch"], "counts", "f1a")
-    stats = _one_array(pixel_statistics(images, dtype).select("image_id", "ch", F.array(*STATS).alias("s")), ["ch"], "s", "f1b")
-    hog = hog_descriptor(unit, cell_size, gradients=gradients).withColumnRenamed("hog", "f2a")
-    sobel = sobel_stats(unit, gradients).select("image_id", F.array("mag_mean", "mag_std", "mag_max").alias("f2b"))
-    lbp = lbp_descriptor(gray, 64).withColumnRenamed("counts", "f3")
-    quarter = _one_array(spatial_color_histogram(images, height, width), ["quadrant", "ch"], "counts", "f4")
-    rows = colour
-    for part in (stats, hog, sobel, lbp, quarter):
-        rows = rows.join(part, "image_id")
-    return rows.select("image_id", F.concat("f1a", "f1b", "f2a", "f2b", "f3", "f4").alias("features"))
-
-
-def as_byte_image(images: DataFrame) -> DataFrame:
-    """0..1 images truncated to 0..255."""
-    return images.withColumn("data", F.transform("data", lambda v: F.floor(clamp(v * 255, 0, 255)).cast("double"))).withColumn("dtype", F.lit("u8"))
+    whole(cell_size, "cell_size", 1)
+    return on_stacks(images, lambda u8, x: {"features": assembled(u8, x, cell_size)}, adds=("features",)).select("image_id", "features")

@@ -17,7 +17,6 @@ from ..functions.checks import whole
 from ..functions.pixels import clamp, let
 from ..functions.stacks import half_even_bytes, on_stacks
 from ..model import to_pixels
-from .point import threshold_global  # noqa: F401  (the strict comparison that Otsu shares)
 from .stencil import lbp_codes
 
 STATS = ("mean", "std", "min", "max", "skewness", "kurtosis", "energy", "entropy")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stacks import on_stacks
 from . import clustering, descriptors, draw, geometry, histogram, point, sampling, stencil
 
 
@@ -30,9 +31,10 @@ def process_split(annotations: DataFrame, images: DataFrame, height: int = 128,
     return preprocess(good.select(*order), height, width)
 
 
-def extract_split(images: DataFrame, height: int, width: int, cell_size: int) -> DataFrame:
+def extract_split(images: DataFrame, cell_size: int = 32) -> DataFrame:
     """(image_id, label, features) of a split's images."""
-    return descriptors.feature_vectors(images, height, width, cell_size).join(images.select("image_id", "label"), "image_id")
+    found = on_stacks(images, lambda u8, x: {"features": descriptors.assembled(u8, x, cell_size)}, adds=("features",))
+    return found.select("image_id", "label", "features")
 
 
 def showcase(images: DataFrame, text: str = "OK") -> DataFrame:

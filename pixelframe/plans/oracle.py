@@ -134,11 +134,11 @@ def moments(source: str) -> str:
     )
 
 
-def hog(source: str) -> str:
+def hog(source: str, width: int = 20) -> str:
     """CTEs up to three: block-normalised gradient histograms of cells of two pixels."""
     return f"""{gradient(source)},
-votes AS (SELECT image_id, r // 2 AS cy, c // 2 AS cx, CAST(floor(angle / 20) AS INTEGER) % 9 AS b, magnitude * (1 - (angle / 20 - floor(angle / 20))) AS v FROM sobel
-  UNION ALL SELECT image_id, r // 2, c // 2, (CAST(floor(angle / 20) AS INTEGER) + 1) % 9, magnitude * (angle / 20 - floor(angle / 20)) FROM sobel),
+votes AS (SELECT image_id, r // 2 AS cy, c // 2 AS cx, CAST(floor(angle / {width}) AS INTEGER) % 9 AS b, magnitude * (1 - (angle / {width} - floor(angle / {width}))) AS v FROM sobel
+  UNION ALL SELECT image_id, r // 2, c // 2, (CAST(floor(angle / {width}) AS INTEGER) + 1) % 9, magnitude * (angle / {width} - floor(angle / {width})) FROM sobel),
 cells AS (SELECT image_id, cy, cx, b, sum(v) AS v FROM votes GROUP BY ALL),
 places AS (SELECT i.image_id, y.i AS yy, x.i AS xx, a.i AS cy, d.i AS cx, g.i AS b FROM (SELECT DISTINCT image_id FROM {source}) i, generate_series(0, 2) y(i), generate_series(0, 2) x(i), generate_series(0, 1) a(i), generate_series(0, 1) d(i), generate_series(0, 8) g(i)),
 blocks AS (SELECT p.*, coalesce(c.v, 0) AS v FROM places p LEFT JOIN cells c ON c.image_id = p.image_id AND c.cy = p.yy + p.cy AND c.cx = p.xx + p.cx AND c.b = p.b),
@@ -221,6 +221,7 @@ ORACLES: dict[str, str] = {
     ),
     "lbp_descriptor": sql(dense("codes", "image_id", 64), LBP_CODES),
     "hog_descriptor": sql("SELECT CAST(image_id AS BIGINT) AS image_id, CAST(((yy * 3 + xx) * 4 + cy * 2 + cx) * 9 + b AS INTEGER) AS bin, round(z, 4) + 0.0 AS v FROM three", HOG),
+    "hog_signed": sql("SELECT CAST(image_id AS BIGINT) AS image_id, CAST(((yy * 3 + xx) * 4 + cy * 2 + cx) * 9 + b AS INTEGER) AS bin, round(z, 4) + 0.0 AS v FROM three", hog("gray8", 40)),
     "sobel_stats": sql("SELECT CAST(image_id AS BIGINT) AS image_id, round(avg(magnitude), 4) AS mag_mean, round(stddev_pop(magnitude), 4) AS mag_std, round(max(magnitude), 4) AS mag_max FROM sobel GROUP BY 1", GRADIENT),
     "spatial_color": sql(dense("quarters", "image_id, quadrant, ch", 16), "quarters AS (SELECT image_id, (r // 4) * 2 + c // 4 AS quadrant, ch, v FROM rgb8)"),
     "foreground_by_label": sql("SELECT CAST(label AS INTEGER) AS label, count(DISTINCT image_id) AS n_images, round(avg(CASE WHEN v > t THEN 1.0 ELSE 0.0 END), 6) AS foreground FROM gray8 JOIN otsu USING (image_id) GROUP BY label", OTSU),

@@ -82,7 +82,7 @@ def _moments(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    return bins(descriptors.feature_vectors(m.rgb8_u8(spark, sf_dir), m.SIDE, m.SIDE, 2), ["image_id"], "features", 6).withColumnRenamed("bin", "feature_idx")
+    return bins(descriptors.feature_vectors(m.rgb8_u8(spark, sf_dir), 2), ["image_id"], "features", 6).withColumnRenamed("bin", "feature_idx")
 
 
 def _selection_rows(spark, sf_dir):
@@ -276,6 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hist_equalize": on(g8, histogram.histogram_equalization),
     "lbp_descriptor": lambda s, d: bins(histogram.lbp_descriptor(g8(s, d), 64), ["image_id"], "counts", 6),
     "hog_descriptor": lambda s, d: bins(descriptors.hog_descriptor(g8(s, d), 2), ["image_id"], "hog", 4),
+    "hog_signed": lambda s, d: bins(descriptors.hog_descriptor(g8(s, d), 2, signed=True), ["image_id"], "hog", 4),
     "sobel_stats": lambda s, d: descriptors.sobel_stats(g8(s, d)).select("image_id", *[F.round(c, 4).alias(c) for c in ("mag_mean", "mag_std", "mag_max")]),
     "spatial_color": lambda s, d: bins(descriptors.spatial_color_histogram(rgb(s, d), m.SIDE, m.SIDE), ["image_id", "quadrant", "ch"], "counts", 6),
     "foreground_by_label": lambda s, d: histogram.foreground_by_label(g8(s, d)).select("label", "n_images", F.round("foreground", 6).alias("foreground")),

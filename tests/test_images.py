@@ -364,7 +364,7 @@ def test_workflows(spark, tmp_path):
     assert sorted(r["label"] for r in workflow.process_split(paths, read, 4, 4).collect()) == [0, 1]  # the flat image is left out
     done = {r["label"]: r for r in workflow.process_split(paths, read, 16, 16).collect()}  # enlarging gives it a dark border
     assert sorted(done) == [0, 1, 2] and all(r["n_channels"] == 3 and r["height"] == 16 and min(r["data"]) == 0 and max(r["data"]) == 255 for r in done.values())
-    rows = workflow.extract_split(workflow.process_split(paths, read, 16, 16), 16, 16, 4).collect()
+    rows = workflow.extract_split(workflow.process_split(paths, read, 16, 16), 4).collect()
     assert {r["label"] for r in rows} == {0, 1, 2} and {len(r["features"]) for r in rows} == {703}
     shown = workflow.showcase(images.filter("n_channels = 3")).groupBy("panel").count().collect()
     assert {r["panel"]: r["count"] for r in shown} == {"blurred": 1, "edges": 1, "segments": 1, "equalised": 1, "annotated": 1}

@@ -10,9 +10,6 @@ import __spark_entry__
 from pixelframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["to_uint8", "hflip", "convolve2d", "median_filter", "sobel", "canny", "otsu", "hist_equalize", "hog_descriptor", "resize_bilinear", "knn_sweep", "mrmr_relevance", "stratified_split", "metrics_summary", "draw_polygon", "image_roundtrip"]
-
-
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -25,7 +22,7 @@ def _rows(rows):
     return sorted(tuple((x is None, round(x, 9) if isinstance(x, float) else x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_twin(spark, duck, name):
     ours = registry.QUERIES[name](spark, SF)
     found = duck.execute(registry.ORACLES[name])
