@@ -1,68 +1,68 @@
 """k-means segmentation: every image has clusters of its own.
 
-All images run at once, each in its own row: assignment and update are array
-expressions, folded over the iterations, so there is no shuffle and no driver
-loop.  An image whose centres moved by less than the tolerance is left alone.  Centres start at the darkest pixel and then, one by one, at the pixel
-farthest from those chosen (the first in order among equals).
+All images of a stack run at once and each until its centres rest; there is no
+shuffle and no driver loop.  Centres start at the darkest pixel and then, one
+by one, at the pixel farthest from those chosen (the first in order among
+equals).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import whole
-from ..functions.pixels import known, let, typed
-
-
-def _distance(p: Column, q: Column) -> Column:
-    return F.aggregate(F.zip_with(p, q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-
-
-def _nearest(p: Column, centres: Column) -> Column:
-    """Index of the nearest centre, the first among equals."""
-    return let(F.transform(centres, lambda q: _distance(p, q)), lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)
-
-
-def _updated(points: Column, centres: Column) -> Column:
-    """Mean of each centre's points; a centre without points stays."""
-    tagged = F.transform(points, lambda p: F.struct(_nearest(p, centres).alias("k"), p.alias("p")))
-
-    def mean(centre: Column, own: Column) -> Column:
-        total = F.aggregate(own, F.transform(centre, lambda _: F.lit(0.0)), lambda s, x: F.zip_with(s, x["p"], lambda a, b: a + b))
-        return F.when(F.size(own) > 0, F.transform(total, lambda v: v / F.size(own))).otherwise(centre)
-
-    return let(tagged, lambda t: F.transform(centres, lambda centre, k: let(F.filter(t, lambda x: x["k"] == k), lambda own: mean(centre, own))))
-
-
-def _shift(before: Column, now: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(before, now, _distance), F.lit(0.0), lambda s, x: s + x))
+from ..functions.stacks import on_stacks, restored
+
+
+def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances (images, points, centres)."""
+    return np.stack([((points - centres[:, None, j]) ** 2).sum(axis=2) for j in range(centres.shape[1])], axis=2)
+
+
+def starts(points: np.ndarray, k: int) -> np.ndarray:
+    each = np.arange(len(points))
+    length = (points**2).sum(axis=2)
+    darkest = length == length.min(axis=1, keepdims=True)
+    for values in np.moveaxis(points, 2, 0):  # the least values among equals, channel by channel
+        darkest &= values == np.where(darkest, values, np.inf).min(axis=1, keepdims=True)
+    centres = points[each, darkest.argmax(axis=1)][:, None]
+    for _ in range(k - 1):
+        gap = _distances(points, centres).min(axis=2)
+        centres = np.concatenate((centres, points[each, gap.argmax(axis=1)][:, None]), axis=1)
+    return centres
+
+
+def _updated(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Mean of each centre's points, the first of the nearest; a centre without points stays."""
+    labels, new = _distances(points, centres).argmin(axis=2), centres.copy()
+    for j in range(centres.shape[1]):
+        own = labels == j
+        n, total = own.sum(axis=1), (points * own[:, :, None]).sum(axis=1)
+        new[n > 0, j] = total[n > 0] / n[n > 0, None]
+    return new
+
+
+def segmented(x: np.ndarray, u8: bool, k: int, max_iter: int, tol: float) -> dict[str, np.ndarray]:
+    points = x.reshape(len(x), -1, x.shape[3])
+    now = starts(points, k)
+    before, left = now.copy(), np.arange(len(x))
+    for _ in range(max_iter):
+        if not len(left):
+            break
+        before[left] = now[left]
+        now[left] = _updated(points[left], now[left])
+        left = left[np.sqrt(((now[left] - before[left]) ** 2).sum(axis=(1, 2))) >= tol]
+    labels = _distances(points, before).argmin(axis=2)
+    data = np.take_along_axis(now, labels[:, :, None], axis=1).reshape(x.shape)
+    return {"labels": labels.astype(float), "centres": now, "data": restored(data, u8)}
 
 
 def kmeans_segment(images: DataFrame, k: int = 3, max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
     """Adds labels (before the last update) and centres; data becomes the updated centre of each pixel."""
     whole(k, "k", 1), whole(max_iter, "max_iter", 1)
-    n = F.col("height") * F.col("width")
-    points = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("data", i * F.col("n_channels") + 1, F.col("n_channels")))
-    rows = images.withColumn("_points", points)
-    first = F.array_min(F.transform("_points", lambda p: F.struct(_distance(p, F.transform(p, lambda _: F.lit(0.0))).alias("d"), p.alias("p"))))["p"]
-
-    def farther(chosen: Column, _: Column) -> Column:
-        gaps = F.transform("_points", lambda p: F.array_min(F.transform(chosen, lambda q: _distance(p, q))))
-        return let(gaps, lambda gap: F.concat(chosen, F.array(F.get("_points", F.array_position(gap, F.array_max(gap)).cast("int") - 1))))
-
-    start = F.aggregate(F.sequence(F.lit(1), F.lit(k - 1)), F.array(first), farther) if k > 1 else F.array(first)
-    rows = rows.withColumn("_start", start)
-
-    def state(before: Column, now: Column, done: Column) -> Column:
-        return F.struct(before.alias("before"), now.alias("now"), done.alias("done"))
-
-    def step(s: Column, _: Column) -> Column:
-        moved = let(_updated(F.col("_points"), s["now"]), lambda new: state(s["now"], new, _shift(s["now"], new) < tol))
-        return F.when(s["done"], s).otherwise(moved)
-
-    rows = rows.withColumn("_end", known(F.aggregate(F.sequence(F.lit(1), F.lit(max_iter)), state(F.col("_start"), F.col("_start"), F.lit(False)), step), "_points", "_start"))
-    rows = rows.withColumn("_before", F.col("_end.before")).withColumn("centres", F.col("_end.now"))
-    rows = rows.withColumn("labels", known(F.transform("_points", lambda p: _nearest(p, F.col("_before"))), "_before"))
-    data = F.flatten(F.transform("labels", lambda x: F.transform(F.get("centres", x), lambda v: typed(F.round(v, 9), F.col("dtype")))))
-    return rows.withColumn("data", known(data, "centres", "labels")).drop("_points", "_start", "_end", "_before")
+    found = on_stacks(images, lambda u8, x: segmented(x, u8, k, max_iter, tol), adds=("labels", "centres", "data"))
+    n = F.col("n_channels")
+    centres = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.slice("centres", j * n + 1, n))
+    return found.withColumn("labels", F.col("labels").cast("array<int>")).withColumn("centres", F.when(F.col("centres").isNotNull(), centres))
