@@ -31,9 +31,11 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -47,7 +49,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing lazy reads any more."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -90,11 +106,16 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not among ids (doc_id); rows with a null id stay.
 
     Up to BROADCAST_IDS ids are broadcast, so texts stay where they are; more
-    are met by a shuffle.
+    are met by a shuffle, in hash tables of ids, so texts are never sorted.
     """
     ids = stored(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "dropped-ids")
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
+def rejected(marks: DataFrame) -> DataFrame:
+    """The ids of marks (doc_id, kept) of which no row is kept: an id that several texts share stays while one of them does."""
+    return marks.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
 
 
 def remainder(column: str, divisor: int) -> Column:
@@ -102,7 +123,7 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hint: str | None = "merge") -> DataFrame:
     """Inner join of rows with the one record of their group, safe for a group that holds most rows.
 
     Groups of more than total / HOT_SHARE rows number fewer than HOT_SHARE and
@@ -113,5 +134,5 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     small = groups.filter(F.col(size) <= least)
     keys = F.broadcast(large.select(key))
     hot = rows.join(F.broadcast(large), key)
-    cold = rows.join(keys, key, "left_anti").join(small.hint("merge"), key)
+    cold = rows.join(keys, key, "left_anti").join(small.hint(hint) if hint else small, key)
     return hot.unionByName(cold)

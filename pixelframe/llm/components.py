@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, join_groups, stored
 
 ROUNDS = 64
 
@@ -18,24 +18,35 @@ def components(edges: DataFrame) -> DataFrame:
     and to its parent, and each id takes the least of its offers and its own
     grandparent.  As whole trees are hooked and not only single ids, rounds grow
     with the logarithm of the longest chain.  All steps are joins and
-    pre-aggregated minima; nothing is gathered, and each round is stored.
+    pre-aggregated minima; nothing is gathered, and each round is stored.  An id
+    with a large share of the edges, or of the children, is met by broadcast, so
+    no star lands in one task.
     """
     both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
-    first = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least")).select("id", F.least("id", "least").alias("parent"))
-    labels = _raised(stored(first, "labels"))
+    total = both.count()
+    first = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("degree"))
+    labels = _raised(first.select("id", F.least("id", "least").alias("parent"), "degree"))
     for _ in range(ROUNDS):
-        offered = both.join(labels.select(F.col("id").alias("v"), "top"), "v").groupBy(F.col("u").alias("id")).agg(F.min("top").alias("offer"))
+        ends = labels.select(F.col("id").alias("v"), "top", "degree")
+        offered = join_groups(both, ends, "v", "degree", total, hint=None).groupBy(F.col("u").alias("id")).agg(F.min("top").alias("offer"))
         seen = labels.join(offered, "id")
-        offers = F.array(F.struct(F.col("id"), F.least("offer", "top").alias("value")), F.struct(F.col("parent").alias("id"), F.col("offer").alias("value")))
-        parents = seen.select(F.inline(offers)).groupBy("id").agg(F.min("value").alias("parent"))
-        now = _raised(stored(parents, "labels"))
-        if now.select("id", "top").join(labels.select("id", F.col("top").alias("before")), "id").filter("top <> before").isEmpty():
+        own = F.struct("id", F.least("offer", "top").alias("value"), "degree")
+        above = F.struct(F.col("parent").alias("id"), F.col("offer").alias("value"), F.lit(None).cast("long").alias("degree"))
+        now = _raised(seen.select(F.inline(F.array(own, above))).groupBy("id").agg(F.min("value").alias("parent"), F.max("degree").alias("degree")))
+        settled = now.select("id", "top").join(labels.select("id", F.col("top").alias("before")), "id").filter("top <> before").isEmpty()
+        discard(labels)
+        if settled:
+            discard(both)
             return now.select("id", F.col("top").alias("component"))
         labels = now
     raise RuntimeError("components did not settle")
 
 
 def _raised(parents: DataFrame) -> DataFrame:
-    """parents (id, parent) with top, the parent's parent."""
-    above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("top"))
-    return stored(parents.join(above, "parent").select("id", "parent", "top"), "labels")
+    """parents (id, parent, degree) with top, the parent's parent."""
+    parents = stored(parents, "parents")
+    children = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
+    above = children.join(parents.select(F.col("id").alias("parent"), F.col("parent").alias("top")), "parent")
+    raised = stored(join_groups(parents, above, "parent", "children", parents.count(), hint=None).select("id", "parent", "top", "degree"), "labels")
+    discard(parents)
+    return raised

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import join_groups, stored, table, text_of
+from .common import discard, join_groups, stored, table, text_of
 
 SHARD_KEYS = 16_384
 GAMMA = 2.0
@@ -169,7 +169,9 @@ def exact_groups(history: DataFrame, batch: DataFrame) -> DataFrame:
     shards = max(1, math.ceil(max(old.count(), new.count()) / SHARD_KEYS))
     new = new.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     groups = history_tables(old, shards).groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_probe, GROUP)
-    return groups.select("digest", F.when(F.col("named"), F.col("winner")).alias("keep_id"), "group_size", "member")
+    groups = stored(groups.select("digest", F.when(F.col("named"), F.col("winner")).alias("keep_id"), "group_size", "member"), "dedup-groups")
+    discard(old, new)
+    return groups
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history_share: float = 0.5) -> DataFrame:
@@ -182,7 +184,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = stored(digested(docs, id_col, text_col), "dedup-digests")
     border, total = digests.agg(F.percentile_approx("doc_id", history_share), F.count(F.lit(1))).first()
     old = F.coalesce(F.col("doc_id") <= F.lit(border), F.lit(True)) if history_share > 0 else F.lit(False)
-    groups = stored(exact_groups(digests.filter(old), digests.filter(~old)), "dedup-groups")
+    groups = exact_groups(digests.filter(old), digests.filter(~old))
     return join_groups(digests, groups, "digest", "group_size", total).select(
         "doc_id",
         "keep_id",

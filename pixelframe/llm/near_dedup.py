@@ -17,12 +17,14 @@ components are then checked exhaustively, in tiles of bounded size that compare
 signatures and then full sets in place and return only links that join
 components.  Nothing is capped, so no link is lost.
 
-Full sets are read by the classes that share a group with another one; they
-are stored in hash buckets of their id once, and pairs are brought to them.
+Full sets are read by the classes that share a group with another one, one set
+for each class; they are stored in hash buckets of their id once, and pairs are
+brought to them.
 
 Defined results: null texts are empty; documents without words have an empty
 set and are linked with nothing; one word is one shingle; null ids are linked
-with nothing and kept; repeated rows have the same result; empty tables give an
+with nothing and kept; repeated rows have the same result; an id that several
+texts share is one document with the links of all of them; empty tables give an
 empty result; other columns are ignored.
 """
 
@@ -40,14 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import join_groups, mapped, new_path, slices, stored, table, text_of
+from .common import discard, join_groups, mapped, new_path, remove, slices, stored, table, text_of
 from .components import components
 
 SYMBOLS = 64
 DISTANCE = 26
 CHUNKS = 14
 ROUNDS = 3
-TILE = 512
+TILE = 512  # classes of a block, and
+TILE_BYTES = 16 << 20  # bytes of their sets
 KNOWN_WORDS = 200_000
 NUMERATOR, DENOMINATOR = 80, 100
 _RANDOM = np.random.default_rng(8)
@@ -133,20 +136,28 @@ def key_rows(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").transform(mapped, run, "key long, id long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """(id, found): the sets of the given documents, stored in hash buckets of id."""
+class FullSets:
+    """(id, found): the sets of the given documents, one for each id and text, in a table of hash buckets of id until the block ends."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(x).tobytes() for x in rows.column(1).to_pylist()], pa.binary())], ["id", "found"])
+    def __init__(self, docs: DataFrame, ids: DataFrame, count: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in slices(batches):
+                found = [shingles(x).tobytes() for x in rows.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["id", "digest", "found"])
+
+        self.spark, self.name = docs.sparkSession, f"near_sets_{uuid.uuid4().hex}"
+        self.path = new_path(self.spark, "near-sets")
+        buckets = min(max(count // 4096, 12), 20_000)
+        rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(ids, "id", "left_semi")
+        sets = rows.transform(mapped, run, "id long, digest binary, found binary").repartition(buckets, "id").dropDuplicates(["id", "digest"]).drop("digest")
+        sets.write.bucketBy(buckets, "id").sortBy("id").option("path", self.path).format("parquet").saveAsTable(self.name)
+
+    def __enter__(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-    spark = docs.sparkSession
-    buckets = min(max(count // 4096, 12), 20_000)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(ids, "id", "left_semi")
-    sets = rows.transform(mapped, run, "id long, found binary").repartition(buckets, "id")
-    name = f"near_sets_{uuid.uuid4().hex}"
-    sets.write.bucketBy(buckets, "id").sortBy("id").option("path", new_path(spark, "near-sets")).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,7 +173,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one, two = sets.select(F.col("id").alias("b"), F.col("found").alias("found_b")), sets.select(F.col("id").alias("a"), F.col("found").alias("found_a"))
     carried = pairs.join(one.hint("merge"), "b").select("a", "b", "found_b")
-    return carried.join(two.hint("merge"), "a").dropDuplicates(["a", "b"]).select("a", "b", "found_a", "found_b").transform(mapped, run, "a long, b long")
+    return carried.join(two.hint("merge"), "a").select("a", "b", "found_a", "found_b").transform(mapped, run, "a long, b long")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -236,14 +247,16 @@ def _tiles(members: DataFrame, mixed: DataFrame, classes: DataFrame, sets: DataF
 
     Mixed groups of one hub form one cluster: what shares a key with the hub,
     and no chain from group to group, however far those reach.  A cluster's
-    pairs are compared in tiles of two blocks of TILE classes, so a class is
-    sent once for each block of its clusters and not once for each key or pair.
+    pairs are compared in tiles of two blocks of about TILE classes and at most
+    about TILE_BYTES of sets, so a class is sent once for each block of its
+    clusters and not once for each key or pair.
     """
-    rows = stored(join_groups(members, mixed, "key", "size", total).select("hub", "id", "component").distinct(), "near-clusters")
-    sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    rows = join_groups(members, mixed, "key", "size", total).select("hub", "id", "component").distinct()
+    rows = stored(rows.join(classes.select("id", "signature", "n_shingles"), "id"), "near-clusters")
+    sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
     rows = join_groups(rows, sizes, "hub", "size", rows.count())
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(classes.select("id", "signature"), "id").join(sets.hint("merge"), "id")
+    rows = rows.withColumn("blocks", F.ceil(F.greatest(F.col("size") / F.lit(TILE), F.col("bytes") / F.lit(TILE_BYTES))).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.hint("merge"), "id")
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("hub", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "id", "component", "block", "signature", "found")
     return rows.groupBy("hub", "one", "two").applyInPandas(_compare, "a long, b long")
@@ -260,22 +273,24 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     count = ids.count()
     if not count:
         return docs.sparkSession.createDataFrame([], "id long, component long")
-    sets = full_sets(docs, ids, count)
     edges, labels = None, None
-    for draw in range(ROUNDS + 1):
-        now = stored(_labelled(members, labels), "near-labelled")
-        if draw < ROUNDS:
-            found = confirmed(_drawn(now, total, draw), sets)
-        else:
-            mixed = stored(_mixed(now), "near-mixed")
-            if mixed.isEmpty():
-                break
-            found = _tiles(now, mixed, classes, sets, total)
-        found = stored(found, "near-links")
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+    with FullSets(docs, ids, count) as sets:
+        for draw in range(ROUNDS + 1):
+            now = stored(_labelled(members, labels), "near-labelled")
+            if draw < ROUNDS:
+                found = confirmed(_drawn(now, total, draw), sets)
+            else:
+                mixed = stored(_mixed(now), "near-mixed")
+                if mixed.isEmpty():
+                    break
+                found = _tiles(now, mixed, classes, sets, total)
+            found = stored(found, "near-links")
+            discard(now)
+            if found.isEmpty():
+                continue
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges)
+    discard(members, ids)
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "id long, component long")
 
 
@@ -283,9 +298,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     base = stored(signatures(docs), "near-signatures")
     named = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("signature").alias("signature")), "near-classes")
+    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "near-classes")
     labels = links(docs, classes)
     known = stored(classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"), "size"), "near-components")
+    discard(classes)
     linked = join_groups(named.select("doc_id", "n_shingles", "digest"), known, "digest", "size", base.count())
     alone = base.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rows = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
