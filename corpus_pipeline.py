@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); its rows are written as Parquet and
 reread as the next stage's docs.  All stages but the last return the columns of
-documents.  Rows with a null doc_id pass the stages that decide by id.
+documents.  Rows with a null doc_id pass the stages that decide by id; an id
+that several texts share stays while one of them does.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelframe.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
-from pixelframe.llm.common import stored, table, without
+from pixelframe.llm.common import discard, rejected, stored, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    return without(docs, exact_dedup.exact_dedup(docs).filter("NOT kept"))
+    return without(docs, rejected(exact_dedup.exact_dedup(docs)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
-    return without(docs, near_dedup.near_dedup(docs).filter("NOT kept"))
+    return without(docs, rejected(near_dedup.near_dedup(docs)))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
