@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from .common import mapped, HOT_SHARE, slices, stored, table, text_of
 
 MIN_PAGES = 4
-MIN_SHARE = 0.05
+MIN_SHARE = 0.02
 INSIDE_SHARE = 0.5
 INSIDE = 0x5BD1E9955BD1E995  # sets hashes of prose inside an article apart
 MOST = 0.75  # of a page's text: no subtree with as much is template
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 # fixed values: element classes of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,15 +54,30 @@ CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr".spli
 SCOPE = frozenset("html body table td th caption article section div main aside nav header footer form ul ol dl blockquote button object".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea input label dialog menu title".split())
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side-?bar|menu|nav\w*|breadcrumbs?|footer|masthead|comments?|replies|disqus|share\w*|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|pop-up|modal|overlay|paywall|skip-?link|pagination|pager|widget|toolbar)(?:$|[\s_-])",
-    re.IGNORECASE,
+HINTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments replies disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay paywall skiplink pagination pager widget widgets toolbar".split()
+)
+PLAIN = frozenset(
+    "area bar block body bottom box btn button buttons card center col column container content desktop fixed form global header head icon icons inline inner item items left link links list main mobile nag outer page pane panel post primary reader right row secondary section site slot sticky text top unit user wrap wrapper zone".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 PROSE = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tfoot tr td th figure figcaption section div span a b i em strong u s small sub sup code q cite mark abbr time font tt kbd samp var del ins big strike header hgroup details summary address center".split())
 WHOLE = (BLOCK & PROSE) - frozenset("article main li dl dt dd table tbody thead tfoot tr td th caption figcaption summary".split())
 
 
+def says_furniture(names: str) -> bool:
+    """Whether one of the class names or ids is made of words for furniture, and of nothing else but plain words and numbers.
+
+    So `ad`, `cookie-banner` and `comments_list` are, and `share-price`,
+    `related-work` and `comments-on-method` are not.
+    """
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+        if "".join(words) in HINTS or any(w in HINTS for w in words) and all(w in HINTS or w in PLAIN for w in words):
+            return True
+    return False
+
+
 class Node:
     __slots__ = ("tag", "hint", "children", "hash", "size", "holds")
 
@@ -77,13 +92,13 @@ def _furniture(tag: str, attributes: str) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
-        if value.lower() in ROLES if name.lower() == "role" else HINT.search(value):
+        if value.lower() in ROLES if name.lower() == "role" else says_furniture(value):
             return True
     return False
 
 
-def parse(page: str) -> Node:
-    """The element tree; text children are strings with references decoded."""
+def parse(page: str, lists: bool = True) -> Node:
+    """The element tree; text children are strings with references decoded. Without lists no tag, role or class is furniture."""
     root = Node("#root")
     stack = [root]
     at = 0
@@ -120,7 +135,7 @@ def parse(page: str) -> Node:
             close({"p"}, SCOPE)
         if tag in SIBLINGS:
             close(SIBLINGS[tag], frozenset({"ul", "ol", "dl", "table", "select", "menu"}))
-        node = Node(tag, _furniture(tag, found[3]))
+        node = Node(tag, lists and _furniture(tag, found[3]))
         stack[-1].children.append(node)
         if tag in VOID or found[3].endswith("/") and tag in ("svg", "path", "g"):
             continue
@@ -190,11 +205,11 @@ def _articles(root: Node, gone) -> list[Node]:
     return []
 
 
-def main_text(root: Node, template: frozenset[int]) -> str:
-    """Blocks of what is left of a hashed tree, one to a line."""
+def main_text(root: Node, template: frozenset[int], lists: bool = True) -> str:
+    """Blocks of what is left of a hashed tree, one to a line; without lists, outside articles too."""
 
     def gone(x: Node, inside: bool) -> bool:
-        if x.hint or x.tag == "header" and not inside:
+        if x.hint or lists and x.tag == "header" and not inside:
             return True
         return _removable(x, root) and (x.hash ^ INSIDE if _prose(x, inside) else x.hash) in template
 
@@ -206,7 +221,7 @@ def main_text(root: Node, template: frozenset[int]) -> str:
                 blocks.append(line)
             now.clear()
 
-    tops = _articles(root, gone)
+    tops = _articles(root, gone) if lists else []
     for top in tops or [root]:
         left: list = [(top, bool(tops))]
         while left:
@@ -231,19 +246,19 @@ def host_of(url: str = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, lists: bool = True) -> DataFrame:
     """(host, pages, hashes): subtrees that recur beside at least min_pages and min_share of the host's main texts."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             hosts, found, insides, contents = [], [], [], []
             for host, page in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                root = hash_trees(parse(page))
+                root = hash_trees(parse(page, lists))
                 mine = [(0, False), *candidates(root)]  # 0 counts the page itself
                 hosts += [host] * len(mine)
                 found += [h for h, _ in mine]
                 insides += [x for _, x in mine]
-                contents += [_digest(main_text(root, frozenset()))] * len(mine)
+                contents += [_digest(main_text(root, frozenset(), lists))] * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(insides, pa.bool_()), pa.array(contents, pa.int64())], ["host", "hash", "inside", "content"])
 
     counts = pages.select(host_of().alias("host"), text_of("html").alias("html")).transform(mapped, hashes, "host string, hash long, inside boolean, content long").groupBy("host", "hash", "inside").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("content").alias("n"))
@@ -253,9 +268,9 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     return often.filter("hash <> 0").drop("pages").join(sizes, "host").filter(F.col("n") >= F.col("contents") * F.when(F.col("inside"), max(min_share, INSIDE_SHARE)).otherwise(min_share)).groupBy("host", "pages").agg(F.collect_set("hash").alias("hashes"))
 
 
-def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(page_id, url, text, n_chars) for pages of (page_id, url, html)."""
-    templates = stored(site_templates(pages, min_pages, min_share), "site-templates")
+def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, lists: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) for pages of (page_id, url, html); without lists by recurring subtrees alone."""
+    templates = stored(site_templates(pages, min_pages, min_share, lists), "site-templates")
     least = max(pages.count() // HOT_SHARE, 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"), host_of().alias("host"))
     hot, cold = (templates.filter(x).select("host", "hashes") for x in (F.col("pages") > least, F.col("pages") <= least))
@@ -264,7 +279,7 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            texts = [main_text(hash_trees(parse(page)), frozenset(found or ())) for page, found in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist())]
+            texts = [main_text(hash_trees(parse(page, lists)), frozenset(found or ()), lists) for page, found in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return near.unionByName(far).select("page_id", "url", "html", "hashes").transform(mapped, extract, "page_id long, url string, text string, n_chars long")
