@@ -6,8 +6,9 @@ Bloom filters on doc_id let a reader skip stripes and row groups; a stripe is
 read without any other.  File bases come from the files' own totals, a number
 for each file.
 
-Rows are dealt to files by ranges of doc_id, which stay even under any hot
-source; texts are shuffled once, ids never.
+Rows are dealt to files by ranges of doc_id, and within one id of a hash of the
+text, which stay even under any hot source and any repeated id; texts are
+shuffled once, ids never.
 
 Defined results: null text is empty and has the end id only; null ids come
 first; repeated ids keep all their rows side by side; empty tables give an
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, new_path, slices, table, text_of
+from .common import mapped, new_path, slices, stored, table, text_of
 from .encoders import encoder
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
+BROADCAST_FILES = 100_000  # paths and totals: 30 MB of them
 FILE_SCHEMA = "doc_id long, at long, n_tokens long, ids array<int>"
 
 
@@ -48,8 +50,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
     (
         docs.select("doc_id", text_of().alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie")
+        .drop("tie")
         .transform(mapped, encode, FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -68,8 +72,8 @@ def open_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def file_bases(spark: SparkSession, path: str) -> DataFrame:
     """For each file the ids before it, from the files' totals: (file, base)."""
-    totals = open_tokens(spark, path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.sum("n_tokens").alias("total"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    totals = open_tokens(spark, path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.sum("n_tokens").alias("total"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"), F.max("doc_id").alias("last"))
+    before = Window.orderBy("first", F.col("last").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
 
 
@@ -84,11 +88,12 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     read = open_tokens(spark, path)
-    bases = file_bases(spark, path)
+    bases = stored(file_bases(spark, path), "file-bases")
     # one record for each file: as many as the writing tasks, whatever the rows
+    few = bases.count() <= BROADCAST_FILES
     return (
         read.select("doc_id", "at", F.col("_metadata.file_path").alias("file"), "ids")
-        .join(F.broadcast(bases), "file")
+        .join(F.broadcast(bases) if few else bases.hint("shuffle_hash"), "file")
         .select("doc_id", (F.col("at") + F.col("base")).alias("start"), F.lit(0).alias("unused"), "ids")
         .transform(mapped, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
