@@ -2,7 +2,8 @@
 
 Only rows whose crc32(doc_id as text) modulo HELD_OUT is not 0 are ever read
 with their label.  A sample has at most `most` rows, those with the least hash
-of their id, so it is the same however the tables are dealt.
+of their id, so it is the same however the tables are dealt; of those, texts
+are taken until they have SAMPLE_BYTES.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, text_of
+from .common import discard, remainder, stored, text_of
 
 HELD_OUT = 5
+SAMPLE_BYTES = 64 << 20
 
 
 def held_out() -> F.Column:
@@ -24,9 +26,17 @@ def _least(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> list:
-    """Whole texts of at most a sample's ids: the ids are bounded, so they are broadcast and no text is shuffled."""
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return rows.orderBy("doc_id").collect()
+    """Whole texts of at most a sample's ids: the ids are bounded, so they are broadcast and no text is shuffled twice."""
+    rows = stored(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "sample")
+    left, taken = SAMPLE_BYTES, []
+    for r in rows.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        left -= r["size"]
+        if left < 0 and taken:
+            break
+        taken.append(r["doc_id"])
+    found = rows.filter(F.col("doc_id").isin(taken)).orderBy("doc_id").collect() if taken else []
+    discard(rows)
+    return found
 
 
 def labels_for_training(labels: DataFrame, column: str) -> DataFrame:

@@ -179,7 +179,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> QualityModel:
     good, prior = positive_sample(docs, labels, "quality", most)
-    shapes = lambda texts: np.array([measures(x) for x in texts]).reshape(len(texts), -1)
+    shapes = lambda texts: np.array([measures(x) for x in texts]).reshape(len(texts), len(measures("")))
     positive = shapes(good)
     del good
     return train(positive, shapes(unlabelled_sample(docs, most)), prior, cuts=corpus_cuts(docs))
