@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = "32m"
 SHAPE = ("height", "width", "n_channels")
 
@@ -57,9 +58,8 @@ def on_stacks(images: DataFrame, change: Callable[..., dict[str, np.ndarray]], r
     type.  Images without data, or whose data is not of their shape, get nulls.
     """
     ship(images.sparkSession)
-    conf = images.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != BATCH_BYTES:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if LIMIT not in images.sparkSession.conf.getAll:
+        images.sparkSession.conf.set(LIMIT, BATCH_BYTES)  # where nobody has set one
     names = [*images.columns, *[c for c in adds if c not in images.columns]]
     kinds = {f.name: f.dataType for f in images.schema}
     schema = T.StructType([T.StructField(c, kinds.get(c, T.ArrayType(T.DoubleType()))) for c in names])

@@ -10,11 +10,16 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
 
 
+def _cells(pairs: DataFrame) -> DataFrame:
+    """(y_true, y_pred, n): the one pass over predictions that all reports share, as Spark reuses its shuffle."""
+    return pairs.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion_matrix(pairs: DataFrame, classes: int) -> DataFrame:
     """(y_true, y_pred, n) for all pairs of classes."""
     spark = pairs.sparkSession
     spine = spark.range(classes * classes).select(F.floor(F.col("id") / classes).cast("int").alias("y_true"), (F.col("id") % classes).cast("int").alias("y_pred"))
-    counts = pairs.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    counts = _cells(pairs)
     return spine.join(F.broadcast(counts.filter(F.col("y_true").between(0, classes - 1) & F.col("y_pred").between(0, classes - 1))), ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -38,7 +43,9 @@ def summary(pairs: DataFrame, classes: int) -> DataFrame:
     report = class_report(pairs, classes)
     weigh = lambda c: _ratio(F.sum(F.col(c) * F.col("support")), F.sum("support"))
     means = [f(c).alias(f"{kind}_{c}") for kind, f in (("macro", F.avg), ("weighted", weigh)) for c in ("precision", "recall", "f1")]
-    return accuracy(pairs).join(report.agg(*means))
+    right = F.col("y_true") == F.col("y_pred")
+    whole = _cells(pairs).agg((F.sum(F.when(right, F.col("n")).otherwise(0)) / F.sum(F.when(right.isNotNull(), F.col("n")))).alias("accuracy"))
+    return whole.join(report.agg(*means))  # one row each
 
 
 def report_json(pairs: DataFrame, classes: int, model: str) -> DataFrame:
