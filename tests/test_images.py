@@ -391,3 +391,13 @@ def test_brightness_of_a_stream_by_window(spark, tmp_path):
     query.awaitTermination(120)
     # the first window is closed by the watermark of the last row
     assert [(r["label"], r["brightness"], r["n_images"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(0, 5.0, 2)]
+
+
+def test_files_that_are_no_images(spark, tmp_path):
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    files.write_images(image(spark, [[1, 2], [3, 4]]), str(tmp_path))
+    rows = {r["error"] is None: r for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert rows[True]["data"] == [1, 2, 3, 4] and rows[False]["data"] is None and "bad.png" in rows[False]["error"]
+    assert files.read_images(spark, str(tmp_path), as_gray=True, drop_invalid=True).count() == 1
+    with pytest.raises(TypeError):
+        files.read_images(spark, 3)
