@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import rotate, translate
+from .histogram import color_histogram, lbp_descriptor
 from .point import brightness, hflip
 from .sampling import choice, order_key
 from .stencil import gaussian_filter
@@ -37,6 +38,15 @@ def with_augmented(images: DataFrame, num: int, seed: str = "augment") -> DataFr
     return images.withColumn("change", F.lit("none")).unionByName(augmented(images, num, seed))
 
 
+def feature_panel(images: DataFrame, angle: float = 15) -> DataFrame:
+    """(image_id, change, family, values): colours and patterns of every gray image as it is and turned, side by side."""
+    parts = []
+    for change, x in (("orig", images), ("rotate", rotate(images, angle))):
+        for family, found in (("colour", color_histogram(x, 32)), ("patterns", lbp_descriptor(x, 64))):
+            parts.append(found.select("image_id", F.lit(change).alias("change"), F.lit(family).alias("family"), F.col("counts").alias("values")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def panel(images: DataFrame) -> DataFrame:
     """Every image as it is and in five fixed changes."""
     changes = {"orig": images, "rotate": rotate(images, 17), "translate": translate(images, 5, 10), "blur": gaussian_filter(images, 5, 1.0), "bright": brightness(images, 30), "flip": hflip(images)}

@@ -314,6 +314,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # augmentation, clustering, drawing
     "augment": on(g8, lambda x: augment.augmented(x, 40).drop("change"), 6),
     "augment_panel": lambda s, d: totals(augment.panel(g8(s, d)), "change"),
+    "feature_panel": lambda s, d: bins(augment.feature_panel(g8(s, d)), ["image_id", "change", "family"], "values", 6),
     "with_augmented": lambda s, d: totals(augment.with_augmented(g8(s, d), 40), "change"),
     "kmeans_segment": _kmeans,
     "draw_point": on(g8, lambda x: draw.draw_point(x, 3, 4, 255, 2)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import BYTE, LBP, REPORT, RELEVANCE, SAMPLED, clamped, convolved, gathered, gauss, hog, moments, pixels, rotation, sql
+from .oracle import BYTE, LBP, LBP_CODES, REPORT, RELEVANCE, SAMPLED, clamped, convolved, gathered, gauss, hog, moments, pixels, rotation, sql
 
 SIDE = 8
 
@@ -122,6 +122,14 @@ TWINS: dict[str, str] = {
     ),
     "augment": pixels("v", f"({AUGMENTED})", digits=6, ctes=DRAWN),
     "augment_panel": sql(" UNION ALL ".join(f"SELECT '{k}' AS change, count(DISTINCT image_id) AS n_images, CAST(sum(v) AS DOUBLE) AS total FROM ({x})" for k, x in SHOWN.items())),
+    "feature_panel": sql(
+        " UNION ALL ".join(
+            f"SELECT CAST(image_id AS BIGINT) AS image_id, '{change}' AS change, '{family}' AS family, CAST(bin AS INTEGER) AS bin, round(CAST(v AS DOUBLE), 6) + 0.0 AS v FROM ({shares(source, keys, n, 'g.b')})"
+            for change, suffix in (("orig", ""), ("rotate", "_turned"))
+            for family, source, keys, n in (("colour", "gray8" + suffix, "image_id", 32), ("patterns", "codes" + suffix, "image_id", 64))
+        ),
+        f"gray8_turned AS ({TRAINED['rotate']}), {LBP_CODES}, {LBP_CODES.replace('codes AS', 'codes_turned AS').replace('gray8', 'gray8_turned')}",
+    ),
     "with_augmented": sql(
         " UNION ALL ".join(["SELECT 'none' AS change, count(DISTINCT image_id) AS n_images, CAST(sum(v) AS DOUBLE) AS total FROM gray8"] + [f"SELECT '{name}', count(DISTINCT image_id), CAST(sum(v) AS DOUBLE) FROM ({x}) JOIN drawn USING (image_id) WHERE k = {k} HAVING count(*) > 0" for k, (name, x) in enumerate(TRAINED.items())]),
         DRAWN,
