@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -80,11 +82,41 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """mapInArrow with this package sent to the workers."""
+#: what empties the memories of words that operators keep in a worker process
+FORGETS: list[Callable[[], None]] = []
+_USER = ""
+
+
+def give_back() -> None:
+    """Returns this process's free memory to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries keep what they have
+        pass
+
+
+def use_worker(user: str) -> None:
+    """Empties a worker's memories when another operator's task starts in it, and gives their space back."""
+    global _USER
+    if user != _USER:
+        for forget in FORGETS:
+            forget()
+        give_back()
+        _USER = user
+
+
+def mapped(df: DataFrame, function: Callable, schema: str, user: str = "") -> DataFrame:
+    """mapInArrow with this package sent to the workers, which forget what other operators remembered there."""
     ship(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    user = user or function.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker(user)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def filtered(df: DataFrame, judge: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
@@ -99,7 +131,7 @@ def filtered(df: DataFrame, judge: Callable[[], Callable[[list[str]], list[bool]
         for rows in slices(batches):
             yield rows.filter(pa.array(decide([x or "" for x in rows.column(at).to_pylist()]), pa.bool_()))
 
-    return mapped(df, run, df.schema)
+    return mapped(df, run, df.schema, judge.__module__)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 
 from tokenizers import Tokenizer  # noqa: E402
 
+from .common import FORGETS  # noqa: E402
+
 ODD = re.compile("[\x00\x1c-\x1f\x85᠎​⁠﻿]")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 LATIN = re.compile("[ !-~¡-¬®-įı-ɏ]+")
@@ -104,6 +106,7 @@ class ChunkEncoder:
 
 
 _OPEN: dict[tuple[str, bool], ChunkEncoder] = {}
+FORGETS.append(_OPEN.clear)
 
 
 def encoder(path: str, spaces: bool) -> ChunkEncoder:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import discard, join_groups, mapped, new_path, remove, slices, stored, table, text_of
+from .common import FORGETS, discard, join_groups, mapped, new_path, remove, slices, stored, table, text_of
 from .components import components
 
 SYMBOLS = 64
@@ -80,6 +80,7 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+FORGETS.append(_WORDS.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, remainder, slices, table, text_of
+from .common import give_back, mapped, remainder, slices, table, text_of
 from .labelled import HELD_OUT, held_out, positive_sample, unlabelled_sample
 
 SAMPLE_ROWS = 4000
@@ -182,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> QualityM
     shapes = lambda texts: np.array([measures(x) for x in texts]).reshape(len(texts), len(measures("")))
     positive = shapes(good)
     del good
-    return train(positive, shapes(unlabelled_sample(docs, most)), prior, cuts=corpus_cuts(docs))
+    model = train(positive, shapes(unlabelled_sample(docs, most)), prior, cuts=corpus_cuts(docs))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:

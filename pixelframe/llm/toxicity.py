@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filtered, mapped, slices, table, text_of
+from .common import filtered, give_back, mapped, slices, table, text_of
 from .labelled import held_out, labelled_sample
 
 SAMPLE_ROWS = 4000
@@ -163,7 +163,10 @@ def train(texts: list[str], labels: list[int], share: float | None = None, steps
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> SentenceModel:
     texts, y, share = labelled_sample(docs, labels, "toxic", most)
-    return train(texts, y, share)
+    model = train(texts, y, share)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: SentenceModel) -> DataFrame:
