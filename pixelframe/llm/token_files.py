@@ -6,8 +6,8 @@ Bloom filters on doc_id let a reader skip stripes and row groups; a stripe is
 read without any other.  File bases come from the files' own totals, a number
 for each file.
 
-Rows are dealt to files by ranges of doc_id, and within one id of a hash of the
-text, which stay even under any hot source and any repeated id; texts are
+Rows are dealt to files by ranges of doc_id, and within one id of rows,
+which stay even under any hot source and any repeated id; texts are
 shuffled once, ids never.
 
 Defined results: null text is empty and has the end id only; null ids come
@@ -50,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
     (
         docs.select("doc_id", text_of().alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
+        .withColumn("tie", F.monotonically_increasing_id())
         .repartitionByRange("doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
         .drop("tie")
