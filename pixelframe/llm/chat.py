@@ -3,7 +3,8 @@
 A turn is a role and a list of parts.  A visitor flattens the parts: text is
 escaped, while images, audio and documents become placeholders in order, with
 the attachment's reference and the number of tokens that its placeholder
-stands for.  A turn becomes one segment of the formatted conversation, which
+stands for.  Parts of any other kind become placeholders of the kind `other`;
+their own kind and reference stay in the attachments.  A turn becomes one segment of the formatted conversation, which
 is its segments one after another:
 
     <|im_start|>role\\nbody<|im_end|>\\n
@@ -42,8 +43,8 @@ SEGMENT_SCHEMA = f"conv_id long, turn long, segment string, loss array<struct<be
 READ_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long"
 START, END = "<|im_start|>", "<|im_end|>"
 #: tokens of an attachment whose part names no number
-DEFAULT_TOKENS = {"image": 256, "audio": 128, "document": 512}
-PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+DEFAULT_TOKENS = {"image": 256, "audio": 128, "document": 512, "other": 0}
+PLACEHOLDER = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*)<\|im_end\|>\n", re.DOTALL)
 
 
@@ -74,23 +75,18 @@ class Flattener:
         self.length = 0
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['kind'] or 'text'}", self.visit_unknown)(part)
+        (self.visit_text if part["kind"] in (None, "text") else self.visit_attachment)(part)
 
     def visit_text(self, part: dict) -> None:
         self.pending.append(part["text"] or "")
 
     def visit_attachment(self, part: dict) -> None:
         self.flush()
-        kind = part["kind"]
-        tokens = DEFAULT_TOKENS[kind] if part["tokens"] is None else part["tokens"]
-        self.attachments.append({"kind": kind, "ref": part["ref"], "at": self.length, "tokens": tokens})
+        kind = part["kind"] if part["kind"] in DEFAULT_TOKENS else "other"
+        tokens = DEFAULT_TOKENS[kind] if part["tokens"] is None else max(part["tokens"], 0)
+        self.attachments.append({"kind": part["kind"], "ref": part["ref"], "at": self.length, "tokens": tokens})
         self.write(f"<|{kind}:{tokens}|>")
 
-    visit_image = visit_audio = visit_document = visit_attachment
-
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"no such content part: {part['kind']}")
-
     def write(self, text: str) -> None:
         self.body.append(text)
         self.length += len(text)
