@@ -17,13 +17,14 @@ stated query set: they go to the workers in blocks of at most BLOCK_CHARS
 characters, one pass for each block, so what is broadcast has a fixed bound.
 
 Defined results: null texts match nothing, null and empty passages match
-nothing; passages too short for a q-gram are searched as they are; repeated
-passages and rows all report; empty tables give an empty result; other columns
-are ignored.
+nothing; passages under 2 Q = 16 characters, which leave the lemma no bound, are
+searched as they are wherever they begin and end between words; repeated passages and
+rows all report; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -114,6 +115,7 @@ class Matcher:
         self.budgets = np.array([edit_budget(int(n), rate) for n in self.sizes], dtype=np.int64)
         self.least = self.sizes + 1 - Q * (self.budgets + 1)
         self.short = [k for k, n in enumerate(self.sizes) if 0 < n < 2 * Q]
+        self.whole = {k: re.compile(rf"(?<!\w){re.escape(self.texts[k])}(?!\w)") for k in self.short}
         long = [k for k, n in enumerate(self.sizes) if n >= 2 * Q]
         grams = [_grams(self.points[k]) for k in long]
         keys = np.concatenate(grams) if grams else np.empty(0, np.uint64)
@@ -154,9 +156,8 @@ class Matcher:
         text = normal(text)
         out = []
         for k in self.short:
-            at = f" {text} ".find(f" {self.texts[k]} ")
-            if at >= 0:
-                out.append((self.ids[k], at, at + int(self.sizes[k]), 0, int(self.sizes[k])))
+            for found in self.whole[k].finditer(text):
+                out.append((self.ids[k], found.start(), found.end(), 0, int(self.sizes[k])))
         if not self.window or len(text) < Q:
             return out
         points = _points(text)
