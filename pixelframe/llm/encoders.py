@@ -60,11 +60,12 @@ class ChunkEncoder:
         self.split = SPACED.findall if spaces else str.split
         self.pattern = BYTE_PARTS if spaces else WORD_PARTS
         self.alphabet = byte_alphabet()
+        self.space = chr(self.alphabet[32])  # printed ASCII stands for itself
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def part(self, part: str) -> bytes:
-        spelled = part.encode().decode("latin-1").translate(self.alphabet)
+        spelled = part.replace(" ", self.space) if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
         ids = array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
         self.parts[part] = ids
         return ids
@@ -98,10 +99,10 @@ class ChunkEncoder:
             self.parts.clear()
         chunks, ready = self.split(text), self.known.get
         found = list(map(ready, chunks))
-        if None in found:
-            for k, x in enumerate(found):
-                if x is None:
-                    found[k] = ready(chunks[k]) or self.chunk(chunks[k])
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = ready(chunks[at]) or self.chunk(chunks[at])
         return b"".join(found)
 
 
