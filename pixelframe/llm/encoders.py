@@ -64,10 +64,15 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def part(self, part: str) -> bytes:
+    def tokenized(self, part: str) -> bytes:
         spelled = part.replace(" ", self.space) if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-        ids = array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
-        self.parts[part] = ids
+        return array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
+
+    def part(self, part: str) -> bytes:
+        """The ids of a pre-token that is no known part; as a chunk of its own it may be known."""
+        ids = self.known.get(part)
+        if ids is None:
+            ids = self.parts[part] = self.tokenized(part)
         return ids
 
     def cut(self, chunk: str) -> list[str] | None:
@@ -81,6 +86,13 @@ class ChunkEncoder:
         return self.pattern.findall(chunk) if LATIN.fullmatch(chunk) and not chunk.isspace() else None
 
     def chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and (chunk[1:] if self.spaces and chunk[:1] == " " else chunk).isalpha():  # a plain word is one pre-token
+            part = chunk if self.spaces else chunk.lower()
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.tokenized(part) if part == chunk else self.part(part)
+            self.known[chunk] = ids
+            return ids
         parts = self.cut(chunk)
         if parts is None:
             ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
