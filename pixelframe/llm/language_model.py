@@ -19,10 +19,10 @@ All counts and all training are over all training documents, dealt into ROUNDS
 parts.  In each round, tasks train on their tokens of one part by sampled
 noise, classes against classes and units against units of their class, from the
 same vectors; what they change is averaged by unit with the unit's counts as
-weights, in Spark.  Only units that a task met are shuffled, and one record for
-each block of units reaches the driver.
+weights, in Spark, FAN shards at a time and level by level.  Only units that a
+task met are shuffled, and one record for each block of units reaches the driver.
 
-Counts of the HEAD most frequent words are broadcast, and hashes and vectors of
+Counts of the HEAD most frequent words are broadcast, and words and vectors of
 all units.  Other words are joined with their counts by a shuffle, one row for
 each document and word.
 
@@ -34,20 +34,19 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mapped, remainder, slices, stored, table, text_of
 
 HEAD = 200_000
-UNITS_BY_ROOT = 2.0
+UNITS_BY_ROOT = 1.5
 MOST_UNITS = 1_000_000
 CLASS_WORDS = 64
 ENDINGS = 63
@@ -60,13 +59,14 @@ UNIT_NOISE = 1  # noise units to a token, of its class
 ROUNDS = 3
 BATCH = 4096
 RATE = 0.1
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS, TOKENS_A_UNIT = 2_000_000, 16  # a shard's tokens: so many, and so many for each unit, so that shuffles stay in proportion to texts
+FAN = 64  # shards whose changes one task averages
 SMALL_TOKENS, MOST_PASSES = 4_000_000, 8  # a corpus of fewer tokens is passed over more than once
 BLOCKS = 256
 SCORED = 1024  # tokens whose sums are worked out at once
 SAFE = 80.0  # scores below it have exponentials within float32
 READ_ROWS = 1024  # texts that are split at once
-KEPT_WORDS = 400_000
+KEPT_WORDS = 400_000  # while counting
 END = b""  # no word is empty
 DIVISOR, HELD_OUT = 7, 2
 
@@ -94,9 +94,8 @@ class Words(dict):
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many words each text has, and the numbers of all words in order."""
-        split = [words_of(x) for x in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        return sizes, np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
+        sizes, words = split(texts)
+        return sizes, np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def placed(sizes: np.ndarray, values: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +140,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(text_of().alias("text")).transform(mapped, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
-
-
 def last_characters() -> Column:
     return F.encode(F.substring(F.decode("word", "UTF-8"), -ENDING, ENDING), "UTF-8")
 
@@ -153,8 +148,7 @@ def last_characters() -> Column:
 class Vocabulary:
     """Units in the order of their classes: 0 is the end, shared units stand among the units of their ending."""
 
-    hashes: np.ndarray  # of words with a unit of their own, sorted
-    units: np.ndarray  # the unit of each hash
+    own: dict[bytes, int]  # the units of one word
     endings: dict[bytes, int]  # the shared unit of each listed ending
     rest: int  # the shared unit of all other rare words
     class_of: np.ndarray  # by unit
@@ -169,35 +163,29 @@ class Vocabulary:
         """Shared units: one for each listed ending, and the rest."""
         return np.array([*self.endings.values(), self.rest], np.int64)
 
+    def shared_unit(self, word: bytes) -> int:
+        """The unit of a word that has none of its own."""
+        last = word[-ENDING:]
+        return self.endings.get(last if last.isascii() else ending(word), self.rest)
+
     def of(self, words: list[bytes]) -> list[int]:
         """The unit of each word."""
-        hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
-        at = np.minimum(self.hashes.searchsorted(hashes), max(len(self.hashes) - 1, 0))
-        own = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(words), bool)
-        out = np.full(len(words), self.rest, np.int64)
-        out[own] = self.units[at[own]]
-        for k in np.flatnonzero(~own).tolist():
-            out[k] = self.endings.get(ending(words[k]), self.rest)
-        return out.tolist()
-
-
-class Lookup:
-    """Index of each word: its place among the head words, or the number of those plus its unit."""
-
-    def __init__(self, head: dict[bytes, int], vocabulary: Vocabulary):
-        self.head, self.vocabulary = head, vocabulary
-        self.words, self.index = Words(), np.zeros(0, np.int32)
-
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many words each text has, and for all words in order their numbers in self.words and their indices."""
-        if len(self.index) > KEPT_WORDS:
-            self.words.forget()
-            self.index = self.index[:0]
-        sizes, codes = self.words.read(texts)
-        new = self.words.known[len(self.index) :]
-        found = [self.head.get(w, len(self.head) + u) for w, u in zip(new, self.vocabulary.of(new))]
-        self.index = np.concatenate((self.index, np.array(found, np.int32)))
-        return sizes, codes, self.index[codes]
+        return filled(list(map(self.own.get, words)), words, self.shared_unit)
+
+
+def filled(values: list, words: list[bytes], value: Callable[[bytes], int]) -> list[int]:
+    """values with value(word) where there is none."""
+    at = -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        values[at] = value(words[at])
+    return values
+
+
+def split(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
+    """How many words each text has, and all words in order."""
+    found = [words_of(x) for x in texts]
+    return np.fromiter(map(len, found), np.int64, len(found)), list(chain.from_iterable(found))
 
 
 def least_count(counts: DataFrame, most: int) -> int:
@@ -247,10 +235,7 @@ def choose_vocabulary(counts: DataFrame, least: int) -> tuple[Vocabulary, np.nda
         classes += pieces
     flat = [x for c in classes for x in c]
     sizes = np.array([len(c) for c in classes])
-    hashed = [(word_hash(w), k) for k, (_, w) in enumerate(flat) if w]
-    hashes, units = np.array([h for h, _ in hashed], np.int64), np.array([k for _, k in hashed], np.int64)
-    order = np.argsort(hashes)
-    vocabulary = Vocabulary(hashes[order], units[order], {e: shared[e] for e in listed}, shared[None], np.repeat(np.arange(len(classes)), sizes), np.concatenate(([0], np.cumsum(sizes))))
+    vocabulary = Vocabulary({w: k for k, (_, w) in enumerate(flat) if w}, {e: shared[e] for e in listed}, shared[None], np.repeat(np.arange(len(classes)), sizes), np.concatenate(([0], np.cumsum(sizes))))
     tokens, unknown = np.array([float(x[0]) for x in flat]), np.zeros(len(flat))
     for e, k in shared.items():
         seen, once = sums.get(e, (0, 0))
@@ -434,17 +419,17 @@ def train_shard(net: Network, vocabulary: Vocabulary, noise: np.ndarray, one: np
     return units, tokens[units], changed
 
 
-CHANGES = "block int, units binary, weights binary, vectors binary, others binary"
+CHANGES = "block int, shard int, units binary, weights binary, vectors binary, others binary"
 
 
 def _average(found: pa.Table) -> pa.Table:
-    """Changes of one block of units, averaged with their tokens (and one) as weights; those of places and classes are block BLOCKS."""
-    block = found.column("block")[0].as_py()
-    rows = list(zip(*(found.column(k).to_pylist() for k in range(1, 5))))
+    """Changes of one block of units, averaged with their weights (tokens and one), which add up; those of places and classes are block BLOCKS."""
+    block, shard = (found.column(k)[0].as_py() for k in range(2))
+    rows = list(zip(*(found.column(k).to_pylist() for k in range(2, 6))))
     weights = [np.frombuffer(r[1], np.float32) for r in rows]
     if block == BLOCKS:
-        total = sum(w[0] for w in weights)
-        vectors = sum(w[0] / total * np.frombuffer(r[2], np.float32) for w, r in zip(weights, rows)).astype(np.float32)
+        total = np.array([sum(float(w[0]) for w in weights)], np.float32)
+        vectors = sum(w[0] / total[0] * np.frombuffer(r[2], np.float32) for w, r in zip(weights, rows)).astype(np.float32)
         units, others = np.zeros(0, np.int32), sum(np.frombuffer(r[3], np.float32) for r in rows)
     else:
         units, place = np.unique(np.concatenate([np.frombuffer(r[0], np.int32) for r in rows]), return_inverse=True)
@@ -459,43 +444,57 @@ def _average(found: pa.Table) -> pa.Table:
             gained[mine] += other[:, 1:]
         sums /= total[:, None]
         vectors, others = sums[:, :-1].astype(np.float16), np.concatenate((sums[:, -1:], gained), axis=1)
-    return pa.table({"block": pa.array([block], pa.int32()), "units": [units.astype(np.int32).tobytes()], "weights": [b""], "vectors": [vectors.tobytes()], "others": [others.astype(np.float32).tobytes()]})
+    parts = (units.astype(np.int32), total, vectors, others.astype(np.float32))
+    return pa.table({"block": pa.array([block], pa.int32()), "shard": pa.array([shard], pa.int32())} | {name: [x.tobytes()] for name, x in zip(("units", "weights", "vectors", "others"), parts)})
+
+
+def averaged(changes: DataFrame, shards: int, fan: int = FAN) -> DataFrame:
+    """One record for each block; no task averages more than about fan of shards changes."""
+    while shards > 1:
+        shards = -(-shards // fan)
+        changes = changes.withColumn("shard", F.pmod("shard", F.lit(shards)).cast("int")).groupBy("block", "shard").applyInArrow(_average, CHANGES)
+    return changes
 
 
 def train_round(docs: DataFrame, vocabulary: Vocabulary, net: Network, noise: np.ndarray, seed: int, passes: int) -> None:
     """Trains net on all texts of docs."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net, noise))
+    most = max(SHARD_TOKENS, TOKENS_A_UNIT * vocabulary.size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         vocabulary, net, noise = shared.value
-        unit = Lookup({}, vocabulary)
-        texts, size = [], 0
+        texts, size, made = [], 0, 0
 
         def shard() -> pa.RecordBatch:
+            nonlocal made
             one, two, target = (np.concatenate(x) for x in zip(*texts))
             texts.clear()
+            number, made = (TaskContext.get().partitionId() + 7919 * made) % (1 << 30), made + 1
             units, n, changed = train_shard(net, vocabulary, noise, one, two, target, seed, passes)
             others = np.concatenate((changed.bias[:, None], changed.used), axis=1).astype(np.float32)
             vectors = np.concatenate((changed.context, changed.target), axis=1).astype(np.float16)
-            rows = [(k, units[m].astype(np.int32).tobytes(), (n[m] + 1).astype(np.float32).tobytes(), vectors[m].tobytes(), others[m].tobytes()) for k in range(BLOCKS) if (m := units % BLOCKS == k).any()]
+            rows = [(k, number, units[m].astype(np.int32).tobytes(), (n[m] + 1).astype(np.float32).tobytes(), vectors[m].tobytes(), others[m].tobytes()) for k in range(BLOCKS) if (m := units % BLOCKS == k).any()]
             dense = np.concatenate((changed.places.ravel(), changed.classes.ravel())).astype(np.float32)
-            rows.append((BLOCKS, b"", np.array([len(target)], np.float32).tobytes(), dense.tobytes(), changed.class_used.astype(np.float32).tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "units", "weights", "vectors", "others"])
+            rows.append((BLOCKS, number, b"", np.array([len(target)], np.float32).tobytes(), dense.tobytes(), changed.class_used.astype(np.float32).tobytes()))
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "shard", "units", "weights", "vectors", "others"])
 
         for rows in slices(batches, READ_ROWS):
-            sizes, _, units = unit.read(rows.column(0).to_pylist())
-            units, at = placed(sizes, units, 0)
+            sizes, words = split(rows.column(0).to_pylist())
+            units, at = placed(sizes, np.array(vocabulary.of(words), np.int32), 0)
             texts.append((units[at - 2], units[at - 1], units[at]))
             size += len(at)
-            if size > SHARD_TOKENS:
+            if size > most:
                 yield shard()
                 size = 0
         if texts:
             yield shard()
 
-    changes = docs.select(text_of().alias("text")).transform(mapped, run, CHANGES)
-    for r in changes.groupBy("block").applyInArrow(_average, CHANGES).toArrow().to_pylist():
+    texts = docs.select(text_of().alias("text"))
+    shards = texts.rdd.getNumPartitions() + int(noise.sum() // most)
+    for r in averaged(texts.transform(mapped, run, CHANGES), shards).toArrow().to_pylist():
         units = np.frombuffer(r["units"], np.int32)
         if r["block"] == BLOCKS:
             dense = np.frombuffer(r["vectors"], np.float32)
@@ -524,11 +523,11 @@ def fit_network(learnt: DataFrame, vocabulary: Vocabulary, tokens: np.ndarray, r
 
 @dataclass
 class Tables:
-    """What scoring needs of the corpus: words up to HEAD, and all units."""
+    """What scoring needs of the corpus: words up to HEAD, and all units. A word's index is its place among the former, or their number plus its unit."""
 
     head: dict[bytes, int]
     vocabulary: Vocabulary
-    unit_of: np.ndarray  # by index of Lookup
+    unit_of: np.ndarray  # by index
     base_of: np.ndarray  # log10 base score; 0 where the word is joined with its count later
     share_of: np.ndarray  # log10 share of the word in its unit; 0 where it is joined later
     known_of: np.ndarray
@@ -552,12 +551,12 @@ def score_parts(docs: DataFrame, tables: Tables) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        lookup, moved, limit = Lookup(t.head, t.vocabulary), t.network.moved(), len(t.head)
-        end = t.head[END]
+        moved, limit, end = t.network.moved(), len(t.head), t.head[END]
+        place = lambda word: limit + (t.vocabulary.own.get(word) or t.vocabulary.shared_unit(word))
         for rows in slices(batches, READ_ROWS):
             found = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            sizes, codes, index = lookup.read(rows.column(2).to_pylist())
-            index, at = placed(sizes, index, end)
+            sizes, words = split(rows.column(2).to_pylist())
+            index, at = placed(sizes, np.array(filled(list(map(t.head.get, words)), words, place), np.int32), end)
             unit, index = t.unit_of[index], index[at]
             logs = t.network.log_probabilities(t.vocabulary, moved, unit[at - 2], unit[at - 1], unit[at]) / np.log(10) + t.share_of[index]
             starts = np.cumsum(sizes + 1) - (sizes + 1)
@@ -568,10 +567,10 @@ def score_parts(docs: DataFrame, tables: Tables) -> DataFrame:
             # the other words, once for each text they are in
             rare = np.flatnonzero(index >= limit)
             owner = np.searchsorted(starts, rare, side="right") - 1
-            met = lookup.words.known
-            pairs, first, times = np.unique(owner * (len(met) + 1) + codes[rare - owner], return_index=True, return_counts=True)
-            distinct, place = np.unique(pairs % (len(met) + 1), return_inverse=True)
-            words = pa.array([met[k] for k in distinct.tolist()], pa.binary()).take(pa.array(place))
+            met: dict[bytes, int] = {}
+            codes = np.array([met.setdefault(words[k], len(met)) for k in (rare - owner).tolist()], np.int64)
+            pairs, first, times = np.unique(owner * (len(met) + 1) + codes, return_index=True, return_counts=True)
+            words = pa.array(met, pa.binary()).take(pa.array(pairs % (len(met) + 1)))
             none = np.zeros(len(pairs), np.int64)
             parts = (np.array(found[0], np.int64)[pairs // (len(met) + 1)], pa.nulls(len(pairs), pa.int64()), words, t.shared_of[unit[at[rare[first]]]], times, none, none, 0.0 * none, 0.0 * none)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x).cast(k) for x, k in zip(parts, kinds)], names)

@@ -557,11 +557,9 @@ def tiny_model(seed=3):
     """A vocabulary of 40 units in 9 classes with a network of random numbers."""
     r = np.random.default_rng(seed)
     first = np.array([0, 1, 2, 3, 9, 15, 20, 29, 36, 40])
-    words = [b"word%d" % k for k in range(30)]
-    units = np.array([k for k in range(1, 40) if k not in (8, 14, 19, 28, 35, 39)][:30])
-    hashes = np.array([language_model.word_hash(w) for w in words])
-    order = np.argsort(hashes)
-    vocabulary = language_model.Vocabulary(hashes[order], units[order], {b"aa": 8, b"bb": 14}, 39, np.repeat(np.arange(9), np.diff(first)), first)
+    own = {b"word%d" % k: u for k, u in enumerate(u for u in range(1, 40) if u not in (8, 14, 39))}
+    vocabulary = language_model.Vocabulary(own, {b"aa": 8, "éb".encode(): 14}, 39, np.repeat(np.arange(9), np.diff(first)), first)
+    assert vocabulary.of([b"word1", b"baa", "aéb".encode(), b"b", "é".encode(), b"word0"]) == [2, 8, 14, 39, 39, 1]
     net = language_model.Network.start(vocabulary, r.random(40) + 0.1)
     for x in (net.context, net.target, net.bias, net.places, net.classes):
         x += r.standard_normal(x.shape).astype(np.float32)
