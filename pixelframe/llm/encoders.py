@@ -28,8 +28,7 @@ ODD = re.compile("[\x00\x1c-\x1f\x85᠎​⁠﻿]")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 LATIN = re.compile("[ !-~¡-¬®-įı-ɏ]+")
 MARKS = ".,;:!?"
-KNOWN_CHUNKS = 800_000
-KNOWN_PARTS = 600_000
+KNOWN = 800_000  # chunks that a worker remembers, and three quarters as many pre-tokens
 
 # fixed values: the pre-token patterns of the two vocabularies, and the byte alphabet of byte-level BPE
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -50,7 +49,8 @@ class ChunkEncoder:
     vocabularies); False where the vocabulary drops it and lower-cases.
     """
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, most: int = KNOWN):
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
@@ -105,9 +105,9 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         if ODD.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.known) > KNOWN_CHUNKS:
+        if len(self.known) > self.most:
             self.known.clear()
-        if len(self.parts) > KNOWN_PARTS:
+        if 4 * len(self.parts) > 3 * self.most:
             self.parts.clear()
         chunks, ready = self.split(text), self.known.get
         found = list(map(ready, chunks))
@@ -122,8 +122,9 @@ _OPEN: dict[tuple[str, bool], ChunkEncoder] = {}
 FORGETS.append(_OPEN.clear)
 
 
-def encoder(path: str, spaces: bool) -> ChunkEncoder:
-    """One encoder for each vocabulary and worker process."""
+def encoder(path: str, spaces: bool, most: int = KNOWN) -> ChunkEncoder:
+    """One encoder for each vocabulary and worker process; most: chunks that it remembers."""
     if (path, spaces) not in _OPEN:
         _OPEN[path, spaces] = ChunkEncoder(path, spaces)
+    _OPEN[path, spaces].most = most
     return _OPEN[path, spaces]

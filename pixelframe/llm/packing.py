@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mapped, slices, stored, table, text_of
-from .encoders import encoder
+from .encoders import KNOWN, encoder
 
 END_ID = 2
 LENGTH = 1024
@@ -153,16 +153,17 @@ def plan_bins(counts: dict[int, int], cap: Capacity = Capacity()) -> Plan:
     return Plan(dict(runs), used)
 
 
-def split_pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, length: int = LENGTH, spaces: bool = True) -> DataFrame:
+def split_pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, length: int = LENGTH, spaces: bool = True, known: int = KNOWN) -> DataFrame:
     """Encodes whole texts and cuts what is longer than a sequence; one row for each piece.
 
     task and nth: the input task and the piece's rank in it among those of its length.
+    known: chunks of texts that a worker remembers; fewer take less memory and more time.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, end, task = encoder(vocabulary, spaces), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        codec, end, task = encoder(vocabulary, spaces, known), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, dtype=np.int64)
         for rows in slices(batches):
             out = []
@@ -228,9 +229,9 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
-def packed_documents(docs: DataFrame, vocabulary: str | None = None, cap: Capacity = Capacity()) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str | None = None, cap: Capacity = Capacity(), known: int = KNOWN) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return pack(stored(split_pieces(docs, vocabulary, length=cap.tokens), "pieces"), cap)
+    return pack(stored(split_pieces(docs, vocabulary, length=cap.tokens, known=known), "pieces"), cap)
