@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelframe.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from pixelframe.llm.common import discard, rejected, stored, table, without
 
+#: chunks of texts that a worker remembers in the last stage
+KNOWN_CHUNKS = 200_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model scores below one half; it learns from the labels of the documents at hand."""
@@ -35,8 +38,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
-    return packing.packed_documents(docs)
+    """Pieces of all documents with their places in sequences.
+
+    Workers remember fewer chunks than when packing is all they do: executors
+    hold what earlier stages have left.
+    """
+    return packing.packed_documents(docs, known=KNOWN_CHUNKS)
 
 
 STAGES = [
