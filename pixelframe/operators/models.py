@@ -1,13 +1,17 @@
 """Softmax regression and a small convolutional network.
 
-Weights are small and live on the driver; each step sends them to the tasks,
-which return summed gradients, one record for each task.  Rows stay where they
-are.  Optimiser state, learning rates and stopping follow the epoch's totals.
+Weights are small and live on the driver.  Each full-batch step sends them to
+the tasks, which return summed gradients, one record for each task.  Minibatches
+follow one another, so they are not a job each: rows are dealt once into blocks
+of at most about BLOCK_BYTES, and a task takes all steps of a block and hands
+weights, optimiser state and the rows that fill no minibatch to the task of the
+next block.  Learning rates and stopping follow the epoch's totals.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -20,8 +24,11 @@ from pyspark.sql import functions as F
 from ..functions.checks import positive
 from ..functions.pixels import let
 from ..ship import ship
+from ..sources.scratch import remove, scratch_path
 
 Weights = dict[str, np.ndarray]
+#: features of the rows that one task walks, as doubles
+BLOCK_BYTES = 16 << 20
 
 
 class Rule(NamedTuple):
@@ -139,28 +146,119 @@ def _matrix(rows: pa.RecordBatch, column: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
 
 
-def _totals(rows: DataFrame, model, weights: Weights, with_gradient: bool) -> tuple[int, float, int, np.ndarray]:
-    """Row count, loss, right answers and the gradient's sum over rows (label, features), as one vector."""
-    ship(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+CHUNK = "labels binary, features binary"
+
+
+def _numbers(chunk: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features and labels of a CHUNK."""
+    return np.frombuffer(chunk["features"]).reshape(-1, width), np.frombuffer(chunk["labels"], np.int32)
+
+
+def _chunk(rows: pa.RecordBatch | pa.Table, order: np.ndarray | slice = slice(None)) -> list[bytes]:
+    """Labels and features of rows (label, features) as a CHUNK's bytes."""
+    labels = rows.column("label").to_numpy()
+    values = rows.column("features")
+    values = (values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values).flatten().to_numpy(zero_copy_only=False)
+    return [x[order].tobytes() for x in (labels.astype(np.int32), values.astype(float).reshape(len(labels), -1))]
+
+
+def _typed(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select(F.col("label").cast("int").alias("label"), F.col("features").cast("array<double>").alias("features"), *more)
+
+
+def _stored_chunks(rows: DataFrame) -> str:
+    """The path of rows (label, features) as CHUNKs, where they are: epochs read numbers and not columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, loss, right, total = 0, 0.0, 0, None
         for batch in batches:
             if batch.num_rows:
-                a, b, g = model.gradients(shared.value, _matrix(batch, 1), batch.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _chunk(batch)], ["labels", "features"])
+
+    path = scratch_path(rows.sparkSession, "training-rows")
+    _typed(rows).mapInArrow(run, CHUNK).write.parquet(path)
+    return path
+
+
+def _dealt(rows: DataFrame) -> Column:
+    """A hash that tells rows with equal features apart where they have ids."""
+    return F.xxhash64(*[c for c in ("id", "label", "features") if c in rows.columns])
+
+
+def _stored_blocks(rows: DataFrame, blocks: int) -> tuple[str, list[str]]:
+    """Rows dealt at random into blocks, one CHUNK each: the path of all, and those of the blocks."""
+
+    def run(found: pa.Table) -> pa.Table:
+        order = np.argsort(found.column("order").to_numpy(), kind="stable")
+        return pa.table({"block": [found.column("block")[0]]} | {k: pa.array([x], pa.binary()) for k, x in zip(("labels", "features"), _chunk(found, order))}, pa.schema([("block", pa.int32()), ("labels", pa.binary()), ("features", pa.binary())]))
+
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "training-blocks")
+    key = _dealt(rows)
+    dealt = _typed(rows, F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.xxhash64(key).alias("order"))
+    dealt.groupBy("block").applyInArrow(run, f"block int, {CHUNK}").write.partitionBy("block").parquet(path)
+    found = sorted(r["block"] for r in spark.read.schema("block int").parquet(path).distinct().collect())
+    return path, [f"{path}/block={k}" for k in found]
+
+
+def _totals(spark: SparkSession, path: str, width: int, model, weights: Weights, with_gradient: bool) -> tuple[int, float, int, np.ndarray]:
+    """Row count, loss, right answers and the gradient's sum over the stored CHUNKs, as one vector."""
+    shared = spark.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, loss, right, total = 0, 0.0, 0, None
+        for batch in batches:
+            for chunk in batch.to_pylist():
+                x, labels = _numbers(chunk, width)
+                a, b, g = model.gradients(shared.value, x, labels)
                 flat = flattened(g) if with_gradient else np.empty(0)
-                n, loss, right, total = n + batch.num_rows, loss + a, right + b, flat if total is None else total + flat
+                n, loss, right, total = n + len(labels), loss + a, right + b, flat if total is None else total + flat
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([right]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "loss", "right", "g"])
 
     n, loss, right, total = 0, 0.0, 0, np.zeros(0)
-    for r in rows.select(F.col("label").cast("int"), F.col("features").cast("array<double>")).mapInArrow(run, "n long, loss double, right long, g array<double>").collect():  # one record for each task
+    for r in spark.read.schema(CHUNK).parquet(path).mapInArrow(run, "n long, loss double, right long, g array<double>").collect():  # one record for each task
         n, loss, right, total = n + r["n"], loss + r["loss"], right + r["right"], np.array(r["g"]) + (total if len(total) else 0)
     shared.unpersist()
     return n, loss, right, total
 
 
+class Walk(NamedTuple):
+    """Where a run over minibatches stands: weights, the optimiser's state, and rows that fill no minibatch yet."""
+
+    w: np.ndarray
+    state: object
+    x: np.ndarray
+    labels: np.ndarray
+
+
+def _moved(rule: Rule, state, w: np.ndarray, g: np.ndarray, n: int, decay: np.ndarray, clip: float | None):
+    """State and weights after a step along the summed gradient of n rows."""
+    g = g / n + decay * w
+    return rule.step(state, w, np.clip(g, -clip, clip) if clip else g)
+
+
+def _walked(spark: SparkSession, path: str, model, first: Weights, walk: Walk, size: int, last: bool, seed: tuple[int, int], step: Callable) -> tuple[int, float, int, Walk]:
+    """Minibatches of `size` rows over a stored block in random order, one step each; the last block leaves no rows over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in (c for batch in batches for c in batch.to_pylist()):
+            x, labels = _numbers(chunk, walk.x.shape[1])
+            order = np.random.default_rng(seed).permutation(len(labels))
+            x, labels = np.concatenate((walk.x, x[order])), np.concatenate((walk.labels, labels[order]))
+            state, flat, loss, right = walk.state, walk.w.copy(), 0.0, 0
+            weights = shaped(flat, first)  # views: they follow flat
+            end = len(labels) if last else len(labels) // size * size
+            for at in range(0, end, size):
+                mine = slice(at, min(at + size, end))
+                a, b, g = model.gradients(weights, x[mine], labels[mine])
+                state, flat[:] = step(state, flat, flattened(g), mine.stop - at)
+                loss, right = loss + a, right + b
+            done = pickle.dumps((end, loss, right, Walk(flat, state, x[end:].copy(), labels[end:].copy())))
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], ["walk"])
+
+    (row,) = spark.read.schema(CHUNK).parquet(path).mapInArrow(run, "walk binary").collect()
+    return pickle.loads(row["walk"])
+
+
 @dataclass
 class Training:
     weights: Weights
@@ -171,32 +269,60 @@ LOG_SCHEMA = "epoch int, train_loss double, val_loss double, train_acc double, v
 
 
 def fit(model, train: DataFrame, val: DataFrame, rule: Rule, epochs: int = 10, decay: float = 1e-3, clip: float | None = 1.0, patience: int = 15, batches: int = 1) -> Training:
-    """Minibatches are the remainders of a hash of the row; stops when the validation loss has not fallen for `patience` epochs and then takes the best weights back."""
-    first = model.weights
-    w, state = flattened(first), None
+    """Stops when the validation loss has not fallen for `patience` epochs and then takes the best weights back.
+
+    Rows go in `batches` minibatches of one size, the last of which may be
+    smaller: rows are dealt into blocks by a hash, and every epoch takes the
+    blocks, and the rows of each, in a new random order.  Minibatches beyond a
+    block are the remainders of that hash, and their gradients are summed where
+    their rows are.
+    """
+    spark, first = train.sparkSession, model.weights
+    ship(spark)
+    rows, width = train.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    width = max(width or 0, 1)
+    size = -(-max(rows, 1) // batches)
+    blocks, paths = [], [_stored_chunks(val)]
+    if batches == 1 or 8 * width * size > BLOCK_BYTES:
+        part = F.pmod(_dealt(train), F.lit(batches))
+        paths += [_stored_chunks(train.filter(part == k) if batches > 1 else train) for k in range(batches)]
+    else:
+        whole, blocks = _stored_blocks(train, -(-8 * width * rows // BLOCK_BYTES) or 1)
+        paths.append(whole)
     decayed = flattened({k: np.full(x.shape, float(k in ("W", "K"))) for k, x in first.items()})
+    step = lambda state, w, g, n: _moved(rule, state, w, g, n, decay * decayed, clip)
+    w, state = flattened(first), None
     best, best_loss, waited, log = w, np.inf, 0, []
-    part = F.pmod(F.xxhash64("features"), F.lit(batches))
-    for epoch in range(1, epochs + 1):
-        seen, loss, right = 0, 0.0, 0
-        for k in range(batches):
-            n, a, b, g = _totals(train.filter(part == k) if batches > 1 else train, model, shaped(w, first), True)
-            if not n:
-                continue
-            seen, loss, right = seen + n, loss + a, right + b
-            g = g / n + decay * decayed * w
-            state, w = rule.step(state, w, np.clip(g, -clip, clip) if clip else g)
-        m, val_loss, val_right, _ = _totals(val, model, shaped(w, first), False)
-        penalty = decay / 2 * float((decayed * w * w).sum())
-        val_loss = val_loss / max(m, 1) + penalty
-        log.append((epoch, loss / max(seen, 1) + penalty, val_loss, right / max(seen, 1), val_right / max(m, 1), float(rule.rate)))
-        if val_loss < best_loss:
-            best, best_loss, waited = w, val_loss, 0
-        else:
-            waited += 1
-            if waited >= patience:
-                return Training(shaped(best, first), log)
-    return Training(shaped(w, first), log)
+    try:
+        for epoch in range(1, epochs + 1):
+            seen, loss, right = 0, 0.0, 0
+            if blocks:
+                walk = Walk(w, state, np.empty((0, width)), np.empty(0, np.int32))
+                order = np.random.default_rng(epoch).permutation(len(blocks)).tolist()
+                for k in order:
+                    n, a, b, walk = _walked(spark, blocks[k], model, first, walk, size, k == order[-1], (epoch, k), step)
+                    seen, loss, right = seen + n, loss + a, right + b
+                w, state = walk.w, walk.state
+            else:
+                for path in paths[1:]:
+                    n, a, b, g = _totals(spark, path, width, model, shaped(w, first), True)
+                    if n:
+                        seen, loss, right = seen + n, loss + a, right + b
+                        state, w = step(state, w, g, n)
+            m, val_loss, val_right, _ = _totals(spark, paths[0], width, model, shaped(w, first), False)
+            penalty = decay / 2 * float((decayed * w * w).sum())
+            val_loss = val_loss / max(m, 1) + penalty
+            log.append((epoch, loss / max(seen, 1) + penalty, val_loss, right / max(seen, 1), val_right / max(m, 1), float(rule.rate)))
+            if val_loss < best_loss:
+                best, best_loss, waited = w, val_loss, 0
+            else:
+                waited += 1
+                if waited >= patience:
+                    return Training(shaped(best, first), log)
+        return Training(shaped(w, first), log)
+    finally:
+        for path in paths:
+            remove(spark, path)
 
 
 def probabilities(rows: DataFrame, model, weights: Weights) -> DataFrame:

@@ -223,6 +223,57 @@ def test_models_learn(spark):
     assert metrics.accuracy(models.predict(rows, net, done.weights)).first()[0] > 0.95
 
 
+def test_minibatches_are_whole_and_need_no_job_each(spark, monkeypatch):
+    """Every row once an epoch, all minibatches but the last of one size, over several blocks; copies too."""
+
+    class Counting:
+        """Loss: the sum of the rows' ids; right: 1 for each minibatch of 10 rows; gradient: the rows."""
+
+        weights = {"W": np.zeros(2)}
+
+        def gradients(self, weights, x, labels):
+            assert len(x) == len(labels) and (x[:, 1] == 7).all()
+            return float(x[:, 0].sum()), int(len(x) == 10), {"W": np.array([float(len(x)), 0.0])}
+
+    rows = spark.createDataFrame([(i, 0, [float(i // 3), 7.0]) for i in range(203)], "id long, label int, features array<double>")
+    total = sum(i // 3 for i in range(203))
+    for bytes_a_block in (16 * 30, 16 << 20):
+        monkeypatch.setattr(models, "BLOCK_BYTES", bytes_a_block)
+        spark.sparkContext.setJobGroup("minibatches", "minibatches")
+        steps = models.Rule(1.0, lambda state, w, g: ((state or 0) + 1, w + g / g[0]))
+        done = models.fit(Counting(), rows, rows.limit(10), steps, epochs=3, decay=0.0, clip=None, batches=21)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("minibatches"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert [r[1] * 203 for r in done.log] == pytest.approx([total] * 3) and [r[3] * 203 for r in done.log] == pytest.approx([20] * 3)
+        assert done.weights["W"][0] == 63  # 21 steps an epoch
+        assert jobs < 3 * 21
+
+
+@pytest.mark.parametrize("net", [models.SoftmaxModel(16, 3), models.ConvModel(4, 2, 3)])
+def test_minibatch_steps_follow_each_other(spark, monkeypatch, net):
+    """Weights equal those of a plain loop over the same order of rows; large minibatches are summed over tasks."""
+    r = np.random.default_rng(4)
+    x, y = r.standard_normal((90, 16)), r.integers(0, 3, 90)
+    rows = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(y, x))], "id long, label int, features array<double>")
+    key = models._dealt(rows)
+    dealt = [(a["id"], a["key"]) for a in rows.select("id", models.F.xxhash64(key).alias("key")).collect()]
+    base = np.array([i for i, _ in sorted(dealt, key=lambda a: a[1])])
+    first, rule = net.weights, models.adam(0.01)
+    w, state = models.flattened(first), None
+    decayed = models.flattened({k: np.full(v.shape, float(k in ("W", "K"))) for k, v in first.items()})
+    for epoch in (1, 2):
+        order = base[np.random.default_rng((epoch, 0)).permutation(90)]
+        for at in range(0, 90, 9):
+            mine = order[at : at + 9]
+            g = models.flattened(net.gradients(models.shaped(w, first), x[mine], y[mine])[2])
+            state, w = rule.step(state, w, np.clip(g / 9 + 1e-3 * decayed * w, -1, 1))
+    done = models.fit(net, rows, rows, rule, epochs=2, batches=10)
+    assert np.allclose(models.flattened(done.weights), w)
+    monkeypatch.setattr(models, "BLOCK_BYTES", 8)
+    far = models.fit(net, rows, rows, rule, epochs=2, batches=2)
+    assert far.log[1][1] < far.log[0][1] + 0.5 and all(np.isfinite(v).all() for v in far.weights.values())
+
+
 def test_conv_gradients():
     net = models.ConvModel(4, 2, 3)
     r = np.random.default_rng(2)
