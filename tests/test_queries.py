@@ -53,3 +53,13 @@ def test_training_is_as_long_as_the_reference(spark, monkeypatch, name, epochs,
         registry.QUERIES[name](spark, SF)
     assert seen["epochs"] == epochs and seen["patience"] == patience and 24 <= seen["rows"] / seen["batches"] <= 32
     assert name == "softmax_train" or len(seen["net"].weights["K"]) == 8
+
+
+def test_softmax_training_takes_few_jobs(spark):
+    spark.sparkContext.setJobGroup("softmax", "softmax")
+    log = registry.QUERIES["softmax_train"](spark, SF).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("softmax"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    train, _ = registry.train_test(spark, SF)
+    assert jobs < len(log) * registry._minibatches(train) / 2
+    assert [r["epoch"] for r in sorted(log)] == list(range(1, len(log) + 1)) and min(r["train_loss"] for r in log) < log[0]["train_loss"]
