@@ -34,12 +34,13 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ SMALL_TOKENS, MOST_PASSES = 4_000_000, 8  # a corpus of fewer tokens is passed o
 BLOCKS = 256
 SCORED = 1024  # tokens whose sums are worked out at once
 SAFE = 80.0  # scores below it have exponentials within float32
-READ_ROWS = 1024  # texts that are split at once
+READ_ROWS = 1024  # texts that are split at once, and whose distinct words are looked up
 KEPT_WORDS = 400_000  # while counting
 END = b""  # no word is empty
 DIVISOR, HELD_OUT = 7, 2
@@ -92,10 +93,10 @@ class Words(dict):
         self.clear()
         self.known = []
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many words each text has, and the numbers of all words in order."""
-        sizes, words = split(texts)
-        return sizes, np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        sizes, codes, words = split(texts)
+        return sizes, np.fromiter(map(self.__getitem__, bytes_of(words)), np.int32, len(words))[codes]
 
 
 def placed(sizes: np.ndarray, values: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +127,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         words, counts, ends = Words(), np.zeros(0, np.int64), 0
         batch = lambda found, n: pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
         for rows in slices(batches, READ_ROWS):
-            _, codes = words.read(rows.column(0).to_pylist())
+            _, codes = words.read(rows.column(0))
             found = np.bincount(codes, minlength=len(words.known))
             found[: len(counts)] += counts
             counts, ends = found, ends + rows.num_rows
@@ -163,29 +164,42 @@ class Vocabulary:
         """Shared units: one for each listed ending, and the rest."""
         return np.array([*self.endings.values(), self.rest], np.int64)
 
-    def shared_unit(self, word: bytes) -> int:
-        """The unit of a word that has none of its own."""
-        last = word[-ENDING:]
-        return self.endings.get(last if last.isascii() else ending(word), self.rest)
-
     def of(self, words: list[bytes]) -> list[int]:
         """The unit of each word."""
-        return filled(list(map(self.own.get, words)), words, self.shared_unit)
+        return self.units_of(pa.array(words, pa.binary()).cast(pa.string())).tolist()
+
+    def units_of(self, words: pa.Array) -> np.ndarray:
+        """The unit of each word: its own, or the shared one of its ending."""
+        found = numbers(self.own, words)
+        rare = np.flatnonzero(found < 0)
+        endings = pc.utf8_slice_codeunits(words.take(pa.array(rare)), -ENDING).dictionary_encode()
+        listed = np.array([self.endings.get(e, self.rest) for e in bytes_of(endings.dictionary)], np.int32)
+        found[rare] = listed[endings.indices.to_numpy()]
+        return found
+
 
+def bytes_of(words: pa.Array) -> list[bytes]:
+    """Words, in which there is no white space, as bytes."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_buffer().to_pybytes().split()
 
-def filled(values: list, words: list[bytes], value: Callable[[bytes], int]) -> list[int]:
-    """values with value(word) where there is none."""
-    at = -1
-    for _ in range(values.count(None)):
-        at = values.index(None, at + 1)
-        values[at] = value(words[at])
-    return values
 
+def numbers(known: dict[bytes, int], words: pa.Array) -> np.ndarray:
+    """What is known of each word, or -1."""
+    return np.fromiter(map(known.get, bytes_of(words), repeat(-1)), np.int32, len(words))
 
-def split(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
-    """How many words each text has, and all words in order."""
-    found = [words_of(x) for x in texts]
-    return np.fromiter(map(len, found), np.int64, len(found)), list(chain.from_iterable(found))
+
+def split(texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each text has, and all words in order as places among the distinct ones, which follow.
+
+    As words_of: ascii_lower changes A-Z only and ascii_split_whitespace cuts at
+    the contract's white space, but has empty parts at the ends of a text.
+    """
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
+    words = parts.flatten()
+    real = pc.binary_length(words).to_numpy() > 0
+    sizes = np.diff(np.concatenate((np.zeros(1, np.int64), np.cumsum(real)))[parts.offsets.to_numpy()])
+    coded = (words if real.all() else words.filter(pa.array(real))).dictionary_encode()
+    return sizes, coded.indices.to_numpy(), coded.dictionary.cast(pa.string())
 
 
 def least_count(counts: DataFrame, most: int) -> int:
@@ -482,8 +496,8 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, net: Network, noise: np
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "shard", "units", "weights", "vectors", "others"])
 
         for rows in slices(batches, READ_ROWS):
-            sizes, words = split(rows.column(0).to_pylist())
-            units, at = placed(sizes, np.array(vocabulary.of(words), np.int32), 0)
+            sizes, codes, words = split(rows.column(0))
+            units, at = placed(sizes, vocabulary.units_of(words)[codes], 0)
             texts.append((units[at - 2], units[at - 1], units[at]))
             size += len(at)
             if size > most:
@@ -552,11 +566,13 @@ def score_parts(docs: DataFrame, tables: Tables) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         moved, limit, end = t.network.moved(), len(t.head), t.head[END]
-        place = lambda word: limit + (t.vocabulary.own.get(word) or t.vocabulary.shared_unit(word))
         for rows in slices(batches, READ_ROWS):
             found = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            sizes, words = split(rows.column(2).to_pylist())
-            index, at = placed(sizes, np.array(filled(list(map(t.head.get, words)), words, place), np.int32), end)
+            sizes, codes, words = split(rows.column(2))
+            places = numbers(t.head, words)
+            others = np.flatnonzero(places < 0)
+            places[others] = limit + t.vocabulary.units_of(words.take(pa.array(others)))
+            index, at = placed(sizes, places[codes], end)
             unit, index = t.unit_of[index], index[at]
             logs = t.network.log_probabilities(t.vocabulary, moved, unit[at - 2], unit[at - 1], unit[at]) / np.log(10) + t.share_of[index]
             starts = np.cumsum(sizes + 1) - (sizes + 1)
@@ -567,12 +583,11 @@ def score_parts(docs: DataFrame, tables: Tables) -> DataFrame:
             # the other words, once for each text they are in
             rare = np.flatnonzero(index >= limit)
             owner = np.searchsorted(starts, rare, side="right") - 1
-            met: dict[bytes, int] = {}
-            codes = np.array([met.setdefault(words[k], len(met)) for k in (rare - owner).tolist()], np.int64)
-            pairs, first, times = np.unique(owner * (len(met) + 1) + codes, return_index=True, return_counts=True)
-            words = pa.array(met, pa.binary()).take(pa.array(pairs % (len(met) + 1)))
+            distinct = len(words) + 1
+            pairs, first, times = np.unique(owner * distinct + codes[rare - owner], return_index=True, return_counts=True)
+            words = words.take(pa.array(pairs % distinct)).cast(pa.binary())
             none = np.zeros(len(pairs), np.int64)
-            parts = (np.array(found[0], np.int64)[pairs // (len(met) + 1)], pa.nulls(len(pairs), pa.int64()), words, t.shared_of[unit[at[rare[first]]]], times, none, none, 0.0 * none, 0.0 * none)
+            parts = (np.array(found[0], np.int64)[pairs // distinct], pa.nulls(len(pairs), pa.int64()), words, t.shared_of[unit[at[rare[first]]]], times, none, none, 0.0 * none, 0.0 * none)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x).cast(k) for x, k in zip(parts, kinds)], names)
 
     return mapped(docs, run, "row long, doc_id long, word binary, unit int, times int, n_tokens long, n_known long, base double, score double")

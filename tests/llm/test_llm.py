@@ -593,6 +593,25 @@ def test_words_are_numbered_in_order(texts):
     assert all(values[k - 2] == 0 and values[k - 1] == 0 for k in np.cumsum(sizes + 3) - sizes - 1)
 
 
+def test_distinct_words_are_looked_up_once():
+    """Whatever the number of tokens, with the same words, units and known numbers as word by word."""
+    import pyarrow as pa
+
+    texts = [" baa  B\x0baéb \n", "", " ", "word1 BAA\x85 word1 é " * 1000, "Éa\x1cB"]
+    expected = [language_model.words_of(t) for t in texts]
+    for found in (texts, pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["x x", *texts]).slice(1)):
+        sizes, codes, words = language_model.split(found)
+        known = language_model.bytes_of(words)
+        assert sizes.tolist() == [len(x) for x in expected] and [known[k] for k in codes] == [w for x in expected for w in x]
+        assert len(known) == len(set(known)) == 7
+    vocabulary, _ = tiny_model()
+    by_hand = lambda w: vocabulary.own.get(w, vocabulary.endings.get(language_model.ending(w), vocabulary.rest))
+    assert vocabulary.units_of(words).tolist() == [by_hand(w) for w in known]
+    assert language_model.numbers({b"b": 5}, words).tolist() == [5 if w == b"b" else -1 for w in known]
+    empty = language_model.split([])
+    assert [len(x) for x in empty] == [0, 0, 0] and vocabulary.units_of(empty[2]).tolist() == []
+
+
 def test_noise_contrastive_steps_learn_what_follows():
     vocabulary, _ = tiny_model()
     r = np.random.default_rng(5)
