@@ -117,11 +117,13 @@ class ConvModel:
 
     def _forward(self, weights: Weights, x: np.ndarray):
         n, s, h = len(x), self.side, self.side // 2
-        image = np.pad(x.reshape(n, s, s), ((0, 0), (1, 1), (1, 1)))
+        image = np.zeros((n, s + 2, s + 2))
+        image[:, 1:-1, 1:-1] = x.reshape(n, s, s)
         windows = np.lib.stride_tricks.sliding_window_view(image, (3, 3), axis=(1, 2)).reshape(n, s, s, 9)
         active = np.maximum(windows @ weights["K"].T + weights["k"], 0)
         cells = active[:, : 2 * h, : 2 * h].reshape(n, h, 2, h, 2, -1)
-        pooled = cells.max(axis=(2, 4))
+        rows = np.maximum(cells[:, :, 0], cells[:, :, 1])
+        pooled = np.maximum(rows[:, :, :, 0], rows[:, :, :, 1])
         flat = pooled.reshape(n, -1)
         return windows, active, cells, pooled, flat, stable_softmax(flat @ weights["W"] + weights["b"])
 
