@@ -2,16 +2,21 @@
 
 Weights are small and live on the driver.  Each full-batch step sends them to
 the tasks, which return summed gradients, one record for each task.  Minibatches
-follow one another, so they are not a job each: rows are dealt once into blocks
-of at most about BLOCK_BYTES, and a task takes all steps of a block and hands
-weights, optimiser state and the rows that fill no minibatch to the task of the
-next block.  Learning rates and stopping follow the epoch's totals.
+follow one another, so they are one thread of work and not a job each: rows are
+dealt once into blocks of at most about BLOCK_BYTES, and one task keeps the
+blocks in a file on its own disk, holds one of them at a time and takes epoch
+after epoch.  After JOB_SECONDS it hands weights, optimiser state and log back,
+and another task goes on from there.  Stopping follows the epoch's totals.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import os
 import pickle
+import tempfile
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -23,16 +28,21 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import positive
 from ..functions.pixels import let
+from ..functions.stacks import BATCH_BYTES, LIMIT
 from ..ship import ship
 from ..sources.scratch import remove, scratch_path
 
 Weights = dict[str, np.ndarray]
 #: features of the rows that one task walks, as doubles
 BLOCK_BYTES = 16 << 20
+#: how long a task takes epochs; what a failure loses
+JOB_SECONDS = 600.0
+#: minibatches whose losses are summed at once
+RUN = 64
 
 
 class Rule(NamedTuple):
-    """How a step moves the weights, all of them one vector: step(state, weights, gradient) gives the next state and weights."""
+    """How a step moves the weights, all of them one vector: step(state, weights, gradient) gives the next state, for which it may use up the last, and weights."""
 
     rate: float
     step: Callable
@@ -48,10 +58,21 @@ def adam(rate: float = 1e-3, beta1: float = 0.9, beta2: float = 0.999, eps: floa
     positive(rate, "rate")
 
     def step(state, w: np.ndarray, g: np.ndarray):
-        t, first, second = state or (0, 0.0, 0.0)
-        t, first, second = t + 1, beta1 * first + (1 - beta1) * g, beta2 * second + (1 - beta2) * g * g
-        size = np.sqrt(second / (1 - beta2**t)) + eps
-        return (t, first, second), w - rate / (1 - beta1**t) * first / size
+        t, first, second = state or (0, np.zeros(g.shape), np.zeros(g.shape))
+        t += 1
+        part = (1 - beta1) * g
+        first *= beta1
+        first += part
+        np.multiply(1 - beta2, g, out=part)
+        part *= g
+        second *= beta2
+        second += part
+        np.divide(second, 1 - beta2**t, out=part)
+        np.sqrt(part, out=part)
+        part += eps
+        move = rate / (1 - beta1**t) * first
+        move /= part
+        return (t, first, second), w - move
 
     return Rule(rate, step)
 
@@ -100,6 +121,25 @@ class SoftmaxModel:
         p[np.arange(len(labels)), labels] -= 1
         return loss, right, {"W": x.T @ p, "b": p.sum(axis=0)}
 
+    def steps(self, flat: np.ndarray, state, x: np.ndarray, labels: np.ndarray, size: int, step: Callable) -> tuple[object, float, int]:
+        """What _steps does in fewer and larger calls: rows are columns, the bias is the weight of a feature that is 1."""
+        w, loss, right = flat.reshape(-1, self.classes).T, 0.0, 0  # b follows W by name
+        for low in range(0, len(labels), RUN * size):
+            true = labels[low : low + RUN * size]
+            rows = np.concatenate((x[low : low + len(true)], np.ones((len(true), 1))), axis=1)
+            sure, p = np.zeros((self.classes, len(true))), np.empty((self.classes, len(true)))
+            sure[true, np.arange(len(true))] = 1
+            for at in range(0, len(true), size):
+                mine = slice(at, min(at + size, len(true)))
+                z = w @ rows[mine].T
+                z -= np.maximum.reduce(z, axis=0)
+                np.exp(z, out=z)
+                np.divide(z, np.add.reduce(z, axis=0), out=p[:, mine])
+                np.subtract(p[:, mine], sure[:, mine], out=z)
+                state, flat[:] = step(state, flat, (rows[mine].T @ z.T).ravel(), mine.stop - at)
+            loss, right = loss + cross_entropy(p.T, true), right + int((p.argmax(axis=0) == true).sum())
+        return state, loss, right
+
 
 class ConvModel:
     """Convolution (3x3, border 1), ReLU, 2x2 max-pooling and a dense layer on gray square images."""
@@ -153,15 +193,20 @@ CHUNK = "labels binary, features binary"
 
 def _numbers(chunk: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The features and labels of a CHUNK."""
-    return np.frombuffer(chunk["features"]).reshape(-1, width), np.frombuffer(chunk["labels"], np.int32)
+    labels = np.frombuffer(chunk["labels"], np.int32)
+    kind = np.float32 if len(chunk["features"]) < 8 * width * len(labels) else np.float64
+    return np.frombuffer(chunk["features"], kind).reshape(-1, width).astype(float), labels
 
 
 def _chunk(rows: pa.RecordBatch | pa.Table, order: np.ndarray | slice = slice(None)) -> list[bytes]:
-    """Labels and features of rows (label, features) as a CHUNK's bytes."""
+    """Labels and features of rows (label, features) as a CHUNK's bytes; features in 4 bytes each where that loses nothing."""
     labels = rows.column("label").to_numpy()
     values = rows.column("features")
     values = (values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values).flatten().to_numpy(zero_copy_only=False)
-    return [x[order].tobytes() for x in (labels.astype(np.int32), values.astype(float).reshape(len(labels), -1))]
+    with np.errstate(over="ignore"):
+        short = values.astype(np.float32)
+    values = short if (short == values).all() else values.astype(float)
+    return [x[order].tobytes() for x in (labels.astype(np.int32), values.reshape(len(labels), -1))]
 
 
 def _typed(rows: DataFrame, *more: Column) -> DataFrame:
@@ -186,19 +231,18 @@ def _dealt(rows: DataFrame) -> Column:
     return F.xxhash64(*[c for c in ("id", "label", "features") if c in rows.columns])
 
 
-def _stored_blocks(rows: DataFrame, blocks: int) -> tuple[str, list[str]]:
-    """Rows dealt at random into blocks, one CHUNK each: the path of all, and those of the blocks."""
+def _stored_blocks(rows: DataFrame, blocks: int) -> str:
+    """The path of rows dealt at random into blocks, one CHUNK each."""
 
     def run(found: pa.Table) -> pa.Table:
         order = np.argsort(found.column("order").to_numpy(), kind="stable")
         return pa.table({"block": [found.column("block")[0]]} | {k: pa.array([x], pa.binary()) for k, x in zip(("labels", "features"), _chunk(found, order))}, pa.schema([("block", pa.int32()), ("labels", pa.binary()), ("features", pa.binary())]))
 
-    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "training-blocks")
+    path = scratch_path(rows.sparkSession, "training-blocks")
     key = _dealt(rows)
     dealt = _typed(rows, F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.xxhash64(key).alias("order"))
     dealt.groupBy("block").applyInArrow(run, f"block int, {CHUNK}").write.partitionBy("block").parquet(path)
-    found = sorted(r["block"] for r in spark.read.schema("block int").parquet(path).distinct().collect())
-    return path, [f"{path}/block={k}" for k in found]
+    return path
 
 
 def _totals(spark: SparkSession, path: str, width: int, model, weights: Weights, with_gradient: bool) -> tuple[int, float, int, np.ndarray]:
@@ -223,42 +267,128 @@ def _totals(spark: SparkSession, path: str, width: int, model, weights: Weights,
     return n, loss, right, total
 
 
-class Walk(NamedTuple):
-    """Where a run over minibatches stands: weights, the optimiser's state, and rows that fill no minibatch yet."""
-
-    w: np.ndarray
-    state: object
-    x: np.ndarray
-    labels: np.ndarray
+def _moved(rule: Rule, state, w: np.ndarray, g: np.ndarray, n: int, decay: np.ndarray, clip: float | None):
+    """State and weights after a step along the summed gradient of n rows, which is used up."""
+    g /= n
+    g += decay * w
+    if clip:
+        np.minimum(g, clip, out=g)
+        np.maximum(g, -clip, out=g)
+    return rule.step(state, w, g)
+
+
+def _steps(model, first: Weights, flat: np.ndarray, state, x: np.ndarray, labels: np.ndarray, size: int, step: Callable) -> tuple[object, float, int]:
+    """The state, loss and right answers of minibatches of `size` rows, one step each, which change flat."""
+    if hasattr(model, "steps"):
+        return model.steps(flat, state, x, labels, size, step)
+    weights, loss, right = shaped(flat, first), 0.0, 0  # views: they follow flat
+    for at in range(0, len(labels), size):
+        mine = slice(at, min(at + size, len(labels)))
+        a, b, g = model.gradients(weights, x[mine], labels[mine])
+        state, flat[:] = step(state, flat, flattened(g), mine.stop - at)
+        loss, right = loss + a, right + b
+    return state, loss, right
+
+
+class Shelf:
+    """CHUNKs by block in a nameless file on the disk of this worker, which goes when it is closed."""
+
+    def __init__(self):
+        self.file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        self.places: dict[int, list[tuple[int, int, int]]] = {}
+
+    def put(self, chunk: dict) -> None:
+        place = (self.file.seek(0, os.SEEK_END), len(chunk["labels"]), len(chunk["features"]))
+        self.places.setdefault(chunk["block"], []).append(place)
+        self.file.write(chunk["labels"])
+        self.file.write(chunk["features"])
+
+    def chunks(self, block: int) -> Iterator[dict]:
+        for at, labels, features in self.places.get(block, []):
+            self.file.seek(at)
+            yield {"labels": self.file.read(labels), "features": self.file.read(features)}
 
 
-def _moved(rule: Rule, state, w: np.ndarray, g: np.ndarray, n: int, decay: np.ndarray, clip: float | None):
-    """State and weights after a step along the summed gradient of n rows."""
-    g = g / n + decay * w
-    return rule.step(state, w, np.clip(g, -clip, clip) if clip else g)
+@dataclass
+class Course:
+    """Where a training stands after an epoch."""
 
+    w: np.ndarray
+    best: np.ndarray
+    state: object = None
+    best_loss: float = np.inf
+    waited: int = 0
+    stopped: bool = False
+    log: list[tuple] = field(default_factory=list)
 
-def _walked(spark: SparkSession, path: str, model, first: Weights, walk: Walk, size: int, last: bool, seed: tuple[int, int], step: Callable) -> tuple[int, float, int, Walk]:
-    """Minibatches of `size` rows over a stored block in random order, one step each; the last block leaves no rows over."""
+    def note(self, trained: tuple[int, float, int], tested: tuple[int, float, int], penalty: float, rate: float, patience: int) -> None:
+        """Logs an epoch by its rows, loss and right answers, and stops when the validation loss has not fallen for `patience` epochs."""
+        (n, loss, right), (m, val_loss, val_right) = trained, tested
+        val_loss = val_loss / max(m, 1) + penalty
+        self.log.append((len(self.log) + 1, loss / max(n, 1) + penalty, val_loss, right / max(n, 1), val_right / max(m, 1), rate))
+        if val_loss < self.best_loss:
+            self.best, self.best_loss, self.waited = self.w, val_loss, 0
+        else:
+            self.waited += 1
+            self.stopped = self.waited >= patience
+
+
+#: the block of the validation rows
+VALIDATION = -1
+
+
+def _epoch(shelf: Shelf, width: int, model, first: Weights, course: Course, size: int, step: Callable) -> tuple[int, float, int]:
+    """Rows, loss and right answers of an epoch over the blocks of a shelf; rows that fill no minibatch go before the next block."""
+    blocks, epoch = sorted(set(shelf.places) - {VALIDATION}), len(course.log) + 1
+    order = np.random.default_rng(epoch).permutation(len(blocks)).tolist()
+    flat, state, seen, loss, right = course.w.copy(), course.state, 0, 0.0, 0
+    over_x, over_labels = np.empty((0, width)), np.empty(0, np.int32)
+    for k in order:
+        (chunk,) = shelf.chunks(blocks[k])
+        x, labels = _numbers(chunk, width)
+        mixed = np.random.default_rng((epoch, k)).permutation(len(labels))
+        x, labels = np.concatenate((over_x, x[mixed])), np.concatenate((over_labels, labels[mixed]))
+        end = len(labels) if k == order[-1] else len(labels) // size * size
+        state, a, b = _steps(model, first, flat, state, x[:end], labels[:end], size, step)
+        seen, loss, right = seen + end, loss + a, right + b
+        over_x, over_labels = x[end:].copy(), labels[end:].copy()
+    course.w, course.state = flat, state
+    return seen, loss, right
+
+
+def _validated(shelf: Shelf, width: int, model, weights: Weights) -> tuple[int, float, int]:
+    n, losses, right = 0, [], 0
+    for chunk in shelf.chunks(VALIDATION):
+        x, labels = _numbers(chunk, width)
+        loss, b, _ = model.gradients(weights, x, labels)
+        n, right = n + len(labels), right + b
+        losses.append(loss)
+    return n, math.fsum(losses), right  # in any order of chunks
+
+
+def _walked(spark: SparkSession, blocks: str, val: str, width: int, model, first: Weights, course: Course, size: int, epochs: int, step: Callable, note: Callable) -> Course:
+    """The course after as many epochs over stored blocks as a task takes in JOB_SECONDS, at least one."""
+    most = JOB_SECONDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in (c for batch in batches for c in batch.to_pylist()):
-            x, labels = _numbers(chunk, walk.x.shape[1])
-            order = np.random.default_rng(seed).permutation(len(labels))
-            x, labels = np.concatenate((walk.x, x[order])), np.concatenate((walk.labels, labels[order]))
-            state, flat, loss, right = walk.state, walk.w.copy(), 0.0, 0
-            weights = shaped(flat, first)  # views: they follow flat
-            end = len(labels) if last else len(labels) // size * size
-            for at in range(0, end, size):
-                mine = slice(at, min(at + size, end))
-                a, b, g = model.gradients(weights, x[mine], labels[mine])
-                state, flat[:] = step(state, flat, flattened(g), mine.stop - at)
-                loss, right = loss + a, right + b
-            done = pickle.dumps((end, loss, right, Walk(flat, state, x[end:].copy(), labels[end:].copy())))
-            yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], ["walk"])
-
-    (row,) = spark.read.schema(CHUNK).parquet(path).mapInArrow(run, "walk binary").collect()
-    return pickle.loads(row["walk"])
+        shelf, now = Shelf(), course
+        with shelf.file:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    shelf.put(batch.slice(k, 1).to_pylist()[0])
+            began = time.monotonic()
+            while True:
+                trained = _epoch(shelf, width, model, first, now, size, step)
+                note(now, trained, _validated(shelf, width, model, shaped(now.w, first)))
+                if now.stopped or len(now.log) >= epochs or time.monotonic() - began >= most:
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(now)], pa.binary())], ["course"])
+
+    typed = f"block int, {CHUNK}"
+    chunks = spark.read.schema(CHUNK).parquet(val).select(F.lit(VALIDATION).alias("block"), "labels", "features")
+    both = spark.read.schema(typed).parquet(blocks).select("block", "labels", "features").union(chunks)
+    (row,) = both.coalesce(1).mapInArrow(run, "course binary").collect()
+    return pickle.loads(row["course"])
 
 
 @dataclass
@@ -281,47 +411,35 @@ def fit(model, train: DataFrame, val: DataFrame, rule: Rule, epochs: int = 10, d
     """
     spark, first = train.sparkSession, model.weights
     ship(spark)
+    if LIMIT not in spark.conf.getAll:
+        spark.conf.set(LIMIT, BATCH_BYTES)  # where nobody has set one
     rows, width = train.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
     width = max(width or 0, 1)
     size = -(-max(rows, 1) // batches)
-    blocks, paths = [], [_stored_chunks(val)]
-    if batches == 1 or 8 * width * size > BLOCK_BYTES:
+    paths, whole = [_stored_chunks(val)], batches == 1 or not rows or 8 * width * size > BLOCK_BYTES
+    if whole:
         part = F.pmod(_dealt(train), F.lit(batches))
         paths += [_stored_chunks(train.filter(part == k) if batches > 1 else train) for k in range(batches)]
     else:
-        whole, blocks = _stored_blocks(train, -(-8 * width * rows // BLOCK_BYTES) or 1)
-        paths.append(whole)
+        paths.append(_stored_blocks(train, -(-8 * width * rows // BLOCK_BYTES)))
     decayed = flattened({k: np.full(x.shape, float(k in ("W", "K"))) for k, x in first.items()})
-    step = lambda state, w, g, n: _moved(rule, state, w, g, n, decay * decayed, clip)
-    w, state = flattened(first), None
-    best, best_loss, waited, log = w, np.inf, 0, []
+    pull = decay * decayed
+    step = lambda state, w, g, n: _moved(rule, state, w, g, n, pull, clip)
+    note = lambda course, trained, tested: course.note(trained, tested, float((pull * course.w * course.w).sum()) / 2, float(rule.rate), patience)
+    course = Course(flattened(first), flattened(first))
     try:
-        for epoch in range(1, epochs + 1):
+        while len(course.log) < epochs and not course.stopped:
+            if not whole:
+                course = _walked(spark, paths[1], paths[0], width, model, first, course, size, epochs, step, note)
+                continue
             seen, loss, right = 0, 0.0, 0
-            if blocks:
-                walk = Walk(w, state, np.empty((0, width)), np.empty(0, np.int32))
-                order = np.random.default_rng(epoch).permutation(len(blocks)).tolist()
-                for k in order:
-                    n, a, b, walk = _walked(spark, blocks[k], model, first, walk, size, k == order[-1], (epoch, k), step)
+            for path in paths[1:]:
+                n, a, b, g = _totals(spark, path, width, model, shaped(course.w, first), True)
+                if n:
                     seen, loss, right = seen + n, loss + a, right + b
-                w, state = walk.w, walk.state
-            else:
-                for path in paths[1:]:
-                    n, a, b, g = _totals(spark, path, width, model, shaped(w, first), True)
-                    if n:
-                        seen, loss, right = seen + n, loss + a, right + b
-                        state, w = step(state, w, g, n)
-            m, val_loss, val_right, _ = _totals(spark, paths[0], width, model, shaped(w, first), False)
-            penalty = decay / 2 * float((decayed * w * w).sum())
-            val_loss = val_loss / max(m, 1) + penalty
-            log.append((epoch, loss / max(seen, 1) + penalty, val_loss, right / max(seen, 1), val_right / max(m, 1), float(rule.rate)))
-            if val_loss < best_loss:
-                best, best_loss, waited = w, val_loss, 0
-            else:
-                waited += 1
-                if waited >= patience:
-                    return Training(shaped(best, first), log)
-        return Training(shaped(w, first), log)
+                    course.state, course.w = step(course.state, course.w, g, n)
+            note(course, (seen, loss, right), _totals(spark, paths[0], width, model, shaped(course.w, first), False)[:3])
+        return Training(shaped(course.best if course.stopped else course.w, first), course.log)
     finally:
         for path in paths:
             remove(spark, path)

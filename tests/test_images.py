@@ -274,6 +274,30 @@ def test_minibatch_steps_follow_each_other(spark, monkeypatch, net):
     assert far.log[1][1] < far.log[0][1] + 0.5 and all(np.isfinite(v).all() for v in far.weights.values())
 
 
+def test_softmax_steps_are_those_of_its_gradients():
+    """Over runs of minibatches, with a short one last; the loss and right answers too."""
+    r = np.random.default_rng(5)
+    net, size = models.SoftmaxModel(6, 3), 4
+    x, y = r.standard_normal((size * models.RUN * 2 + 3, 6)), r.integers(0, 3, size * models.RUN * 2 + 3)
+    w, state, loss, right, rule = models.flattened(net.weights), None, 0.0, 0, models.adam(0.01)
+    flat = w.copy()
+    for at in range(0, len(y), size):
+        a, b, g = net.gradients(models.shaped(w, net.weights), x[at : at + size], y[at : at + size])
+        state, w = rule.step(state, w, models.flattened(g) / len(y[at : at + size]))
+        loss, right = loss + a, right + b
+    _, a, b = net.steps(flat, None, x, y, size, lambda state, w, g, n: rule.step(state, w, g / n))
+    assert np.allclose(flat, w) and np.isclose(a, loss) and b == right
+
+
+def test_stored_features_are_exact():
+    """Features that 4 bytes hold take 4, others 8; NaN and values beyond a float's range too."""
+    for values, size in (([[0.5, -2.0], [3.0, 1e10]], 4), ([[0.1, 1.0]], 8), ([[1e300, 1.0]], 8), ([[float("nan"), 1.0]], 8)):
+        rows = models.pa.table({"label": models.pa.array([1] * len(values), models.pa.int32()), "features": values})
+        labels, features = models._chunk(rows)
+        x, y = models._numbers({"labels": labels, "features": features}, 2)
+        assert len(features) == size * 2 * len(values) and np.array_equal(x, values, equal_nan=True) and y.tolist() == [1] * len(values)
+
+
 def test_conv_gradients():
     net = models.ConvModel(4, 2, 3)
     r = np.random.default_rng(2)

@@ -63,3 +63,18 @@ def test_softmax_training_takes_few_jobs(spark):
     train, _ = registry.train_test(spark, SF)
     assert jobs < len(log) * registry._minibatches(train) / 2
     assert [r["epoch"] for r in sorted(log)] == list(range(1, len(log) + 1)) and min(r["train_loss"] for r in log) < log[0]["train_loss"]
+
+
+def test_softmax_training_needs_no_job_an_epoch(spark, monkeypatch):
+    """Epochs over several blocks are one job, and come out alike where each is a job of its own."""
+    monkeypatch.setattr(registry.models, "BLOCK_BYTES", 64 << 10)
+    logs, jobs = [], []
+    for seconds in (600.0, 0.0):
+        monkeypatch.setattr(registry.models, "JOB_SECONDS", seconds, raising=False)
+        spark.sparkContext.setJobGroup(f"softmax {seconds}", "softmax")
+        logs.append(sorted(registry.QUERIES["softmax_train"](spark, SF).collect()))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"softmax {seconds}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] < len(logs[0]) <= jobs[1]
+    assert [r["epoch"] for r in logs[1]] == list(range(1, len(logs[0]) + 1))
+    assert all(tuple(a) == pytest.approx(tuple(b)) for a, b in zip(*logs))
