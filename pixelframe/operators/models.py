@@ -191,11 +191,17 @@ def _matrix(rows: pa.RecordBatch, column: int) -> np.ndarray:
 CHUNK = "labels binary, features binary"
 
 
-def _numbers(chunk: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The features and labels of a CHUNK."""
+def _stored(chunk: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features, as they are stored, and labels of a CHUNK."""
     labels = np.frombuffer(chunk["labels"], np.int32)
     kind = np.float32 if len(chunk["features"]) < 8 * width * len(labels) else np.float64
-    return np.frombuffer(chunk["features"], kind).reshape(-1, width).astype(float), labels
+    return np.frombuffer(chunk["features"], kind).reshape(-1, width), labels
+
+
+def _numbers(chunk: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features and labels of a CHUNK."""
+    x, labels = _stored(chunk, width)
+    return x.astype(float, copy=False), labels
 
 
 def _chunk(rows: pa.RecordBatch | pa.Table, order: np.ndarray | slice = slice(None)) -> list[bytes]:
@@ -345,9 +351,10 @@ def _epoch(shelf: Shelf, width: int, model, first: Weights, course: Course, size
     over_x, over_labels = np.empty((0, width)), np.empty(0, np.int32)
     for k in order:
         (chunk,) = shelf.chunks(blocks[k])
-        x, labels = _numbers(chunk, width)
-        mixed = np.random.default_rng((epoch, k)).permutation(len(labels))
-        x, labels = np.concatenate((over_x, x[mixed])), np.concatenate((over_labels, labels[mixed]))
+        raw, labels = _stored(chunk, width)
+        mixed, over = np.random.default_rng((epoch, k)).permutation(len(labels)), len(over_labels)
+        x, labels = np.empty((over + len(mixed), width)), np.concatenate((over_labels, labels[mixed]))
+        x[:over], x[over:] = over_x, raw[mixed]
         end = len(labels) if k == order[-1] else len(labels) // size * size
         state, a, b = _steps(model, first, flat, state, x[:end], labels[:end], size, step)
         seen, loss, right = seen + end, loss + a, right + b
